@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from millrace.functions.text import after_last, between, find, last_match, strip
+from millrace.functions.text import after_last, between, find, find_any, last_match, let, strip
 
 # Unit words, taken off in this order.
 UNITS = ["руб", "рублей", "рубля", "$", "€", "долларов", "meters", "km", "kg", "г", "кг", "м"]
@@ -41,8 +41,11 @@ def number_in(c: Column) -> Column:
     t = F.regexp_replace(strip(c), r"(\d)\s+(\d)", "$1$2")
     t = F.regexp_replace(t, r",(\d{1,2})(?!\d)", ".$1")
     t = F.regexp_replace(t, r"(\d),(\d{3})", "$1$2")
-    whole = find(r"[-+]?\d+\.?\d*", t).try_cast("double")
-    return F.coalesce(whole, find(r"[-+]?\.\d+", t).try_cast("double"))
+
+    def first(t):
+        return F.coalesce(find(r"[-+]?\d+\.?\d*", t).try_cast("double"), find(r"[-+]?\.\d+", t).try_cast("double"))
+
+    return F.when(c.rlike(r"\d"), let(t, first))
 
 
 def final_answer(c: Column) -> Column:
@@ -56,8 +59,12 @@ def final_answer(c: Column) -> Column:
 
 def integer_answer(c: Column) -> Column:
     """Whole-number answer by the order: hash mark, phrase, tag, last integer."""
-    picks = [find(HASH_INTEGER, c, 1), find(PHRASE_ANSWER, c, 1), find(PHRASE_TOTAL, c, 1),
-             find(TAG_INTEGER, c, 1), last_match(r"(-?\d+)", c, 1)]
+    low = F.lower(c)  # plain substring tests keep the costlier patterns off most rows
+    phrase = low.contains("answer is") | low.contains("ответ")
+    total = low.contains("итого") | low.contains("всего") | low.contains("получаем")
+    picks = [F.when(c.contains("####"), find(HASH_INTEGER, c, 1)), F.when(phrase, find(PHRASE_ANSWER, c, 1)),
+             F.when(total, find(PHRASE_TOTAL, c, 1)), F.when(c.contains("<answer>"), find(TAG_INTEGER, c, 1)),
+             last_match(r"(-?\d+)", c, 1)]
     return F.coalesce(*picks).try_cast("bigint")
 
 
@@ -71,10 +78,17 @@ def normal_form(c: Column) -> Column:
     t = F.lower(strip(c))
     for unit in UNITS:
         t = strip(F.replace(t, F.lit(unit), F.lit("")))
+    return let(let(t, _quotient), _without_zeros)
+
+
+def _quotient(t: Column) -> Column:
     fraction = r"\A(\d+)\s*/\s*(\d+)"
     top = F.regexp_extract(t, fraction, 1).try_cast("double")
     bottom = F.regexp_extract(t, fraction, 2).try_cast("double")
-    t = F.when(t.rlike(fraction) & (bottom != 0), F.try_divide(top, bottom).cast("string")).otherwise(t)
+    return F.coalesce(F.try_divide(top, F.nullif(bottom, F.lit(0.0))).cast("string"), t)
+
+
+def _without_zeros(t: Column) -> Column:
     return F.when(t.contains("."), F.regexp_replace(F.regexp_replace(t, r"0+\z", ""), r"\.+\z", "")).otherwise(t)
 
 
@@ -90,7 +104,7 @@ def response_answer(c: Column, use_tags: bool = True) -> Column:
     """Answer text by the order: tag, hash number, first number after the last hash, last number."""
     picks = []
     if use_tags:
-        picks.append(strip(find(r"(?is)<answer>\s*(.*?)\s*</answer>", c, 1)))
+        picks.append(strip(find_any(r"(?is)<answer>\s*(.*?)\s*</answer>", c, 1)))
     picks.append(F.replace(find(HASH_THOUSANDS, c, 1), F.lit(","), F.lit("")))
     picks.append(F.when(c.contains("####"), find(NUMBER_PLAIN, after_last(c, "####"))))
     picks.append(last_match(NUMBER_PLAIN, c))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from millrace.functions import extract as X
-from millrace.functions.text import SPACE, count_of, strip
+from millrace.functions.text import SPACE, count_of, let, strip
 
 # Signs of step-by-step reasoning and connecting words.
 STEP_PATTERNS = [r"\d+[\.\)]\s", r"[-•]\s", r"(?:шаг|step)\s*\d+",
@@ -31,14 +31,15 @@ def format_reward(c: Column, style: str = "deepseek", full: float = 0.2, partial
 def reasoning_reward(c: Column, style: str = "deepseek", min_words: int = 10, step: float = 0.1,
                      keyword: float = 0.05, cap: float = 0.3) -> Column:
     """Marks for length, visible steps and connecting words of the reasoning part, capped."""
-    body = X.reasoning_body(c, style)
-    words = F.when(body.rlike(rf"[^{SPACE[1:]}"), F.size(F.split(body, SPACE + "+"))).otherwise(0)
-    steps = body.rlike("(?iu)(?:" + "|".join(STEP_PATTERNS) + ")")
-    lowered = F.lower(body)
-    linked = lowered.rlike("|".join(KEYWORDS))
-    score = (F.when(words >= min_words, 0.1).otherwise(0.0) + F.when(steps, step).otherwise(0.0)
-             + F.when(linked, keyword).otherwise(0.0))
-    return F.when(F.coalesce(body, F.lit("")) == "", 0.0).otherwise(F.least(score, F.lit(cap)))
+    def score(body):
+        words = F.size(F.split(body, SPACE + "+"))
+        steps = body.rlike("(?iu)(?:" + "|".join(STEP_PATTERNS) + ")")
+        linked = F.lower(body).rlike("|".join(KEYWORDS))
+        marks = (F.when(words >= min_words, 0.1).otherwise(0.0) + F.when(steps, step).otherwise(0.0)
+                 + F.when(linked, keyword).otherwise(0.0))
+        return F.when(F.coalesce(body, F.lit("")) == "", 0.0).otherwise(F.least(marks, F.lit(cap)))
+
+    return let(X.reasoning_body(c, style), score)
 
 
 def truncation_reward(c: Column, truncated: Column, soft: float = -0.5, hard: float = -1.0) -> Column:
@@ -49,32 +50,45 @@ def truncation_reward(c: Column, truncated: Column, soft: float = -0.5, hard: fl
 def math_reward(c: Column, reference: Column, exact: float = 1.0, near: float = 0.5,
                 tolerance: float = 1e-4, near_tolerance: float = 0.5) -> Column:
     gap = F.abs(X.number_in(X.answer_body(c)) - X.number_in(reference))
-    return F.when(gap < tolerance, exact).when(gap < near_tolerance, near).otherwise(0.0)
+    return let(gap, lambda g: F.when(g < tolerance, exact).when(g < near_tolerance, near).otherwise(0.0))
 
 
 def integer_reward(c: Column, reference: Column, style: str = "deepseek", correct: float = 1.0,
                    close: float = 0.3, bonus: float = 0.1) -> Column:
     """Whole-number match, smaller mark when off by one, bonus for reasoning tags, at most 1."""
-    guess, truth = X.integer_answer(c), X.integer_reference(reference)
     opening, closing = X.reasoning_tags(style)
-    mark = F.when(guess == truth, correct).when(F.abs(guess - truth) == 1, close).otherwise(0.0)
+    gap = F.abs(X.integer_answer(c) - X.integer_reference(reference))
     extra = F.when(c.contains(opening) & c.contains(closing), bonus).otherwise(0.0)
-    return F.when(guess.isNull() | truth.isNull(), 0.0).otherwise(F.least(mark + extra, F.lit(1.0)))
+
+    def mark(g):
+        base = F.when(g == 0, correct).when(g == 1, close).otherwise(0.0)
+        return F.when(g.isNull(), 0.0).otherwise(F.least(base + extra, F.lit(1.0)))
+
+    return let(gap, mark)
 
 
 def expression_reward(c: Column, reference: Column, tolerance: float = 1e-4) -> Column:
     """Number match, else share of equal sorted roots, else equality of normal forms."""
-    body = X.answer_body(c)
-    guess, truth = X.number_in(body), X.number_in(reference)
-    mine, theirs = X.roots(body), X.roots(reference)
-    hits = F.size(F.filter(F.arrays_zip(mine.alias("a"), theirs.alias("b")),
-                           lambda p: F.abs(p["a"] - p["b"]) < tolerance))
-    share = F.when(F.size(mine) == F.size(theirs), F.try_divide(hits, F.size(theirs))).otherwise(0.0)
-    same = F.when(X.normal_form(body) == X.normal_form(reference), 1.0).otherwise(0.0)
-    return (F.when(body.isNull(), 0.0)
-            .when(guess.isNotNull() & truth.isNotNull(), F.when(F.abs(guess - truth) < tolerance, 1.0).otherwise(0.0))
-            .when((F.size(mine) > 0) & (F.size(theirs) > 0), share)
-            .otherwise(same))
+
+    def by_number(t):
+        return F.when(F.abs(t["a"] - t["b"]) < tolerance, 1.0).otherwise(0.0)
+
+    def by_roots(t):
+        hits = F.size(F.filter(F.arrays_zip(t["mine"], t["theirs"]), lambda p: F.abs(p["mine"] - p["theirs"]) < tolerance))
+        return F.when(F.size(t["mine"]) == F.size(t["theirs"]), F.try_divide(hits, F.size(t["theirs"]))).otherwise(0.0)
+
+    def by_text(body):
+        return F.when(X.normal_form(body) == X.normal_form(reference), 1.0).otherwise(0.0)
+
+    def without_number(body):
+        pair = F.struct(X.roots(body).alias("mine"), X.roots(reference).alias("theirs"))
+        return let(pair, lambda t: F.when((F.size(t["mine"]) > 0) & (F.size(t["theirs"]) > 0), by_roots(t)).otherwise(by_text(body)))
+
+    def judge(body):
+        pair = F.struct(X.number_in(body).alias("a"), X.number_in(reference).alias("b"))
+        return let(pair, lambda t: F.when(t["a"].isNotNull() & t["b"].isNotNull(), by_number(t)).otherwise(without_number(body)))
+
+    return let(X.answer_body(c), lambda body: F.when(body.isNull(), 0.0).otherwise(judge(body)))
 
 
 def combine(parts: Mapping[str, tuple[Column, float]], normalise: bool = True) -> Column:
@@ -97,14 +111,20 @@ def tag_reward(c: Column, use_tags: bool = True) -> Column:
 
 def correctness_reward(c: Column, truth: Column, use_tags: bool = True) -> Column:
     """-1 no answer, 3 equal, 1 within ten percent, -0.5 wrong; text compared when not numeric."""
-    found = X.response_answer(c, use_tags)
-    guess = F.replace(strip(found), F.lit(","), F.lit("")).try_cast("double")
-    value = F.replace(strip(truth), F.lit(","), F.lit("")).try_cast("double")
-    ratio = F.when(value == 0, 0.0).otherwise(F.try_divide(guess, value))
-    numeric = F.when(guess == value, 3.0).when(ratio.between(0.9, 1.1), 1.0).otherwise(-0.5)
-    textual = F.when(F.lower(strip(found)) == F.lower(strip(truth)), 3.0).otherwise(-0.5)
-    return (F.when(found.isNull(), -1.0).when(truth.isNull(), 0.0)
-            .when(guess.isNotNull() & value.isNotNull(), numeric).otherwise(textual))
+    def number(x):
+        return F.replace(strip(x), F.lit(","), F.lit("")).try_cast("double")
+
+    def numeric(t):
+        ratio = F.when(t["value"] == 0, 0.0).otherwise(F.try_divide(t["guess"], t["value"]))
+        return F.when(t["guess"] == t["value"], 3.0).when(ratio.between(0.9, 1.1), 1.0).otherwise(-0.5)
+
+    def judge(found):
+        textual = F.when(F.lower(strip(found)) == F.lower(strip(truth)), 3.0).otherwise(-0.5)
+        pair = F.struct(number(found).alias("guess"), number(truth).alias("value"))
+        both = let(pair, lambda t: F.when(t["guess"].isNotNull() & t["value"].isNotNull(), numeric(t)).otherwise(textual))
+        return F.when(found.isNull(), -1.0).when(truth.isNull(), 0.0).otherwise(both)
+
+    return let(X.response_answer(c, use_tags), judge)
 
 
 def constant_reward(value: float) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the characters str.strip() and str.split() treat as white space.
-SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+          "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+SPACE = f"[{SPACES}]"
 
 
 def strip(c: Column) -> Column:
-    """Remove white space of every kind at both ends (SQL ``trim`` removes blanks only)."""
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Remove white space of every kind at both ends (one-argument SQL ``trim`` removes blanks only)."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -40,10 +44,20 @@ def count_of(c: Column, needle: str) -> Column:
 
 
 def find(pattern: str, c: Column, group: int = 0) -> Column:
-    """Regex search that yields null instead of an empty string when nothing matches."""
+    """Regex search giving null without a match, for patterns whose group is never empty."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+
+
+def find_any(pattern: str, c: Column, group: int = 0) -> Column:
+    """As ``find`` for patterns whose group may be empty."""
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def last_match(pattern: str, c: Column, group: int = 0) -> Column:
     return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(-1))
 

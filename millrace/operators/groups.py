@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions.text import after_last, before_first, hash60, strip
-from millrace.operators.ordering import running_totals
+from millrace.operators.ordering import global_index, running_totals
 
 
 def group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward") -> DataFrame:
@@ -168,3 +168,51 @@ def attach_reference(prompts: DataFrame, references: DataFrame, on: str) -> Data
     checked = F.when(both, F.col(on)).otherwise(F.raise_error(F.lit("prompts and references do not pair up")))
     rest = [c for c in joined.columns if c not in (on, "_l", "_r")]
     return joined.select(checked.alias(on), *rest)
+
+
+GAE_BITS = 8  # steps per block: 256
+
+
+def _backward(items: DataFrame, traj: str, levels: int) -> DataFrame:
+    """Solve a(i) = d(i) + c(i) * a(i+1), from the end, for rows ``traj, i, d, c, extra``; adds ``a``.
+
+    A block of 256 rows folds to one offset and slope; the blocks form the same problem one level up.
+    """
+    row = F.struct("i", "d", "c", "extra")
+    blocks = (items.withColumn("b", F.shiftright("i", GAE_BITS)).groupBy(traj, "b")
+              .agg(F.sort_array(F.collect_list(row), asc=False).alias("rows")))
+    if levels > 1:
+        folded = F.aggregate("rows", F.struct(F.lit(0.0).alias("off"), F.lit(1.0).alias("slope")),
+                             lambda acc, x: F.struct((x["d"] + x["c"] * acc["off"]).alias("off"),
+                                                     (x["c"] * acc["slope"]).alias("slope")))
+        upper = blocks.select(traj, F.col("b").alias("i"), folded.alias("f")).select(
+            traj, "i", F.col("f.off").alias("d"), F.col("f.slope").alias("c"), F.lit(0).alias("extra"))
+        starts = _backward(upper, traj, levels - 1).select(traj, (F.col("i") - 1).alias("b"), F.col("a").alias("tail"))
+        blocks = blocks.join(starts, [traj, "b"], "left")
+    else:
+        blocks = blocks.withColumn("tail", F.lit(0.0))
+    empty = F.array().cast("array<double>")
+    walked = F.aggregate(
+        "rows", F.struct(F.coalesce("tail", F.lit(0.0)).alias("a"), empty.alias("out")),
+        lambda acc, x: F.struct((x["d"] + x["c"] * acc["a"]).alias("a"),
+                                F.concat(acc["out"], F.array(x["d"] + x["c"] * acc["a"])).alias("out")),
+        lambda acc: acc["out"])
+    return (blocks.select(traj, F.explode(F.arrays_zip("rows", walked.alias("a"))).alias("z"))
+            .select(traj, "z.rows.i", "z.rows.extra", "z.a"))
+
+
+def gae(df: DataFrame, traj: str, key: str, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
+    """Generalised advantage estimates and returns, walking each trajectory backwards.
+
+    No task holds more of a trajectory than one block. The number of levels follows from the longest one.
+    """
+    pos = global_index(df.select(traj, key, "reward", "value", "done"), key, "i", by=[traj])
+    longest = df.groupBy(traj).count().agg(F.max("count")).first()[0] or 1
+    levels = max(1, -(-(int(longest) - 1).bit_length() // GAE_BITS))
+    behind = pos.select(traj, (F.col("i") - 1).alias("i"), F.col("value").alias("next_value"))
+    live = F.when(F.col("done"), 0.0).otherwise(1.0)
+    delta = F.col("reward") + gamma * F.coalesce("next_value", F.lit(0.0)) * live - F.col("value")
+    items = pos.join(behind, [traj, "i"], "left").select(
+        traj, "i", delta.alias("d"), (gamma * lam * live).alias("c"), F.struct(key, "value").alias("extra"))
+    return _backward(items, traj, levels).select(
+        traj, f"extra.{key}", F.col("a").alias("advantage"), (F.col("a") + F.col("extra.value")).alias("returns"))

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input that has fewer splits than the cluster has cores; larger inputs pass unchanged."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 LINES_SPARK = """
 SELECT doc_id, lang, source, CASE doc_id % 20
   WHEN 3 THEN ''
@@ -117,7 +123,7 @@ _SPARK = {"lines": (LINES_SPARK, "documents"), "messages": (MESSAGES, "conversat
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, source = _SPARK[name]
-    return spark.sql(text, **{source: table(spark, sf_dir, source)})
+    return spread(spark.sql(text, **{source: table(spark, sf_dir, source)}))
 
 
 _DUCK = {"lines": LINES_DUCK, "logprobs": LOGPROBS_DUCK}

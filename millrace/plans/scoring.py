@@ -10,7 +10,15 @@ from millrace.plans.frames import frame, over
 from millrace.plans.registry import query
 
 KEYS = ["group_id", "comp_id"]
-C, REF = F.col("completion"), F.col("reference_answer")
+
+
+def C():
+    return F.col("completion")
+
+
+def REF():
+    return F.col("reference_answer")
+
 
 
 # ---- SQL pieces for the check side -------------------------------------------------------------
@@ -106,13 +114,13 @@ def scored(spark, sf, column, name):
     f"{s_body('completion', 'answer')} AS answer FROM completions", "completions"))
 def extract_tags(spark, sf):
     return frame(spark, sf, "completions").select(
-        *KEYS, X.reasoning_body(C).alias("think"), X.reasoning_body(C, "simple").alias("reasoning"),
-        X.answer_body(C).alias("answer"))
+        *KEYS, X.reasoning_body(C()).alias("think"), X.reasoning_body(C(), "simple").alias("reasoning"),
+        X.answer_body(C()).alias("answer"))
 
 
 @query("extract_number", per_row(s_number("completion"), "number"))
 def extract_number(spark, sf):
-    return scored(spark, sf, X.number_in(C), "number")
+    return scored(spark, sf, X.number_in(C()), "number")
 
 
 @query("final_answer", over("""
@@ -126,26 +134,25 @@ def final_answer(spark, sf):
 
 @query("gsm8k_answer", per_row(s_integer("completion"), "number"))
 def gsm8k_answer(spark, sf):
-    return scored(spark, sf, X.integer_answer(C), "number")
+    return scored(spark, sf, X.integer_answer(C()), "number")
 
 
 @query("normalise_math", over(f"""
 SELECT group_id, comp_id, CASE WHEN contains(t, '.') THEN regexp_replace(regexp_replace(t, '0+$', ''), '\\.+$', '') ELSE t END AS normal
 FROM (SELECT group_id, comp_id, {s_strip("replace(" + s_strip("replace(" + s_strip("replace(" + s_strip("replace(lower(a), 'meters', '')") + ", 'km', '')") + ", 'kg', '')") + ", '$', '')")} AS t
-  FROM (SELECT group_id, comp_id, {s_body('completion', 'answer')} AS a FROM completions) u) v WHERE t IS NOT NULL""", "completions"))
+  FROM (SELECT group_id, comp_id, {s_body('completion', 'answer')} AS a FROM completions) u) v""", "completions"))
 def normalise_math(spark, sf):
-    body = frame(spark, sf, "completions").select(*KEYS, X.answer_body(C).alias("a")).filter("a IS NOT NULL")
-    return body.select(*KEYS, X.normal_form(F.col("a")).alias("normal"))
+    return scored(spark, sf, X.normal_form(X.answer_body(C())), "normal")
 
 
 @query("parse_roots", per_row(s_roots("completion"), "roots"))
 def parse_roots(spark, sf):
-    return scored(spark, sf, X.roots(C), "roots")
+    return scored(spark, sf, X.roots(C()), "roots")
 
 
 @query("extract_response", per_row(s_response("completion"), "response"))
 def extract_response(spark, sf):
-    return scored(spark, sf, X.response_answer(C), "response")
+    return scored(spark, sf, X.response_answer(C()), "response")
 
 
 @query("split_hash_answer", over("""
@@ -163,7 +170,7 @@ def split_hash_answer(spark, sf):
     "completions"))
 def reward_format(spark, sf):
     return frame(spark, sf, "completions").select(
-        *KEYS, R.format_reward(C).alias("deepseek"), R.format_reward(C, "simple").alias("simple"))
+        *KEYS, R.format_reward(C()).alias("deepseek"), R.format_reward(C(), "simple").alias("simple"))
 
 
 @query("reward_reasoning", over(
@@ -171,15 +178,15 @@ def reward_format(spark, sf):
     f"round({s_reasoning('completion', 'reasoning')}, 6) AS simple FROM completions", "completions"))
 def reward_reasoning(spark, sf):
     return frame(spark, sf, "completions").select(
-        *KEYS, F.round(R.reasoning_reward(C), 6).alias("deepseek"),
-        F.round(R.reasoning_reward(C, "simple"), 6).alias("simple"))
+        *KEYS, F.round(R.reasoning_reward(C()), 6).alias("deepseek"),
+        F.round(R.reasoning_reward(C(), "simple"), 6).alias("simple"))
 
 
 @query("reward_truncation", per_row(
     "CASE WHEN NOT is_truncated THEN CAST(0 AS DOUBLE) WHEN contains(completion, '<answer>') OR contains(completion, '</answer>') "
     "THEN CAST(-0.5 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END", "reward"))
 def reward_truncation(spark, sf):
-    return scored(spark, sf, R.truncation_reward(C, F.col("is_truncated")), "reward")
+    return scored(spark, sf, R.truncation_reward(C(), F.col("is_truncated")), "reward")
 
 
 @query("reward_math", over(f"""
@@ -188,12 +195,12 @@ SELECT group_id, comp_id, CASE WHEN abs(a - b) < 0.0001 THEN CAST(1 AS DOUBLE) W
 FROM (SELECT group_id, comp_id, {s_number("(" + s_body('completion', 'answer') + ")")} AS a, {s_number('reference_answer')} AS b FROM completions) t""",
     "completions"))
 def reward_math(spark, sf):
-    return scored(spark, sf, R.math_reward(C, REF), "reward")
+    return scored(spark, sf, R.math_reward(C(), REF()), "reward")
 
 
 @query("reward_gsm8k", per_row(s_integer_reward("completion", "reference_answer"), "reward"))
 def reward_gsm8k(spark, sf):
-    return scored(spark, sf, R.integer_reward(C, REF), "reward")
+    return scored(spark, sf, R.integer_reward(C(), REF()), "reward")
 
 
 @query("reward_expression", over(f"""
@@ -206,7 +213,7 @@ FROM (SELECT group_id, comp_id, body, reference_answer, {s_number('body')} AS a,
     {s_roots('body')} AS ra, {s_roots('reference_answer')} AS rb
   FROM (SELECT *, {s_body('completion', 'answer')} AS body FROM completions) u) v""", "completions"))
 def reward_expression(spark, sf):
-    return scored(spark, sf, R.expression_reward(C, REF), "reward")
+    return scored(spark, sf, R.expression_reward(C(), REF()), "reward")
 
 
 @query("reward_combined", over(
@@ -246,8 +253,8 @@ def reward_rules(spark, sf):
     think = [{"reward_formula": U.PRESET_RULES["formula"]["reward_formula"],
               "extractors": [{"name": "reasoning", "pattern": r"<think>(.*?)</think>", "flags": "DOTALL"}]}]
     return frame(spark, sf, "completions").select(
-        *KEYS, F.round(U.rule_reward(U.DEFAULT_RULES, C, REF), 6).alias("reward"),
-        F.round(U.rule_reward(think, C, REF), 6).alias("formula_reward"))
+        *KEYS, F.round(U.rule_reward(U.DEFAULT_RULES, C(), REF()), 6).alias("reward"),
+        F.round(U.rule_reward(think, C(), REF()), 6).alias("formula_reward"))
 
 
 CONDITIONS = {
@@ -275,7 +282,7 @@ SELECT group_id, comp_id, contains(completion, concat('answer is ', reference_an
   length(completion) BETWEEN 20 AND 60 AS mid_length, length(completion) >= 60 AS "long", length(completion) <= 16 AS short,
   false AS unknown FROM completions""", "completions"))
 def rule_conditions(spark, sf):
-    values = {"response": C, "reference": REF, "prompt": F.col("prompt")}
+    values = {"response": C(), "reference": REF(), "prompt": F.col("prompt")}
     return frame(spark, sf, "completions").select(
         *KEYS, *[U.condition(c, values).alias(n) for n, c in CONDITIONS.items()])
 
@@ -286,8 +293,8 @@ SELECT group_id, comp_id, round(least(length(completion) / CAST(200 AS DOUBLE),
   round(coalesce(1 / nullif(CAST(reference_answer AS DOUBLE) - 7, 0), 0), 6) AS inverse,
   CAST(abs(CAST(reference_answer AS INT) - 20) AS DOUBLE) AS gap, CAST(0 AS DOUBLE) AS refused FROM completions""", "completions"))
 def rule_formula(spark, sf):
-    pulled = F.regexp_extract(C, r"<answer>([^<]*)", 1)
-    values = {"response": C, "reference": REF, "prompt": F.col("prompt"), "extracted.a": pulled}
+    pulled = F.regexp_extract(C(), r"<answer>([^<]*)", 1)
+    values = {"response": C(), "reference": REF(), "prompt": F.col("prompt"), "extracted.a": pulled}
     texts = {"share": "min(len({{response}}) / 200, 1.0)", "equal_text": "{{extracted.a}} == {{reference}}",
              "inverse": "1 / (float({{reference}}) - 7)", "gap": "abs(int({{reference}}) - 20)",
              "refused": "__import__('os').getcwd()"}
@@ -299,7 +306,7 @@ def rule_formula(spark, sf):
 @query("rule_substitute", per_row(
     "concat('[', prompt, '|', completion, '|', reference_answer, '|', CAST(group_id AS VARCHAR), ']')", "filled"))
 def rule_substitute(spark, sf):
-    values = {"response": C, "reference": REF, "prompt": F.col("prompt"), "metadata.order": F.col("group_id")}
+    values = {"response": C(), "reference": REF(), "prompt": F.col("prompt"), "metadata.order": F.col("group_id")}
     return scored(spark, sf, U.substitute("[{{prompt}}|{{response}}|{{reference}}|{{metadata.order}}]", values), "filled")
 
 
@@ -309,7 +316,7 @@ SELECT group_id, comp_id, CASE WHEN regexp_matches(completion, '(?is)<answer>\\s
   CASE WHEN regexp_matches(completion, '####\\s*-?[0-9]+') THEN CAST(1 AS DOUBLE) WHEN contains(completion, '####') THEN CAST(0.3 AS DOUBLE)
     ELSE CAST(0 AS DOUBLE) END AS hash FROM completions""", "completions"))
 def reward_answer_tag(spark, sf):
-    return frame(spark, sf, "completions").select(*KEYS, R.tag_reward(C).alias("tags"), R.tag_reward(C, False).alias("hash"))
+    return frame(spark, sf, "completions").select(*KEYS, R.tag_reward(C()).alias("tags"), R.tag_reward(C(), False).alias("hash"))
 
 
 @query("reward_correctness", over(f"""
@@ -320,7 +327,7 @@ SELECT group_id, comp_id, CASE WHEN found IS NULL THEN CAST(-1 AS DOUBLE) WHEN g
 FROM (SELECT *, TRY_CAST(replace(trim(found), ',', '') AS DOUBLE) AS guess, TRY_CAST(replace(reference_answer, ',', '') AS DOUBLE) AS truth
   FROM (SELECT *, {s_response('completion')} AS found FROM completions) u) v""", "completions"))
 def reward_correctness(spark, sf):
-    return scored(spark, sf, R.correctness_reward(C, REF), "reward")
+    return scored(spark, sf, R.correctness_reward(C(), REF()), "reward")
 
 
 @query("reward_constant", over(
@@ -328,20 +335,20 @@ def reward_correctness(spark, sf):
     "ELSE CAST(-1 AS DOUBLE) END AS \"binary\" FROM completions", "completions"))
 def reward_constant(spark, sf):
     return frame(spark, sf, "completions").select(
-        *KEYS, R.constant_reward(0.25).alias("constant"), R.binary_reward(C.contains("####"), 1.0, -1.0).alias("binary"))
+        *KEYS, R.constant_reward(0.25).alias("constant"), R.binary_reward(C().contains("####"), 1.0, -1.0).alias("binary"))
 
 
 @query("reward_overlong", per_row(
     "CASE WHEN length(completion) > 80 THEN CAST(-1 AS DOUBLE) WHEN length(completion) >= 30 THEN round((length(completion) - 30) / CAST(50 AS DOUBLE) * -1, 6) "
     "ELSE CAST(0 AS DOUBLE) END", "reward"))
 def reward_overlong(spark, sf):
-    return scored(spark, sf, F.round(R.overlong_penalty(F.length(C), 80, 50), 6), "reward")
+    return scored(spark, sf, F.round(R.overlong_penalty(F.length(C()), 80, 50), 6), "reward")
 
 
 @query("reward_guard", per_row(
     "coalesce(TRY_CAST(regexp_extract(completion, '<answer>([0-9]+)</answer>', 1) AS DOUBLE), CAST(0 AS DOUBLE))", "reward"))
 def reward_guard(spark, sf):
-    raw = F.regexp_extract(C, r"<answer>([0-9]+)</answer>", 1).try_cast("double")
+    raw = F.regexp_extract(C(), r"<answer>([0-9]+)</answer>", 1).try_cast("double")
     return scored(spark, sf, R.guard(F.coalesce(raw, F.lit(float("nan")))), "reward")
 
 
@@ -349,14 +356,14 @@ def reward_guard(spark, sf):
     "CASE WHEN length(completion) = 0 THEN CAST(0 AS DOUBLE) ELSE round(length(reference_answer) / CAST(length(completion) AS DOUBLE), 6) END", "reward"))
 def udf_reward(spark, sf):
     share = R.register_reward("share", lambda completion, reference: len(reference) / len(completion))
-    return scored(spark, sf, F.round(share(C, REF), 6), "reward")
+    return scored(spark, sf, F.round(share(C(), REF()), 6), "reward")
 
 
 @query("eval_accuracy", over(f"""
 SELECT round(avg(CASE WHEN r >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(r), 6) AS mean_reward, count(*) AS samples
 FROM (SELECT {s_integer_reward('completion', 'reference_answer')} AS r FROM completions ORDER BY group_id, comp_id LIMIT 100) t""", "completions"))
 def eval_accuracy(spark, sf):
-    df = frame(spark, sf, "completions").select(F.struct(*KEYS).alias("k"), R.integer_reward(C, REF).alias("reward"))
+    df = frame(spark, sf, "completions").select(F.struct(*KEYS).alias("k"), R.integer_reward(C(), REF()).alias("reward"))
     out = S.accuracy(df, "k")
     return out.select(F.round("accuracy", 6).alias("accuracy"), F.round("mean_reward", 6).alias("mean_reward"), "samples")
 
@@ -367,7 +374,7 @@ SELECT group_id, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r),
 FROM (SELECT group_id, {s_format('completion')} + {s_integer_reward('completion', 'reference_answer')} AS r FROM completions) t
 GROUP BY group_id HAVING max(r) <> min(r)""", "completions"))
 def signal_groups(spark, sf):
-    reward = R.guard(R.format_reward(C)) + R.guard(R.integer_reward(C, REF))
+    reward = R.guard(R.format_reward(C())) + R.guard(R.integer_reward(C(), REF()))
     df = frame(spark, sf, "completions").select("group_id", reward.alias("reward"))
     out = G.signal_summary(df, ["group_id"])
     return out.select("group_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "lo", "hi")])

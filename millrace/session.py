@@ -22,7 +22,7 @@ DEFAULTS = {
 def local_session(cores: int | str = 8, app: str = "millrace") -> SparkSession:
     """A local session for tests and the bench; a cluster job brings its own."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
-         .config("spark.ui.enabled", "false")
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "8g")
          .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8"))
     for k, v in DEFAULTS.items():

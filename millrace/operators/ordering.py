@@ -15,10 +15,11 @@ BITS = 20
 
 
 def running_totals(df: DataFrame, key: str, values: Mapping[str, Column], by: Sequence[str] = (),
-                   inclusive: bool = False, bits: int = BITS, hot_rows: int = 1_000_000) -> DataFrame:
+                   inclusive: bool = False, bits: int = BITS, hot_rows: int = 1_000_000,
+                   tie: Sequence[str] = ()) -> DataFrame:
     """Add, per entry of ``values``, its sum over all rows before this one (and this one if ``inclusive``).
 
-    ``key`` is an integer, unique (within ``by``). Groups of up to ``hot_rows`` rows form one block;
+    ``key`` is an integer, unique (within ``by``) together with ``tie``. Groups of up to ``hot_rows`` rows form one block;
     larger ones are cut along the key.
     """
     by, names = list(by), list(values)
@@ -33,13 +34,14 @@ def running_totals(df: DataFrame, key: str, values: Mapping[str, Column], by: Se
         tagged = tagged.withColumn("_b", block)
 
     def before(window_keys, order, end):
-        return Window.partitionBy(*window_keys).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+        order = [order] if isinstance(order, str) else order
+        return Window.partitionBy(*window_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
 
     def sums(columns, window):
         return [F.coalesce(F.sum(c).over(window), F.lit(0)) for c in columns]
 
     v = [f"_v_{n}" for n in names]
-    local = before([*by, "_b"], key, 0 if inclusive else -1)
+    local = before([*by, "_b"], [key, *tie], 0 if inclusive else -1)
     inner = tagged.select(*df.columns, "_b", *[c.alias(f"_in_{n}") for c, n in zip(sums(v, local), names)])
     blocks = (tagged.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in v])
               .withColumn("_t", F.shiftright(F.col("_b"), bits)))
@@ -53,9 +55,10 @@ def running_totals(df: DataFrame, key: str, values: Mapping[str, Column], by: Se
         *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_mid_{n}") + F.col(f"_top_{n}")).alias(n) for n in names])
 
 
-def global_index(df: DataFrame, key: str, name: str = "idx", by: Sequence[str] = (), bits: int = BITS) -> DataFrame:
+def global_index(df: DataFrame, key: str, name: str = "idx", by: Sequence[str] = (), bits: int = BITS,
+                 tie: Sequence[str] = ()) -> DataFrame:
     """Dense 0-based position in key order."""
-    return running_totals(df, key, {name: F.lit(1).cast("bigint")}, by=by, bits=bits)
+    return running_totals(df, key, {name: F.lit(1).cast("bigint")}, by=by, bits=bits, tie=tie)
 
 
 def file_line_key(df: DataFrame, name: str = "line_key") -> DataFrame:

@@ -13,22 +13,20 @@ from millrace.operators.ordering import carry_last, global_index, previous, trai
 RUN, SEQ = "run_id", "seq"
 
 
-def _first_of(df: DataFrame, names: list[str], row: str) -> Column:
-    """First non-null of the columns that exist."""
-    have = [F.col(f"{row}.{n}") for n in names if n in df.columns]
-    return F.coalesce(*have) if have else F.lit(None)
+def _first_of(df: DataFrame, names: list[str], default: Column) -> Column:
+    """Value of the first column that the log has; whether a column exists decides, not whether it is null."""
+    return next((F.col(f"r.{n}") for n in names if n in df.columns), default)
 
 
 def latest(df: DataFrame) -> DataFrame:
     """Newest row of each run with the usual fallbacks for step, reward, rate and status."""
     last = df.groupBy(RUN).agg(F.max_by(F.struct(*df.columns), F.col(SEQ)).alias("r"), F.count(F.lit(1)).alias("rows"))
-    step = F.coalesce(_first_of(df, ["current_step", "rollout_step", "step"], "r"), F.col("rows") - 1)
     return last.select(
-        RUN, "rows", step.alias("current_step"),
-        F.coalesce(_first_of(df, ["reward", "batch_reward_mean"], "r"), F.lit(0.0)).alias("reward"),
-        F.coalesce(_first_of(df, ["loss"], "r"), F.lit(0.0)).alias("current_loss"),
-        F.coalesce(_first_of(df, ["learning_rate", "lr"], "r"), F.lit(0.0)).alias("current_lr"),
-        F.coalesce(_first_of(df, ["status"], "r"), F.lit("training")).alias("status"))
+        RUN, "rows", _first_of(df, ["current_step", "rollout_step", "step"], F.col("rows") - 1).alias("current_step"),
+        _first_of(df, ["reward", "batch_reward_mean"], F.lit(0.0)).alias("reward"),
+        _first_of(df, ["loss"], F.lit(0.0)).alias("current_loss"),
+        _first_of(df, ["learning_rate", "lr"], F.lit(0.0)).alias("current_lr"),
+        F.coalesce(_first_of(df, ["status"], F.lit(None).cast("string")), F.lit("training")).alias("status"))
 
 
 def positions(df: DataFrame) -> DataFrame:

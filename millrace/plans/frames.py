@@ -126,6 +126,14 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.sql(text, **{source: table(spark, sf_dir, source)}))
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same frame over a streaming read of its table."""
+    text, source = _SPARK[name]
+    schema = table(spark, sf_dir, source).schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
+    return spark.sql(text, **{source: rows})
+
+
 _DUCK = {"lines": LINES_DUCK, "logprobs": LOGPROBS_DUCK}
 for _n, (_t, _s) in _SPARK.items():
     _DUCK.setdefault(_n, _t.replace("{" + _s + "}", _s))

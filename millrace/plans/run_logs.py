@@ -26,9 +26,13 @@ def r6(df, *names):
 ELAPSED = """el AS (SELECT run_id, (epoch_us(arg_max(ts, seq)) - epoch_us(arg_min(ts, seq))) / 1000000.0 AS sec, arg_min(step, seq) AS s0, arg_max(step, seq) AS s1 FROM metrics GROUP BY run_id)"""
 
 
-@query("latest_per_run", sql("""
-SELECT run_id, count(*) AS "rows", arg_max(step, seq) AS current_step, round(arg_max(reward, seq), 6) AS reward, coalesce(round(arg_max(coalesce(loss, 0), seq), 6), 0) AS current_loss,
-  CAST(0 AS DOUBLE) AS current_lr, arg_max(coalesce(status, 'training'), seq) AS status FROM metrics GROUP BY run_id"""))
+LATEST = """
+SELECT run_id, n AS "rows", step AS current_step, round(reward, 6) AS reward, round(loss, 6) AS current_loss, CAST(0 AS DOUBLE) AS current_lr,
+  coalesce(status, 'training') AS status
+FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS r FROM metrics) t WHERE r = 1"""
+
+
+@query("latest_per_run", sql(LATEST))
 def latest_per_run(spark, sf):
     return r6(J.latest(metrics(spark, sf)), "reward", "current_loss")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: the characters str.strip() and str.split() treat as white space.
 SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
@@ -65,3 +65,14 @@ def last_match(pattern: str, c: Column, group: int = 0) -> Column:
 def hash60(*parts: Column) -> Column:
     """Repeatable 60-bit hash of a key: the seeded replacement for random draws."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("bigint")
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumns`` for costly expressions that later filters and projections use.
+
+    The optimizer copies a plain alias into every later use; it does not look through a generator, so
+    passing the value through a one-element ``inline`` keeps it to one evaluation per row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))

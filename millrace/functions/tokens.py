@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from millrace.functions.text import let
+
 IGNORED = -100
 PAD_ID, EOS_ID, FIRST_ID = 0, 1, 2
 VOCAB = 50_000
@@ -40,7 +42,8 @@ def attention(size: Column, length: int) -> Column:
 def encode_fixed(text: Column, length: int, vocab: int = VOCAB) -> Column:
     """``struct<input_ids, attention_mask>``: cut at ``length`` (the rest of the text is dropped) and padded."""
     ids = F.transform(F.slice(tokens(text), 1, length), lambda t: token_id(t, vocab))
-    return F.struct(pad_to(ids, length, PAD_ID).alias("input_ids"), attention(F.size(ids), length).alias("attention_mask"))
+    return let(ids, lambda x: F.struct(pad_to(x, length, PAD_ID).alias("input_ids"),
+                                       let(F.size(x), lambda n: attention(n, length)).alias("attention_mask")))
 
 
 def causal_labels(ids: Column, mask: Column) -> Column:
@@ -73,11 +76,14 @@ def offset_tokenizer(encode: Callable[[str], Iterable[tuple[int, int, int]]], le
 
 def word_encoder(vocab: int = VOCAB) -> Callable[[str], Iterable[tuple[int, int, int]]]:
     """The default tokens with offsets, ids as ``token_id`` gives them."""
-    def encode(text: str):
-        import hashlib
+    import hashlib
+
+    import regex
 
-        import regex
-        for m in regex.finditer(WORDS, text):
+    pattern = regex.compile(WORDS)
+
+    def encode(text: str):
+        for m in pattern.finditer(text):
             token = m.group()
             hashed = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % vocab + FIRST_ID
             yield (EOS_ID if token == EOS else hashed), m.start(), m.end()

@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.functions.text import after_last, before_first, hash60, strip
-from millrace.operators.ordering import global_index, running_totals
+from millrace.functions.text import after_last, before_first, computed_once, hash60, strip
+from millrace.operators.ordering import global_index
 
 
 def group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward") -> DataFrame:
@@ -20,17 +20,26 @@ def group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward") -> Dat
                                F.max(reward).alias("hi"))
 
 
-def group_advantage(df: DataFrame, by: Sequence[str], reward: str = "reward", use_std: bool = True,
-                    eps: float = 1e-6) -> DataFrame:
+def with_group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward") -> DataFrame:
+    """Add ``n``, ``mean`` and ``std`` of the row's group."""
+    stats = group_stats(df.select(*by, reward), by, reward).select(*by, "n", "mean", "std")
+    return df.join(stats, list(by)).select(*df.columns, "n", "mean", "std")
+
+
+def advantage(reward: Column, use_std: bool = True, eps: float = 1e-6) -> Column:
     """Reward relative to its group: centred, and divided by the sample deviation when that is not tiny.
 
-    The single member of a group keeps its reward.
+    The single member of a group keeps its reward. Reads ``n``, ``mean`` and ``std``.
     """
-    stats = group_stats(df.select(*by, reward), by, reward).select(*by, "n", "mean", "std")
-    centred = F.col(reward) - F.col("mean")
+    centred = reward - F.col("mean")
     scaled = centred / F.when(F.col("std") < eps, 1.0).otherwise(F.col("std")) if use_std else centred
-    return df.join(stats, list(by)).select(
-        *df.columns, F.when(F.col("n") == 1, F.col(reward)).otherwise(scaled).alias("advantage"))
+    return F.when(F.col("n") == 1, reward).otherwise(scaled)
+
+
+def group_advantage(df: DataFrame, by: Sequence[str], reward: str = "reward", use_std: bool = True,
+                    eps: float = 1e-6) -> DataFrame:
+    """Add ``advantage``."""
+    return with_group_stats(df, by, reward).select(*df.columns, advantage(F.col(reward), use_std, eps).alias("advantage"))
 
 
 def zero_gradient_filter(df: DataFrame, by: Sequence[str], reward: str = "reward") -> DataFrame:
@@ -82,7 +91,7 @@ def success_store(df: DataFrame, by: str, key: str, reward: str = "reward", keep
     """
     draw = hash60(F.lit(seed), F.col(by), F.col(key))
     w = Window.partitionBy(by).orderBy("_draw", key)
-    return (df.filter(F.col(reward) >= threshold).withColumn("_draw", draw)
+    return (computed_once(df.filter(F.col(reward) >= threshold), _draw=draw)
             .withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= keep).drop("_draw"))
 
 
@@ -155,8 +164,10 @@ def rollout_counters(df: DataFrame, run: str, step: str, group: str, group_size:
         F.coalesce(F.sum(F.when(used, F.col("n"))), F.lit(0)).alias("experiences_tuned"))
     steps = steps.withColumn("prompts_generated", F.floor(F.col("completions_generated") / group_size)).withColumn(
         "filtered_groups", F.greatest(F.lit(0).cast("bigint"), F.col("prompts_generated") - F.col("prompts_used")))
+    # One row per step is left by now, so a run's steps fit one ordered window.
+    so_far = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = ["prompts_generated", "prompts_used", "completions_generated", "experiences_tuned"]
-    return running_totals(steps, step, {f"cum_{c}": F.col(c) for c in counted}, by=[run], inclusive=True)
+    return steps.withColumns({f"cum_{c}": F.sum(c).over(so_far) for c in counted})
 
 
 def attach_reference(prompts: DataFrame, references: DataFrame, on: str) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import tokens as E
+from millrace.functions.text import computed_once
 
 
 def sft_examples(df: DataFrame, tokenizer, length: int, text: str = "text", spans: str = "spans") -> DataFrame:
     """Fixed-length ``input_ids, attention_mask, labels``; rows with nothing to train on are dropped."""
     rest = [c for c in df.columns if c not in (text, spans)]
-    cut = df.select(*rest, F.col(spans), tokenizer(F.col(text)).alias("_t"))
-    labelled = cut.select(*rest, "_t.ids", E.span_labels(F.col("_t.ids"), F.col("_t.starts"), F.col("_t.ends"),
-                                                         F.col(spans)).alias("_l"))
+    cut = computed_once(df.select(*rest, spans, text), _t=tokenizer(F.col(text)))
+    labels = E.span_labels(F.col("_t.ids"), F.col("_t.starts"), F.col("_t.ends"), F.col(spans))
+    labelled = computed_once(cut.select(*rest, F.col("_t.ids").alias("ids"), labels.alias("_l")), _l=F.col("_l"))
     kept = labelled.filter(F.exists("_l", lambda x: x != E.IGNORED))
     return kept.select(*rest, E.pad_to(F.col("ids"), length, E.PAD_ID).alias("input_ids"),
                        E.attention(F.size("ids"), length).alias("attention_mask"),

@@ -71,23 +71,26 @@ def elapsed_eta(df: DataFrame, step: str, ts: str, total_steps: Column | None =
                         F.coalesce(pace, F.lit(0.0)).alias("seconds_per_step"))
 
 
-def rolling_mean(df: DataFrame, value: str, name: str, width: int = 10, scaled: bool = True) -> DataFrame:
-    """Trailing mean. With ``scaled`` the width is ``min(width, rows // 4)`` and runs of up to ``width``
-    rows are left unsmoothed."""
-    placed = positions(df)
-    out = trailing(placed, [RUN], "pos", width, {"_w": (F.collect_list, F.struct(value))})
-    values = F.col(f"_w.{value}")
-    if scaled:
-        sizes = df.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
-        out = out.join(sizes, RUN)
-        k = F.least(F.lit(width), F.floor(F.col("_n") / 4)).cast("int")
-        size = F.size("_w")
-        values = F.slice(values, F.greatest(F.lit(1), size - k + 1), F.greatest(F.lit(1), k))
-    kept = F.filter(values, lambda x: x.isNotNull())
-    mean = F.try_divide(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), F.size(kept))
+def rolling_mean(df: DataFrame, names: dict[str, str], width: int = 10, scaled: bool = True) -> DataFrame:
+    """Trailing means, ``names`` mapping a column to its smoothed name.
+
+    With ``scaled`` the width is ``min(width, rows // 4)`` and runs of up to ``width`` rows stay unsmoothed (null).
+    """
+    held = {f"_w_{c}": (F.collect_list, F.struct(c)) for c in names}
+    out = trailing(positions(df), [RUN], "pos", width, held)
     if scaled:
-        mean = F.when(F.col("_n") > width, mean)
-    return out.select(*df.columns, mean.alias(name))
+        out = out.join(df.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n")), RUN)
+
+    def mean(c):
+        values = F.col(f"_w_{c}.{c}")
+        if scaled:
+            k = F.greatest(F.lit(1), F.least(F.lit(width), F.floor(F.col("_n") / 4)).cast("int"))
+            values = F.slice(values, F.greatest(F.lit(1), F.size(values) - k + 1), k)
+        kept = F.filter(values, lambda x: x.isNotNull())
+        value = F.try_divide(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), F.size(kept))
+        return F.when(F.col("_n") > width, value) if scaled else value
+
+    return out.select(*df.columns, *[mean(c).alias(n) for c, n in names.items()])
 
 
 def rolling_outcomes(df: DataFrame, outcome: str, width: int = 200) -> DataFrame:

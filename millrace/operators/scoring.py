@@ -7,11 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import rewards as R
+from millrace.functions.text import computed_once
 
 
 def with_components(df: DataFrame, parts: Mapping[str, Column]) -> DataFrame:
     """Add one guarded reward column per component."""
-    return df.select("*", *[R.guard(c).alias(n) for n, c in parts.items()])
+    return computed_once(df, **{n: R.guard(c) for n, c in parts.items()})
 
 
 def default_parts(style: str = "deepseek", completion: str = "completion",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.text import strip
+from millrace.functions.text import computed_once, strip
 from millrace.operators import chat as D, sampling as C
 from millrace.plans.frames import frame, over
 from millrace.plans.registry import query
@@ -45,13 +45,13 @@ placed AS (SELECT *, CAST(sum(length(t)) OVER w AS INT) AS e, CAST(sum(length(t)
 
 @query("chat_tags", over(f"WITH {SEGMENTS} SELECT conv_id, string_agg(t, '' ORDER BY turn, part) AS text FROM placed GROUP BY conv_id", "messages"))
 def chat_tags(spark, sf):
-    df = messages(spark, sf, None).select("conv_id", D.text_only(D.chat_segments(F.col("messages"), EOS)).alias("text"))
-    return df.filter("text IS NOT NULL")
+    df = computed_once(messages(spark, sf, None), text=D.text_only(D.chat_segments(F.col("messages"), EOS)))
+    return df.filter("text IS NOT NULL").select("conv_id", "text")
 
 
 @query("spans", over(f"WITH {SEGMENTS} SELECT conv_id, s AS start, e AS \"end\", t AS span_text FROM placed WHERE train", "messages"))
 def spans(spark, sf):
-    df = messages(spark, sf, None).select("conv_id", D.render(D.chat_segments(F.col("messages"), EOS)).alias("r"))
+    df = computed_once(messages(spark, sf, None), r=D.render(D.chat_segments(F.col("messages"), EOS)))
     long = df.filter("r IS NOT NULL").select("conv_id", "r.text", F.explode("r.spans").alias("s"))
     return long.select("conv_id", "s.start", "s.end", F.substring(
         F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("span_text"))
@@ -63,7 +63,7 @@ SELECT conv_id, turn, concat('You are a helpful assistant.', chr(10), chr(10), '
 FROM pairs WHERE trim(output) <> ''""", "pairs"))
 def instruct_tags(spark, sf):
     r = D.render(D.instruct_segments(F.col("instruction"), F.col("output"), eos=EOS))
-    df = frame(spark, sf, "pairs").select("conv_id", "turn", r.alias("r")).filter("r IS NOT NULL")
+    df = computed_once(frame(spark, sf, "pairs"), r=r).filter("r IS NOT NULL")
     first = F.try_element_at("r.spans", F.lit(1))
     return df.select("conv_id", "turn", "r.text", first["start"].alias("start"), first["end"].alias("end"))
 
@@ -92,7 +92,7 @@ def instruct_chatml(spark, sf):
 SELECT p.conv_id, s + 22 AS start, e AS "end" FROM placed p WHERE role = 'assistant'
 UNION ALL SELECT p.conv_id, max(e), max(e) + {len(EOS)} FROM placed p JOIN head h ON p.conv_id = h.conv_id AND has_bot GROUP BY p.conv_id""", "messages"))
 def template_spans(spark, sf):
-    df = messages(spark, sf).select("conv_id", D.chatml_spans(F.col("messages"), EOS).alias("r")).filter("r IS NOT NULL")
+    df = computed_once(messages(spark, sf), r=D.chatml_spans(F.col("messages"), EOS)).filter("r IS NOT NULL")
     return df.select("conv_id", F.explode("r.spans").alias("s")).select("conv_id", "s.start", "s.end")
 
 

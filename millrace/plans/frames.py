@@ -7,7 +7,9 @@ Divisors such as 499 keep values off the exact ties on which the engines' roundi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millrace.functions.text import computed_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,17 +124,24 @@ _SPARK = {"lines": (LINES_SPARK, "documents"), "messages": (MESSAGES, "conversat
           "logprobs": (LOGPROBS_SPARK, "embeddings"), "metrics": (METRICS, "events"), "steps": (STEPS, "events")}
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+_COSTLY = {"lines": "line", "completions": "completion"}  # columns made here that a real log would store
+
+
+def _shaped(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
     text, source = _SPARK[name]
-    return spread(spark.sql(text, **{source: table(spark, sf_dir, source)}))
+    df = spark.sql(text, **{source: rows})
+    return computed_once(df, **{c: F.col(c)}) if (c := _COSTLY.get(name)) else df
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _shaped(spark, name, spread(table(spark, sf_dir, _SPARK[name][1])))
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same frame over a streaming read of its table."""
-    text, source = _SPARK[name]
+    source = _SPARK[name][1]
     schema = table(spark, sf_dir, source).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
-    return spark.sql(text, **{source: rows})
+    return _shaped(spark, name, spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir))
 
 
 _DUCK = {"lines": LINES_DUCK, "logprobs": LOGPROBS_DUCK}

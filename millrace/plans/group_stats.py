@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import rewards as R
+from millrace.functions.text import computed_once
 from millrace.operators import groups as G
 from millrace.plans.frames import frame, over, spread, table
 from millrace.plans.registry import query
@@ -19,7 +20,7 @@ def scored(spark, sf):
     reward = R.guard(R.format_reward(F.col("completion"))) + R.guard(
         R.integer_reward(F.col("completion"), F.col("reference_answer")))
     run = F.concat(F.lit("run_"), (F.col("group_id") % 4).cast("string"))
-    return frame(spark, sf, "completions").select("*", reward.alias("reward"), run.alias("run_id"))
+    return computed_once(frame(spark, sf, "completions"), reward=reward).withColumn("run_id", run)
 
 
 def sql(body: str) -> str:
@@ -38,9 +39,9 @@ FROM (SELECT *, count(*) OVER g AS n, avg(reward) OVER g AS mean, stddev_samp(re
   WINDOW g AS (PARTITION BY group_id)) t"""))
 def group_advantage(spark, sf):
     df = scored(spark, sf).select("group_id", "comp_id", "reward")
-    out = G.group_advantage(df, ["group_id"]).withColumnRenamed("advantage", "grpo")
-    out = G.group_advantage(out, ["group_id"], use_std=False).withColumnRenamed("advantage", "drgrpo")
-    return out.select("group_id", "comp_id", F.round("grpo", 6).alias("grpo"), F.round("drgrpo", 6).alias("drgrpo"))
+    out, r = G.with_group_stats(df, ["group_id"]), F.col("reward")
+    return out.select("group_id", "comp_id", F.round(G.advantage(r), 6).alias("grpo"),
+                      F.round(G.advantage(r, use_std=False), 6).alias("drgrpo"))
 
 
 @query("zero_gradient_filter", sql("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import rewards as R
+from millrace.functions.text import computed_once
 from millrace.plans.corpus import METRICS_SCHEMA, VALID, metrics_text, s_trim
 from millrace.plans.fields import LANG, SCORE
 from millrace.plans.frames import over, stream
@@ -31,7 +32,8 @@ def kept(spark, df, label, reduce):
 def scored_stream(spark, sf):
     reward = R.guard(R.format_reward(F.col("completion"))) + R.guard(
         R.integer_reward(F.col("completion"), F.col("reference_answer")))
-    return stream(spark, sf, "completions").select("group_id", "comp_id", "completion", reward.alias("reward"))
+    rows = stream(spark, sf, "completions").select("group_id", "comp_id", "completion", "reference_answer")
+    return computed_once(rows, reward=reward).drop("reference_answer")
 
 
 @query("stream_metrics_latest", over(LATEST.replace("FROM metrics)", "FROM (SELECT * FROM metrics WHERE seq % 89 <> 7 AND seq % 83 <> 3) m)")

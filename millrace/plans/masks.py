@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens as E
+from millrace.functions.text import computed_once
 from millrace.operators import chat as D, masks as M
 from millrace.plans.chat import EOS, SEGMENTS, messages
 from millrace.plans.frames import frame, over, spread, table
@@ -54,7 +55,7 @@ alive AS (SELECT conv_id FROM lab GROUP BY conv_id HAVING bool_or(train))"""
 
 
 def examples(spark, sf):
-    df = messages(spark, sf, None).select("conv_id", D.render(D.chat_segments(F.col("messages"), EOS)).alias("r"))
+    df = computed_once(messages(spark, sf, None), r=D.render(D.chat_segments(F.col("messages"), EOS)))
     df = df.filter("r IS NOT NULL").select("conv_id", "r.text", "r.spans")
     return M.sft_examples(df, E.offset_tokenizer(E.word_encoder(), SFT_LENGTH), SFT_LENGTH)
 

@@ -61,13 +61,13 @@ def elapsed_eta(spark, sf):
 
 
 @query("rolling_mean", sql("""
-SELECT run_id, seq, CASE WHEN n > 10 THEN round(avg(reward) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) END AS smooth,
-  round(avg(loss) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS loss10
-FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM metrics) t"""))
+SELECT run_id, seq, CASE WHEN n > 10 THEN round(avg(reward) OVER w, 6) END AS reward_smooth, CASE WHEN n > 10 THEN round(avg(loss) OVER w, 6) END AS loss_smooth
+FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM metrics) t
+WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""))
 def rolling_mean(spark, sf):
-    df = J.rolling_mean(metrics(spark, sf).select("run_id", "seq", "reward", "loss"), "reward", "smooth")
-    df = J.rolling_mean(df, "loss", "loss10", scaled=False)
-    return r6(df.select("run_id", "seq", "smooth", "loss10"), "smooth", "loss10")
+    df = metrics(spark, sf).select("run_id", "seq", "reward", "loss")
+    out = J.rolling_mean(df, {"reward": "reward_smooth", "loss": "loss_smooth"})
+    return r6(out, "reward_smooth", "loss_smooth").drop("reward", "loss")
 
 
 @query("rolling_outcomes", sql("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from millrace.functions import paths as P
-from millrace.functions.text import strip
+from millrace.functions.text import computed_once, strip
 
 _PLAIN = (T.StringType, T.NumericType)
 
@@ -28,8 +28,7 @@ def parse_metrics(lines: DataFrame, schema: str, line: str = "line") -> DataFram
     """Metrics rows of JSON lines; blank and broken lines are skipped."""
     fields = T.StructType.fromDDL(schema).fields
     rest = [c for c in lines.columns if c != line]
-    parsed = (lines.filter(strip(F.col(line)) != "").select(*rest, P.parse(F.col(line)).alias("_v"))
-              .filter("_v IS NOT NULL"))
+    parsed = computed_once(lines.filter(strip(F.col(line)) != ""), _v=P.parse(F.col(line))).filter("_v IS NOT NULL")
     return parsed.select(*rest, *[F.try_variant_get("_v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name)
                                   for f in fields])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import paths as P
-from millrace.functions.text import strip
+from millrace.functions.text import computed_once, strip
 from millrace.operators.ordering import running_totals
 
 
@@ -69,15 +69,15 @@ def jsonl_texts(lines: DataFrame, line: str = "line", strict: bool = True) -> Da
     ``strict`` strips the text and drops it when empty or missing; otherwise a missing text is ``''``.
     """
     rest = [c for c in lines.columns if c != line]
-    texts = (lines.select(*rest, P.parse(F.col(line)).alias("_v")).filter("_v IS NOT NULL")
+    texts = (computed_once(lines.select(*rest, line), _v=P.parse(F.col(line))).filter("_v IS NOT NULL")
              .select(*rest, F.coalesce(F.try_variant_get("_v", "$.text", "string"), F.lit("")).alias("text")))
-    return texts.withColumn("text", strip(F.col("text"))).filter("text <> ''") if strict else texts
+    return computed_once(texts, text=strip(F.col("text"))).filter("text <> ''") if strict else texts
 
 
 def records(lines: DataFrame, line: str = "line", keep_line: bool = False) -> DataFrame:
     """JSON lines as VARIANT ``record``; blank and broken lines are skipped."""
     rest = [c for c in lines.columns if c != line or keep_line]
-    return lines.select(*rest, P.parse(F.col(line)).alias("record")).filter("record IS NOT NULL")
+    return computed_once(lines, record=P.parse(F.col(line))).filter("record IS NOT NULL").select(*rest, "record")
 
 
 def audit(lines: DataFrame, formatted: Column, line: str = "line", min_chars: int = 10) -> DataFrame:
@@ -85,7 +85,7 @@ def audit(lines: DataFrame, formatted: Column, line: str = "line", min_chars: in
 
     ``formatted`` renders the training text from the VARIANT column ``record`` (null when it cannot).
     """
-    parsed = lines.select(P.parse(F.col(line)).alias("record"))
+    parsed = computed_once(lines.select(line), record=P.parse(F.col(line)))
     ok = F.coalesce(F.length(strip(formatted)) >= min_chars, F.lit(False))
     counts = parsed.agg(F.count(F.lit(1)).alias("total_lines"), F.count("record").alias("parsed"),
                         F.count_if(ok).alias("valid_examples"))
@@ -100,7 +100,7 @@ def prompt_records(lines: DataFrame, prompt_key: str = "prompt", answer_key: str
     a broken line is an error."""
     rest = [c for c in lines.columns if c != line]
     body = F.nullif(strip(F.col(line)), F.lit(""))
-    full = lines.select(*rest, F.parse_json(body).alias("metadata")).filter("metadata IS NOT NULL")
+    full = computed_once(lines.select(*rest, line), metadata=F.parse_json(body)).filter("metadata IS NOT NULL")
     m = F.col("metadata")
     return full.select(*rest, P.text_at(m, prompt_key).alias("prompt"), P.text_at(m, answer_key).alias("reference_answer"), "metadata")
 

@@ -26,9 +26,9 @@ def assemble(df: DataFrame, by: str, order: str, fields: list[str], name: str =
     and stops the job before anything is gathered.
     """
     oversize = (df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_messages)
-                .select(by, F.lit(True).alias("_big")))
+                .select(by, F.lit(True).alias("_big")).limit(1))  # one is enough to stop
     stop = F.raise_error(F.lit(f"a conversation holds more than {max_messages} messages"))
-    checked = df.join(oversize, by, "left").withColumn(order, F.when(F.col("_big"), stop).otherwise(F.col(order)))
+    checked = df.join(F.broadcast(oversize), by, "left").withColumn(order, F.when(F.col("_big"), stop).otherwise(F.col(order)))
     item = F.struct(order, *fields)
     gathered = checked.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias(name))
     return gathered.withColumn(name, F.transform(name, lambda m: F.struct(*[m[f].alias(f) for f in fields])))

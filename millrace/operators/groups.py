@@ -1,7 +1,7 @@
 """Group statistics, signal filters, replay and teacher selection over scored completions.
 
-Group sizes are arbitrary: statistics are aggregated map-side first and joined back by key, so a group
-holding a large share of the rows is split by the adaptive skew join instead of landing in one window.
+Group sizes are arbitrary: statistics are aggregated map-side first and joined back by key, with hot groups
+salted, so a group holding a large share of the rows never lands in one window or one join task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions.text import after_last, before_first, computed_once, hash60, strip
 from millrace.operators.ordering import global_index
+from millrace.operators.skew import join_groups
 
 
 def group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward") -> DataFrame:
@@ -20,10 +21,11 @@ def group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward") -> Dat
                                F.max(reward).alias("hi"))
 
 
-def with_group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward") -> DataFrame:
+def with_group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward",
+                     spread: Sequence[str] | None = None) -> DataFrame:
     """Add ``n``, ``mean`` and ``std`` of the row's group."""
-    stats = group_stats(df.select(*by, reward), by, reward).select(*by, "n", "mean", "std")
-    return df.join(stats, list(by)).select(*df.columns, "n", "mean", "std")
+    stats = group_stats(df.select(*by, reward), by, reward)
+    return join_groups(df, stats.select(*by, "n", "mean", "std"), by, stats, spread=spread).select(*df.columns, "n", "mean", "std")
 
 
 def advantage(reward: Column, use_std: bool = True, eps: float = 1e-6) -> Column:
@@ -37,15 +39,15 @@ def advantage(reward: Column, use_std: bool = True, eps: float = 1e-6) -> Column
 
 
 def group_advantage(df: DataFrame, by: Sequence[str], reward: str = "reward", use_std: bool = True,
-                    eps: float = 1e-6) -> DataFrame:
-    """Add ``advantage``."""
-    return with_group_stats(df, by, reward).select(*df.columns, advantage(F.col(reward), use_std, eps).alias("advantage"))
+                    eps: float = 1e-6, spread: Sequence[str] | None = None) -> DataFrame:
+    """Add ``advantage``. ``spread`` names row ids, used to cut hot groups."""
+    return with_group_stats(df, by, reward, spread).select(*df.columns, advantage(F.col(reward), use_std, eps).alias("advantage"))
 
 
-def zero_gradient_filter(df: DataFrame, by: Sequence[str], reward: str = "reward") -> DataFrame:
+def zero_gradient_filter(df: DataFrame, by: Sequence[str], reward: str = "reward", spread: Sequence[str] | None = None) -> DataFrame:
     """Keep the groups whose rewards differ; a single member never carries a signal."""
-    spread = df.groupBy(*by).agg(F.min(reward).alias("lo"), F.max(reward).alias("hi")).filter("hi <> lo")
-    return df.join(spread.select(*by), list(by), "left_semi")
+    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(reward).alias("lo"), F.max(reward).alias("hi"))
+    return join_groups(df, stats.filter("hi <> lo").select(*by), by, stats, how="left_semi", spread=spread)
 
 
 def signal_summary(df: DataFrame, by: Sequence[str], reward: str = "reward") -> DataFrame:
@@ -101,7 +103,8 @@ def assign_teacher(df: DataFrame, store: DataFrame, by: str, key: str, seed: int
         F.struct("slot", F.col("prompt").alias("p"), F.col("completion").alias("c")))).alias("_opts"))
     pick = F.pmod(hash60(F.lit(seed), F.lit("pick"), F.col(by), F.col(key)), F.size("_opts")) + 1
     chosen = F.try_element_at("_opts", pick.cast("int"))
-    return (df.join(options, by, "left").withColumn("_t", F.when(F.col("_opts").isNotNull(), chosen))
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return (join_groups(df, options, [by], counts, how="left", spread=[key]).withColumn("_t", F.when(F.col("_opts").isNotNull(), chosen))
             .select(*df.columns, F.col("_t.p").alias("teacher_prompt"), F.col("_t.c").alias("teacher_completion"),
                     F.col("_t").isNotNull().alias("has_teacher")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import tokens as E
 from millrace.functions.text import computed_once
+from millrace.operators.skew import join_groups
 
 
 def sft_examples(df: DataFrame, tokenizer, length: int, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -41,9 +42,10 @@ def mask_listing(examples: DataFrame, *keys: str, first: int = 50) -> DataFrame:
 
 def pad_group(df: DataFrame, batch: str, order: str, vector: str, prompt_len: str, left: bool = True, fill=0.0) -> DataFrame:
     """Vectors padded to the longest of their batch; the batch takes its first row's prompt length."""
-    sizes = df.groupBy(batch).agg(F.max(F.size(vector)).alias("_max"), F.min_by(prompt_len, order).alias("batch_prompt_len"))
+    sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("_max"),
+                                  F.min_by(prompt_len, order).alias("batch_prompt_len"))
     padded = E.pad_to(F.col(vector), F.col("_max"), fill, left)
-    return df.join(sizes, batch).select(batch, order, padded.alias(vector), "batch_prompt_len")
+    return join_groups(df, sizes.drop("n"), [batch], sizes, spread=[order]).select(batch, order, padded.alias(vector), "batch_prompt_len")
 
 
 def collate(df: DataFrame, batch: str, order: str, *columns: str) -> DataFrame:

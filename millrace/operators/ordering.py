@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.operators.skew import hot_keys, with_parts
+
 BITS = 20
 
 
@@ -26,10 +28,9 @@ def running_totals(df: DataFrame, key: str, values: Mapping[str, Column], by: Se
     tagged = df.select("*", *[values[n].alias(f"_v_{n}") for n in names])
     block = F.shiftright(F.col(key).cast("bigint"), bits)
     if by:
-        hot = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-               .select(*by, F.lit(True).alias("_hot")))
-        tagged = tagged.join(hot, by, "left").withColumn(
-            "_b", F.when(F.col("_hot"), block).otherwise(F.lit(0).cast("bigint"))).drop("_hot")
+        hot = hot_keys(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by, hot_rows=hot_rows)
+        tagged = with_parts(tagged, hot, by).withColumn(
+            "_b", F.when(F.col("_parts").isNotNull(), block).otherwise(F.lit(0).cast("bigint"))).drop("_parts")
     else:
         tagged = tagged.withColumn("_b", block)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.operators.ordering import carry_last, global_index, previous, trailing
+from millrace.operators.skew import join_groups
 
 RUN, SEQ = "run_id", "seq"
 
@@ -79,7 +80,8 @@ def rolling_mean(df: DataFrame, names: dict[str, str], width: int = 10, scaled:
     held = {f"_w_{c}": (F.collect_list, F.struct(c)) for c in names}
     out = trailing(positions(df), [RUN], "pos", width, held)
     if scaled:
-        out = out.join(df.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n")), RUN)
+        sizes = df.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
+        out = join_groups(out, sizes, [RUN], sizes, "_n", spread=["pos"])
 
     def mean(c):
         values = F.col(f"_w_{c}.{c}")

@@ -39,7 +39,7 @@ def resume_state(df: DataFrame, idx: str = "idx") -> DataFrame:
 
 def resume_from(df: DataFrame, state: DataFrame, idx: str = "idx") -> DataFrame:
     """Rows at or behind the saved position of their shard; a shard without state starts at 0."""
-    joined = df.join(state, "shard", "left")
+    joined = df.join(F.broadcast(state), "shard", "left")  # one row per shard
     return joined.filter(F.col(idx) >= F.coalesce("next_idx", F.lit(0))).drop("next_idx")
 
 

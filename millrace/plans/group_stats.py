@@ -39,7 +39,7 @@ FROM (SELECT *, count(*) OVER g AS n, avg(reward) OVER g AS mean, stddev_samp(re
   WINDOW g AS (PARTITION BY group_id)) t"""))
 def group_advantage(spark, sf):
     df = scored(spark, sf).select("group_id", "comp_id", "reward")
-    out, r = G.with_group_stats(df, ["group_id"]), F.col("reward")
+    out, r = G.with_group_stats(df, ["group_id"], spread=["comp_id"]), F.col("reward")
     return out.select("group_id", "comp_id", F.round(G.advantage(r), 6).alias("grpo"),
                       F.round(G.advantage(r, use_std=False), 6).alias("drgrpo"))
 
@@ -49,7 +49,7 @@ SELECT group_id, comp_id, round(reward, 6) AS reward FROM scored
 WHERE group_id IN (SELECT group_id FROM scored GROUP BY group_id HAVING count(DISTINCT reward) > 1)"""))
 def zero_gradient_filter(spark, sf):
     df = scored(spark, sf).select("group_id", "comp_id", "reward")
-    return G.zero_gradient_filter(df, ["group_id"]).withColumn("reward", F.round("reward", 6))
+    return G.zero_gradient_filter(df, ["group_id"], spread=["comp_id"]).withColumn("reward", F.round("reward", 6))
 
 
 @query("batch_baseline", over("""

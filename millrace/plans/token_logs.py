@@ -31,7 +31,7 @@ def logs(spark, sf):
 
 def with_loss(spark, sf):
     """Token losses with the group-relative advantage."""
-    df = G.group_advantage(logs(spark, sf), ["group_id"])
+    df = G.group_advantage(logs(spark, sf), ["group_id"], spread=["vec_id"])
     df = df.withColumns({"ratio": L.ratio(F.col("logp_new"), F.col("logp_old")),
                          "kl": L.kl_k3(F.col("logp_new"), F.col("logp_ref"), F.col("mask"))})
     return df.withColumn("loss", L.policy_loss(F.col("ratio"), F.col("advantage"), F.col("kl"), kl_weight=0.1))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from millrace.functions import paths as P
 from millrace.functions.text import computed_once, strip
+from millrace.operators.skew import join_groups
 
 _PLAIN = (T.StringType, T.NumericType)
 
@@ -44,9 +45,10 @@ def sample_rows(df: DataFrame, by: list[str], key: str, per_row: int = 256) -> D
 
     A prompt with very many completions is written as several rows, so no row grows without bound.
     """
-    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / per_row).alias("_parts"))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / per_row).alias("rows_out"))
     item = F.struct(key, "completion", "reward")
-    rows = (df.join(sizes, by).withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts")))
+    rows = (join_groups(df, sizes.drop("n"), by, sizes, spread=[key])
+            .withColumn("part", F.pmod(F.xxhash64(F.lit("part"), key), F.col("rows_out")))
             .groupBy(*by, "part").agg(F.first("prompt").alias("prompt"), F.sort_array(F.collect_list(item)).alias("items")))
     return rows.select(*by, "part", "prompt", F.transform("items", lambda x: x[key]).alias("keys"),
                        F.transform("items", lambda x: x["completion"]).alias("completions"),

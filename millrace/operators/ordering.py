@@ -70,23 +70,39 @@ def file_line_key(df: DataFrame, name: str = "line_key") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def trailing(df: DataFrame, by: Sequence[str], pos: str, rows: int, exprs: dict[str, tuple], bits: int = 16) -> DataFrame:
-    """Aggregates over this row and the ``rows - 1`` before it, per group, by dense position.
-
-    ``exprs`` maps an output name to ``(function, column)``. Each block of positions also receives the
-    tail of the block before it, so a group is never gathered in one task.
-    """
+def _blocks_with_tail(df: DataFrame, pos: str, rows: int, bits: int) -> DataFrame:
+    """Rows by block of positions ``_b``; each block also gets the last ``rows - 1`` rows of the block before it."""
     size = 1 << bits
     if rows > size:
         raise ValueError("a trailing window must fit into one block")
     b = F.shiftright(F.col(pos), bits)
     in_tail = F.pmod(F.col(pos), F.lit(size)) >= size - (rows - 1)
     spread = F.when(in_tail, F.array(b, b + 1)).otherwise(F.array(b)) if rows > 1 else F.array(b)
-    cut = df.withColumn("_b", F.explode(spread)).withColumn("_own", F.col("_b") == b)
+    return df.withColumn("_b", F.explode(spread)).withColumn("_own", F.col("_b") == b)
+
+
+def trailing(df: DataFrame, by: Sequence[str], pos: str, rows: int, exprs: dict[str, tuple], bits: int = 16) -> DataFrame:
+    """Aggregates over this row and the ``rows - 1`` before it, per group, by dense position.
+
+    ``exprs`` maps an output name to ``(function, column)``. A group is never gathered in one task.
+    """
+    cut = _blocks_with_tail(df, pos, rows, bits)
     w = Window.partitionBy(*by, "_b").orderBy(pos).rowsBetween(-(rows - 1), 0)
-    for name, (fn, column) in exprs.items():
-        cut = cut.withColumn(name, fn(column).over(w))
-    return cut.filter("_own").drop("_b", "_own")
+    out = cut.select("*", *[fn(column).over(w).alias(name) for name, (fn, column) in exprs.items()])
+    return out.filter("_own").drop("_b", "_own")
+
+
+def trailing_counts(df: DataFrame, by: Sequence[str], pos: str, rows: int, flags: dict[str, Column], bits: int = 16) -> DataFrame:
+    """How often each flag held among this row and the ``rows - 1`` before it.
+
+    Running counts less those ``rows`` back: the cost per row does not depend on the width.
+    """
+    cut = _blocks_with_tail(df.withColumns({f"_f_{n}": c.cast("bigint") for n, c in flags.items()}), pos, rows, bits)
+    order = Window.partitionBy(*by, "_b").orderBy(pos)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = cut.select("*", *[F.sum(f"_f_{n}").over(so_far).alias(f"_c_{n}") for n in flags])
+    out = run.select("*", *[(F.col(f"_c_{n}") - F.coalesce(F.lag(f"_c_{n}", rows).over(order), F.lit(0))).alias(n) for n in flags])
+    return out.filter("_own").select(*df.columns, *flags)
 
 
 def previous(df: DataFrame, by: Sequence[str], pos: str, column: str, name: str, bits: int = 16) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.operators.ordering import carry_last, global_index, previous, trailing
+from millrace.operators.ordering import carry_last, global_index, previous, trailing, trailing_counts
 from millrace.operators.skew import join_groups
 
 RUN, SEQ = "run_id", "seq"
@@ -98,10 +98,10 @@ def rolling_mean(df: DataFrame, names: dict[str, str], width: int = 10, scaled:
 def rolling_outcomes(df: DataFrame, outcome: str, width: int = 200) -> DataFrame:
     """Share of wins, draws and losses among the last ``width`` results."""
     o = F.col(outcome)
-    flags = positions(df).withColumns({"_w": F.when(o > 0, 1.0).otherwise(0.0), "_d": F.when(o == 0, 1.0).otherwise(0.0),
-                                       "_l": F.when(o < 0, 1.0).otherwise(0.0)})
-    out = trailing(flags, [RUN], "pos", width, {"win_rate": (F.avg, "_w"), "draw_rate": (F.avg, "_d"), "loss_rate": (F.avg, "_l")})
-    return out.select(*df.columns, *[F.round(c, 3).alias(c) for c in ("win_rate", "draw_rate", "loss_rate")])
+    flags = {"win_rate": o > 0, "draw_rate": o == 0, "loss_rate": o < 0}
+    out = trailing_counts(positions(df), [RUN], "pos", width, flags)
+    seen = F.least(F.col("pos") + 1, F.lit(width))
+    return out.select(*df.columns, *[F.round(F.col(c) / seen, 3).alias(c) for c in flags])
 
 
 def winrate(df: DataFrame, outcome: str) -> DataFrame:

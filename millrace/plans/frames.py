@@ -16,10 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out an input that has fewer splits than the cluster has cores; larger inputs pass unchanged."""
+def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Deal out an input that has fewer splits than the cluster has cores; larger inputs pass unchanged.
+
+    ``like`` is a batch read of the same files, for a stream whose splits are not known beforehand.
+    """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    splits = (df if like is None else like).rdd.getNumPartitions()
+    return df.repartition(wanted) if splits < wanted else df
 
 
 LINES_SPARK = """
@@ -140,8 +144,9 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same frame over a streaming read of its table."""
     source = _SPARK[name][1]
-    schema = table(spark, sf_dir, source).schema
-    return _shaped(spark, name, spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir))
+    batch = table(spark, sf_dir, source)
+    rows = spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
+    return _shaped(spark, name, spread(rows, like=batch))
 
 
 _DUCK = {"lines": LINES_DUCK, "logprobs": LOGPROBS_DUCK}

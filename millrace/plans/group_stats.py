@@ -16,11 +16,14 @@ SCORED = (f"SELECT *, {s_format('completion')} + {s_integer_reward('completion',
           "concat('run_', CAST(group_id % 4 AS VARCHAR)) AS run_id FROM completions")
 
 
-def scored(spark, sf):
+def scored(spark, sf, once=False):
+    """Scored completions. ``once`` for queries that filter on the reward (see ``computed_once``); the others
+    leave the reward a plain expression, which the optimizer drops where it is not needed."""
     reward = R.guard(R.format_reward(F.col("completion"))) + R.guard(
         R.integer_reward(F.col("completion"), F.col("reference_answer")))
     run = F.concat(F.lit("run_"), (F.col("group_id") % 4).cast("string"))
-    return computed_once(frame(spark, sf, "completions"), reward=reward).withColumn("run_id", run)
+    rows = frame(spark, sf, "completions").withColumn("run_id", run)
+    return computed_once(rows, reward=reward) if once else rows.withColumn("reward", reward)
 
 
 def sql(body: str) -> str:
@@ -84,7 +87,7 @@ STORE = ("store AS (SELECT group_id, comp_id, prompt, completion, reward, row_nu
 
 @query("success_store", sql(f"WITH {STORE} SELECT group_id, comp_id, slot, completion, round(reward, 6) AS reward FROM store"))
 def success_store(spark, sf):
-    out = G.success_store(scored(spark, sf), "group_id", "comp_id")
+    out = G.success_store(scored(spark, sf, once=True), "group_id", "comp_id")
     return out.select("group_id", "comp_id", "slot", "completion", F.round("reward", 6).alias("reward"))
 
 
@@ -93,8 +96,8 @@ SELECT s.group_id, s.comp_id, t.completion AS teacher_completion, k IS NOT NULL
 FROM scored s LEFT JOIN size ON s.group_id = size.group_id
 LEFT JOIN store t ON t.group_id = s.group_id AND t.slot = 1 + {HASH.format("'0', 'pick', CAST(s.group_id AS VARCHAR), s.comp_id")} % k"""))
 def assign_teacher(spark, sf):
-    df = scored(spark, sf)
-    out = G.assign_teacher(df.select("group_id", "comp_id"), G.success_store(df, "group_id", "comp_id"), "group_id", "comp_id")
+    rows, store = scored(spark, sf), G.success_store(scored(spark, sf, once=True), "group_id", "comp_id")
+    out = G.assign_teacher(rows.select("group_id", "comp_id"), store, "group_id", "comp_id")
     return out.select("group_id", "comp_id", "teacher_completion", "has_teacher")
 
 
@@ -104,7 +107,7 @@ SELECT group_id, comp_id, substr(concat('Here is the problem:', chr(10), 'How ma
   CASE WHEN is_truncated THEN concat(chr(10), 'Previous attempt feedback:', chr(10), 'Too long.', chr(10)) ELSE '' END), 1, 4096) AS text
 FROM scored WHERE reward >= 0.5"""))
 def reprompt(spark, sf):
-    df = scored(spark, sf).filter(F.col("reward") >= 0.5)
+    df = scored(spark, sf, once=True).filter(F.col("reward") >= 0.5)
     note = F.when(F.col("is_truncated"), "Too long.")
     return df.select("group_id", "comp_id", G.reprompt(F.col("prompt"), F.col("completion"), note).alias("text"))
 
@@ -125,7 +128,7 @@ def best_worst(spark, sf):
 SELECT CASE WHEN reward > 0.5 THEN 'high' WHEN reward > 0 THEN 'middle' ELSE 'low' END AS band, count(*) AS n,
   max(length(completion)) AS longest FROM scored GROUP BY 1"""))
 def reward_bands(spark, sf):
-    df = scored(spark, sf).select(G.reward_band(F.col("reward")).alias("band"),
+    df = scored(spark, sf, once=True).select(G.reward_band(F.col("reward")).alias("band"),
                                   F.length(G.preview_text(F.col("completion"))).alias("len"))
     return df.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest"))
 

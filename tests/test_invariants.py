@@ -55,6 +55,15 @@ def test_trailing_window_over_blocks(skewed, bits):
             assert (r["m"], r["n"]) == (max(window), len(window))
 
 
+@pytest.mark.parametrize("bits", [3, 16])
+def test_trailing_counts_over_blocks(skewed, bits):
+    placed = O.global_index(skewed, "seq", "pos", by=["run_id"])
+    got = O.trailing_counts(placed, ["run_id"], "pos", 7, {"k": F.col("reward") > 0.5}, bits=bits)
+    for group in by_run(got).values():
+        for i, r in enumerate(group):
+            assert r["k"] == sum(x["reward"] > 0.5 for x in group[max(0, i - 6):i + 1])
+
+
 @pytest.mark.parametrize("bits", [2, 20])
 def test_carry_last(skewed, bits):
     got = O.carry_last(skewed, ["run_id"], "seq", "loss", "held", bits=bits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -127,21 +128,23 @@ def map_fields(df: DataFrame, record: str = "record", prompt_field: str = "quest
     return out.withColumn("reference", F.when(a.contains("####"), final_answer(a)).otherwise(a))
 
 
-def fill_template(template: str, prompt: Column, reference: Column, record: Column, fields: Sequence[str]) -> Column:
+def fill_template(template: str, prompt: Column, reference: Column, record: Column, fields: Sequence[str] = ()) -> Column:
     """Literal replacement of ``{{prompt}}``, ``{{reference}}`` and ``{{metadata.k}}``, in that order.
 
-    A field the record lacks leaves its mark in place.
+    Replaced are the ``fields``, wherever their mark stands by then (an inserted text may hold it), and after
+    them all fields the template names. A field the record lacks leaves its mark in place.
     """
     out = F.replace(F.lit(template), F.lit("{{prompt}}"), prompt)
     out = F.replace(out, F.lit("{{reference}}"), reference)
-    for k in fields:
+    named = re.findall(r"\{\{metadata\.(.+?)\}\}", template)
+    for k in dict.fromkeys([*fields, *named]):
         filled = F.replace(out, F.lit("{{metadata." + k + "}}"), P.text_at(record, k))
-        out = F.when(P.has_key(record, k), filled).otherwise(out) if "{{metadata." + k + "}}" in template else out
+        out = F.when(P.has_key(record, k), filled).otherwise(out)
     return out
 
 
-def metadata_map(record: Column, raw_prompt: Column, raw_answer: Column, fields: Sequence[str] = ()) -> Column:
-    """Open metadata: full answer and raw prompt first, then the chosen and all other fields; the first writer wins."""
+def metadata_map(record: Column, raw_prompt: Column, raw_answer: Column) -> Column:
+    """Open metadata: full answer and raw prompt first, then every field of the record; the first writer wins."""
     own = F.create_map(F.lit("full_answer"), raw_answer, F.lit("raw_prompt"), raw_prompt)
     source = F.transform_values(F.try_variant_get(record, "$", "map<string,variant>"), lambda k, v: P.as_text(v))
     return F.map_concat(own, F.map_filter(source, lambda k, v: ~k.isin("full_answer", "raw_prompt")))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import tokens as E
-from millrace.functions.text import computed_once
+from millrace.functions.text import computed_once, strip
 from millrace.operators.skew import join_groups
 
 
-def sft_examples(df: DataFrame, tokenizer, length: int, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Fixed-length ``input_ids, attention_mask, labels``; rows with nothing to train on are dropped."""
+def sft_examples(df: DataFrame, tokenizer, length: int, text: str = "text", spans: str = "spans", min_chars: int = 10) -> DataFrame:
+    """Fixed-length ``input_ids, attention_mask, labels``; short texts and rows with nothing to train on are dropped."""
+    df = df.filter(F.length(strip(F.col(text))) >= min_chars)
     rest = [c for c in df.columns if c not in (text, spans)]
     cut = computed_once(df.select(*rest, spans, text), _t=tokenizer(F.col(text)))
     labels = E.span_labels(F.col("_t.ids"), F.col("_t.starts"), F.col("_t.ends"), F.col(spans))

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.operators.skew import hot_keys, with_parts
 
-BITS = 20
+BITS = 16  # rows of a block: at most 65,536, so that wide rows still sort in memory
+SUPER_BITS = 24  # blocks of a super-block; block totals are narrow
 
 
 def running_totals(df: DataFrame, key: str, values: Mapping[str, Column], by: Sequence[str] = (),
-                   inclusive: bool = False, bits: int = BITS, hot_rows: int = 1_000_000,
+                   inclusive: bool = False, bits: int = BITS, hot_rows: int = 200_000,
                    tie: Sequence[str] = ()) -> DataFrame:
     """Add, per entry of ``values``, its sum over all rows before this one (and this one if ``inclusive``).
 
@@ -45,8 +46,8 @@ def running_totals(df: DataFrame, key: str, values: Mapping[str, Column], by: Se
     local = before([*by, "_b"], [key, *tie], 0 if inclusive else -1)
     inner = tagged.select(*df.columns, "_b", *[c.alias(f"_in_{n}") for c, n in zip(sums(v, local), names)])
     blocks = (tagged.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in v])
-              .withColumn("_t", F.shiftright(F.col("_b"), bits)))
-    # Block totals of one super-block (at most 2**bits rows), then the few super-blocks.
+              .withColumn("_t", F.shiftright(F.col("_b"), SUPER_BITS)))
+    # Block totals of one super-block, then the super-blocks: both narrow, and bounded whatever the keys.
     tops = blocks.groupBy(*by, "_t").agg(*[F.sum(c).alias(c) for c in v])
     tops = tops.select(*by, "_t", *[c.alias(f"_top_{n}") for c, n in zip(sums(v, before(by, "_t", -1)), names)])
     mids = blocks.select(*by, "_t", "_b", *[c.alias(f"_mid_{n}")

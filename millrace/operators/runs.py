@@ -110,13 +110,26 @@ def winrate(df: DataFrame, outcome: str) -> DataFrame:
                                F.count_if(o < 0).alias("losses"), F.avg(F.when(o > 0, 1.0).otherwise(0.0)).alias("win_rate"))
 
 
+RANK_LIMIT = 1000  # up to here Spark applies a rank filter before the shuffle
+
+
+def newest_rows(df: DataFrame, last: int) -> DataFrame:
+    """The last rows of each run in log order."""
+    if last <= RANK_LIMIT:
+        newest = Window.partitionBy(RUN).orderBy(F.col(SEQ).desc())
+        return df.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= last).drop("_r")
+    sizes = df.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
+    placed = join_groups(positions(df), sizes, [RUN], sizes, "_n", spread=["pos"])
+    return placed.filter(F.col("pos") >= F.col("_n") - last).select(*df.columns)
+
+
 def decimate(df: DataFrame, last: int = 2000, target: int = 1200) -> DataFrame:
-    """The last rows of each run, thinned to about ``target``. The rank filter runs before the shuffle."""
-    newest = Window.partitionBy(RUN).orderBy(F.col(SEQ).desc())
-    tail = df.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= last)
-    size = F.count(F.lit(1)).over(Window.partitionBy(RUN))  # at most ``last`` rows per run by now
-    tail = tail.withColumn("_n", size).withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / target)))
-    keep = F.when(F.col("_n") > target, F.pmod(F.col("_n") - F.col("_r"), F.col("_step")) == 0).otherwise(True)
+    """The last rows of each run, thinned to about ``target``."""
+    run = Window.partitionBy(RUN)  # at most ``last`` rows by now
+    tail = newest_rows(df, last).select("*", F.count(F.lit(1)).over(run).alias("_n"),
+                                        F.row_number().over(run.orderBy(SEQ)).alias("_i"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / target))
+    keep = F.when(F.col("_n") > target, F.pmod(F.col("_i") - 1, step) == 0).otherwise(True)
     return tail.filter(keep).select(*df.columns)
 
 

@@ -133,7 +133,7 @@ def apply_template(spark, sf):
     df = B.map_fields(open_records(spark, sf))
     return df.select("prompt_id", B.fill_template(
         "Q: {{prompt}} [{{metadata.brand}}|{{reference}}] {{metadata.nothing}}", F.col("raw_prompt"), F.col("reference"),
-        F.col("record"), ["brand", "difficulty"]).alias("prompt"))
+        F.col("record")).alias("prompt"))
 
 
 @query("collect_metadata", over(f"""WITH {MAPPED}

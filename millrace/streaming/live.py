@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators.groups import success_store
+from millrace.operators.runs import newest_rows
 
 
 # ---- running and reading back --------------------------------------------------------------------
@@ -96,9 +97,8 @@ def reduced_view(spark: SparkSession, folder: str, schema, reduce: Reduce, fold:
 
 
 def newest(keep: int) -> Reduce:
-    """Newest ``keep`` rows per run; the rank filter runs before the shuffle."""
-    order = Window.partitionBy("run_id").orderBy(F.col("seq").desc())
-    return lambda df: df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= keep).drop("_r")
+    """Newest ``keep`` rows per run."""
+    return lambda df: newest_rows(df, keep)
 
 
 def successes(keep: int = 5, threshold: float = 0.5, seed: int = 0) -> Reduce:

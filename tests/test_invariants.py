@@ -206,6 +206,21 @@ def test_single_row_run_counts_from_now(spark):
     assert (row["elapsed_seconds"], row["eta_seconds"]) == (60.0, 0.0)
 
 
+@pytest.mark.parametrize("last", [20, 300])
+def test_newest_rows_by_rank_and_by_position(skewed, last, monkeypatch):
+    monkeypatch.setattr(J, "RANK_LIMIT", 100)
+    got, src = by_run(J.newest_rows(skewed, last)), by_run(skewed)
+    assert {k: [r["seq"] for r in v] for k, v in got.items()} == {k: [r["seq"] for r in v][-last:] for k, v in src.items()}
+    thin = by_run(J.decimate(skewed, last, 10))["hot"]
+    assert [r["seq"] for r in thin] == [r["seq"] for r in src["hot"]][-last:][::last // 10]
+
+
+def test_template_marks_inside_inserted_text(spark):
+    v = F.parse_json(F.lit('{"a": "1", "b": null}'))
+    row = spark.range(1).select(B.fill_template("{{prompt}} {{metadata.b}} {{metadata.c}}", F.lit("x {{metadata.a}}"), F.lit("r"), v, ["a"])).first()
+    assert row[0] == "x 1  {{metadata.c}}"
+
+
 def test_history_chunks_hold_every_row_in_order(skewed):
     got = J.histories(skewed, ["seq", "loss"], chunk=50).collect()
     assert max(len(r["seq_history"]) for r in got) == 50

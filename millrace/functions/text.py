@@ -67,6 +67,13 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("bigint")
 
 
+def instant(df: DataFrame, ts: str) -> Column:
+    """A log time as a timestamp; one without zone is read as UTC whatever the session zone."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.concat(F.col(ts).cast("string"), F.lit("Z")).cast("timestamp")
+    return F.col(ts).cast("timestamp")
+
+
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """``withColumns`` for costly expressions that later filters and projections use.
 

@@ -107,6 +107,12 @@ PROMPT_FALLBACKS = ["question", "prompt", "input", "instruction", "problem", "qu
 REFERENCE_FALLBACKS = ["answer", "response", "output", "solution", "target", "completion"]
 
 
+def suggest_fields(names: Sequence[str]) -> tuple[str | None, str | None]:
+    """Prompt and reference field to offer for a data set with these fields; here ``label`` counts as a reference too."""
+    prompt = next((n for n in PROMPT_FALLBACKS if n in names), None)
+    return prompt, next((n for n in [*REFERENCE_FALLBACKS, "label"] if n in names), None)
+
+
 def _pick(record: Column, field: str, fallbacks: Sequence[str]) -> Column:
     """The field, else the first fallback that is present, even if that one is null."""
     chosen = P.get(record, field)

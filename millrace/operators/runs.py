@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.functions.text import instant
 from millrace.operators.ordering import carry_last, global_index, previous, trailing, trailing_counts
 from millrace.operators.skew import join_groups
 
@@ -60,8 +61,8 @@ def elapsed_eta(df: DataFrame, step: str, ts: str, total_steps: Column | None =
     ends = df.groupBy(RUN).agg(
         F.count(F.lit(1)).alias("rows"), F.min_by(step, SEQ).alias("s0"), F.max_by(step, SEQ).alias("s1"),
         F.min_by(ts, SEQ).alias("t0"), F.max_by(ts, SEQ).alias("t1"))
-    end = F.when(F.col("rows") == 1, now if now is not None else F.current_timestamp()).otherwise(F.col("t1").cast("timestamp"))
-    seconds = (F.unix_micros(end) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6
+    end = F.when(F.col("rows") == 1, now if now is not None else F.current_timestamp()).otherwise(instant(ends, "t1"))
+    seconds = (F.unix_micros(end) - F.unix_micros(instant(ends, "t0"))) / 1e6
     timed = ends.withColumn("elapsed_seconds", F.greatest(F.lit(0.0), F.coalesce(seconds, F.lit(0.0))))
     moved = F.greatest(F.lit(0), F.col("s1") - F.col("s0"))
     if total_steps is None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.functions import paths as P
 from millrace.functions.text import computed_once, strip
@@ -36,11 +36,21 @@ def read_corpus(spark: SparkSession, path: str, strict: bool = True) -> DataFram
 
 
 def read_preview(spark: SparkSession, path: str, rows: int = 20) -> DataFrame:
-    """First records of a ``.jsonl``, ``.json`` (array or one object) or ``.csv`` file."""
+    """First records of a ``.jsonl``, ``.json`` (array, or one object of columns) or ``.csv`` file.
+
+    Of an object of columns, the first value of each column is shown.
+    """
     suffix, _ = base_suffix(path)
     if suffix == ".csv":
         return spark.read.option("header", True).csv(path).limit(rows)
-    return spark.read.option("multiLine", suffix == ".json").json(path).limit(rows)
+    df = spark.read.option("multiLine", suffix == ".json").json(path).limit(rows)
+    if suffix != ".json":
+        return df
+    opening = spark.read.text(path).select(F.substring(strip(F.col("value")), 1, 1).alias("c")).filter("c <> ''").first()
+    if opening is None or opening["c"] != "{":
+        return df
+    return df.select(*[(F.try_element_at(f.name, F.lit(1)) if isinstance(f.dataType, T.ArrayType) else F.col(f.name)).alias(f.name)
+                       for f in df.schema.fields])
 
 
 def catalog(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.functions.text import instant
 from millrace.operators.groups import success_store
 from millrace.operators.runs import newest_rows
 
@@ -49,13 +50,13 @@ def latest_state(metrics: DataFrame) -> DataFrame:
 
 def dedupe_steps(metrics: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Drop rows whose run and step came before, within the lateness allowed."""
-    timed = metrics.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = metrics.withColumn(ts, instant(metrics, ts))
     return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["run_id", "step"])
 
 
 def rates(metrics: DataFrame, ts: str = "ts", size: str = "10 minutes", slide: str = "1 minute", delay: str = "1 hour") -> DataFrame:
     """Mean reward and prompts per second per run over sliding windows."""
-    timed = metrics.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    timed = metrics.withColumn(ts, instant(metrics, ts)).withWatermark(ts, delay)
     out = timed.groupBy("run_id", F.window(ts, size, slide).alias("w")).agg(
         F.avg("reward").alias("reward"), F.sum("prompts_generated").alias("prompts"), F.count(F.lit(1)).alias("n"))
     seconds = F.unix_seconds("w.end") - F.unix_seconds("w.start")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -83,6 +84,8 @@ if __name__ == "__main__":
     sf = f"/root/testdata/sf{sys.argv[1]}"
     wanted = sys.argv[2:]
     spark, con = local_session(8), duck(sf)
+    for setting in filter(None, os.environ.get("COMPARE_CONF", "").split(",")):  # e.g. spark.sql.shuffle.partitions=3
+        spark.conf.set(*setting.split("=", 1))
     sqls, failed = oracle_sql(), []
     for name, fn in queries().items():
         if wanted and not any(w == name or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import paths as P
+from millrace.operators import fields as B
 from millrace.operators.ordering import file_line_key, global_index
 from millrace.sources import runs as SR, text as ST
 
@@ -43,6 +44,17 @@ def test_preview_and_catalog(spark, folder):
     assert {r["name"] for r in ST.catalog(spark, str(folder)).collect()} == {"c.jsonl", "c.txt", "c.jsonl.gz"}
 
 
+def test_preview_of_an_object_of_columns(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"x": [1, 2], "y": "z"}, indent=1))
+    row = ST.read_preview(spark, f"{tmp_path}/c.json").first()
+    assert (row["x"], row["y"]) == (1, "z")
+
+
+def test_suggested_fields():
+    assert B.suggest_fields(["text", "label", "problem"]) == ("problem", "label")
+    assert B.suggest_fields(["x"]) == (None, None)
+
+
 def test_broken_prompt_line_is_an_error(spark):
     df = spark.createDataFrame([("{bad",)], "line string")
     with pytest.raises(Exception):

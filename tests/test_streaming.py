@@ -79,3 +79,13 @@ def test_a_restart_with_nothing_new_adds_nothing(spark, rows, tmp_path):
     for _ in range(2):
         K.run_to_end(source(spark, rows, tmp_path).select(*COLUMNS), str(tmp_path))
     assert K.written(spark, str(tmp_path), rows.schema).count() == rows.filter("seq % 5 = 0").count()
+
+
+def test_windows_do_not_depend_on_the_session_zone(spark, rows):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    want = sets(K.rates(rows).select(F.unix_seconds("window_start").alias("w"), "n"), "w", "n")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert sets(K.rates(rows).select(F.unix_seconds("window_start").alias("w"), "n"), "w", "n") == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -108,8 +108,9 @@ def trailing_counts(df: DataFrame, by: Sequence[str], pos: str, rows: int, flags
 
 def previous(df: DataFrame, by: Sequence[str], pos: str, column: str, name: str, bits: int = 16) -> DataFrame:
     """Value of ``column`` in the row before, per group, by dense position (null on the first)."""
-    shifted = df.select(*by, (F.col(pos) + 1).alias(pos), F.col(column).alias(name))
-    return df.join(shifted, [*by, pos], "left")
+    order = Window.partitionBy(*by, "_b").orderBy(pos)
+    out = _blocks_with_tail(df, pos, 2, bits).withColumn(name, F.lag(column).over(order))
+    return out.filter("_own").drop("_b", "_own")
 
 
 def carry_last(df: DataFrame, by: Sequence[str], key: str, column: str, name: str, bits: int = BITS) -> DataFrame:

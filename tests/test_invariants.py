@@ -64,6 +64,13 @@ def test_trailing_counts_over_blocks(skewed, bits):
             assert r["k"] == sum(x["reward"] > 0.5 for x in group[max(0, i - 6):i + 1])
 
 
+@pytest.mark.parametrize("bits", [1, 16])
+def test_previous_over_blocks(skewed, bits):
+    placed = O.global_index(skewed, "seq", "pos", by=["run_id"])
+    for group in by_run(O.previous(placed, ["run_id"], "pos", "seq", "before", bits=bits)).values():
+        assert [r["before"] for r in group] == [None, *[r["seq"] for r in group[:-1]]]
+
+
 @pytest.mark.parametrize("bits", [2, 20])
 def test_carry_last(skewed, bits):
     got = O.carry_last(skewed, ["run_id"], "seq", "loss", "held", bits=bits)

@@ -85,13 +85,16 @@ def scan_preview(spark, sf):
     return ST.field_preview(ST.records(lines(spark, sf).select("doc_id", "line")), "doc_id")
 
 
-@query("scan_catalog")
+@query("scan_catalog", over("""
+SELECT 'plain' AS kind, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, true AS found FROM lines UNION ALL SELECT 'zipped', NULL, true""", "lines"))
 def scan_catalog(spark, sf):
     root = shared_dir(spark, "catalog")
     ST.write_jsonl(lines(spark, sf), f"{root}/plain")
     df = ST.plain_texts(lines(spark, sf)).select(F.col("text").alias("line"))
     ST.write_jsonl(df, f"{root}/zipped", gzip=True)
-    return ST.catalog(spark, root).select("name", "size_mb")
+    kind = F.when(F.col("name").endswith(".gz"), "zipped").otherwise("plain")
+    sized = ST.catalog(spark, root).groupBy(kind.alias("kind")).agg(F.sum("bytes").alias("total"))
+    return sized.select("kind", F.when(F.col("kind") == "plain", F.col("total")).alias("bytes"), (F.col("total") > 0).alias("found"))
 
 
 CAP = 400_000

@@ -58,7 +58,7 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length"))
     kept = F.lower("path").rlike(r"\.(jsonl|txt|txt\.gz|jsonl\.gz)$")
     return files.filter(kept).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path",
-                                     F.round(F.col("length") / 1048576, 2).alias("size_mb"))
+                                     F.col("length").alias("bytes"), F.round(F.col("length") / 1048576, 2).alias("size_mb"))
 
 
 def write_jsonl(df: DataFrame, path: str, line: str = "line", gzip: bool = False) -> None:

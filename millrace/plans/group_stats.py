@@ -88,7 +88,7 @@ STORE = ("store AS (SELECT group_id, comp_id, prompt, completion, reward, row_nu
 @query("success_store", sql(f"WITH {STORE} SELECT group_id, comp_id, slot, completion, round(reward, 6) AS reward FROM store"))
 def success_store(spark, sf):
     out = G.success_store(scored(spark, sf, once=True), "group_id", "comp_id")
-    return out.select("group_id", "comp_id", "slot", "completion", F.round("reward", 6).alias("reward"))
+    return out.select("group_id", "comp_id", F.col("slot").cast("bigint").alias("slot"), "completion", F.round("reward", 6).alias("reward"))
 
 
 @query("assign_teacher", sql(f"""WITH {STORE}, size AS (SELECT group_id, count(*) AS k FROM store GROUP BY group_id)
@@ -130,7 +130,7 @@ SELECT CASE WHEN reward > 0.5 THEN 'high' WHEN reward > 0 THEN 'middle' ELSE 'lo
 def reward_bands(spark, sf):
     df = scored(spark, sf, once=True).select(G.reward_band(F.col("reward")).alias("band"),
                                   F.length(G.preview_text(F.col("completion"))).alias("len"))
-    return df.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest"))
+    return df.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("len").cast("bigint").alias("longest"))
 
 
 @query("rollout_counters", sql("""

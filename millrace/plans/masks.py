@@ -72,14 +72,16 @@ def sft_labels(spark, sf):
 SELECT conv_id, count(*) AS valid_tokens, count(*) FILTER (WHERE train) AS trainable_tokens, round(100.0 * count(*) FILTER (WHERE train) / count(*), 6) AS trainable_pct
 FROM lab WHERE conv_id IN (SELECT conv_id FROM alive) GROUP BY conv_id""", "messages"))
 def mask_report(spark, sf):
-    return M.mask_report(examples(spark, sf), "conv_id").withColumn("trainable_pct", F.round("trainable_pct", 6))
+    out = M.mask_report(examples(spark, sf), "conv_id")
+    return out.select("conv_id", F.col("valid_tokens").cast("bigint").alias("valid_tokens"),
+                      F.col("trainable_tokens").cast("bigint").alias("trainable_tokens"), F.round("trainable_pct", 6).alias("trainable_pct"))
 
 
 @query("mask_listing", over(f"""WITH {TOKENS}
 SELECT conv_id, pos, id AS token_id, CASE WHEN train THEN 'TRAIN' ELSE 'MASKED' END AS marker FROM lab
 WHERE conv_id IN (SELECT conv_id FROM alive) AND pos < 50""", "messages"))
 def mask_listing(spark, sf):
-    return M.mask_listing(examples(spark, sf), "conv_id")
+    return M.mask_listing(examples(spark, sf), "conv_id").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 # Vectors of uneven length in batches of 16, cut from the log-probability frame.
@@ -108,7 +110,8 @@ def pad_group(spark, sf):
 SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY vec_id) - 1 AS pos, vec_id, prompt_len, list_transform(v, lambda x: round(x, 6)) AS v, '' AS text FROM vectors""", "logprobs"))
 def unbatch(spark, sf):
     batched = M.collate(vectors(spark, sf), "batch", "vec_id", "prompt_len", "v")
-    return M.unbatch(batched, "batch", "vec_id", "prompt_len", "v").withColumn("v", rounded("v"))
+    return M.unbatch(batched, "batch", "vec_id", "prompt_len", "v").withColumns(
+        {"v": rounded("v"), "pos": F.col("pos").cast("bigint")})
 
 
 S_COMPLETION = """ids AS (SELECT vec_id, 8 + vec_id % 9 AS prompt_len, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS INT) % 23) AS ids FROM embeddings)"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fst_pieces, secret_markov, url_rules, wu_manber
-from millrace.llm.common import table
+from millrace.llm import fst_pieces, noisy_toxicity, prob_minhash, secret_markov, url_rules, wu_manber
+from millrace.llm.common import fold, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,17 @@ best AS (SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS r
 SELECT page_id, h.host, h.path, rule, coalesce(v, CASE WHEN regexp_matches(h.host || h.path,
          '(?i)(^|[^a-z0-9])(adserver|casino|doubleclick|porn|xxx)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN best ON h.host = best.host AND h.path = best.path"""
+
+
+@_query
+def op9_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = noisy_toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    value = F.col("_toxicity.score")
+    return noisy_toxicity.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), value.alias("score"),
+                                                    F.when(value >= noisy_toxicity.CUTOFF, 1).otherwise(0).alias("predicted"))
+
+
+@_query
+def op2_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fst_pieces, noisy_toxicity, prob_minhash, secret_markov, url_rules, wu_manber
+from millrace.llm import fst_pieces, noisy_toxicity, prob_minhash, rank_order, secret_markov, url_rules, wu_manber
 from millrace.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -86,3 +86,11 @@ def op9_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op3_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = rank_order.identify(docs.drop("lang"), rank_order.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fst_pieces, noisy_toxicity, prob_minhash, rank_order, secret_markov, url_rules, wu_manber
+from millrace.llm import fst_pieces, noisy_toxicity, prob_minhash, rank_order, rp_forest, secret_markov, url_rules, wu_manber
 from millrace.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -94,3 +94,8 @@ def op3_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 4) == 2
     found = rank_order.identify(docs.drop("lang"), rank_order.train(docs.where(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))
+
+
+@_query
+def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))

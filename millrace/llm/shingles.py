@@ -23,12 +23,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.concatenate([np.ones(1, U), np.cumprod(np.full(max(0, n - 1), base, U))])
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, hash) of every word of all texts, A-Z lower-cased. Equal words have equal hashes wherever they stand."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b"\0" + b"\0".join(raw) + b"\0", np.uint8)  # the zero byte belongs to no word
-    inside = IS_WORD[data].view(np.int8)
-    edges = np.diff(inside)
+def run_hashes(raw: list[bytes], inside: np.ndarray, separator: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash) of every maximal run of the bytes marked in `inside`, to which the separator doesn't belong.
+    Equal runs have equal hashes wherever they stand: a prefix sum of byte times power, divided by the power of the start."""
+    data = np.frombuffer(separator + separator.join(raw) + separator, np.uint8)
+    edges = np.diff(inside[data].view(np.int8))
     start, stop = np.flatnonzero(edges == 1) + 1, np.flatnonzero(edges == -1) + 1
     sums = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * powers(_P, len(data)))])
     hashes = mix((sums[stop] - sums[start]) * powers(_P_INVERSE, len(data))[start] + (stop - start).astype(U))
@@ -36,6 +35,11 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(ends, start - 1, side="right"), hashes
 
 
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash) of every word of all texts, A-Z lower-cased."""
+    return run_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], IS_WORD, b"\0")
+
+
 def weighted_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the text, hash, count) of the distinct shingles of K words, sorted; a text of fewer words, but not none, is one
     shingle. Takes at most 256 texts, whose number takes the place of the hash's top byte in the sort."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fst_pieces, katz, noisy_toxicity, prob_minhash, rank_order, rp_forest, secret_markov, url_rules, wu_manber
+from millrace.llm import fst_pieces, katz, noisy_toxicity, prob_minhash, rank_order, rp_forest, secret_markov, suffix_dedup, url_rules, wu_manber
 from millrace.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -104,3 +104,8 @@ def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents", "doc_id", "text"), fold(F.col("doc_id"), 5) == 1)
+
+
+@_query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("removed")

@@ -5,8 +5,8 @@ rate equal to its weight; a register keeps the shingle that came first. The chan
 their probability Jaccard similarity. Arrivals later than a text's latest register can't change it, so generation ends early.
 
 Bands of seven registers name buckets. Exact copies are one node. Within a bucket every node is first compared with the smallest
-one, by the exact similarity of the whole texts. Where a bucket then still holds several components, all its nodes outside the largest one
-are compared with the nodes of other components. So texts that meet in a bucket end in one group exactly if links join them, and a
+one, by the exact similarity of the whole texts. Where a bucket then still holds several components, nodes that can't be similar to any other
+are set aside, and all nodes outside the largest component are compared with the nodes of other components. So texts that meet in a bucket end in one group exactly if links join them, and a
 large bucket of copies costs one comparison per member, not one per pair.
 
 Cases: texts without words have no shingles and only join exact copies of themselves (null counts as empty); texts of one to four words are one
@@ -170,6 +170,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows (bucket, node, component) of buckets with several components, and the largest component."""
+    held = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = (held.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("k"))
+             .where("k > 1").select("bucket", "largest"))
+    return placed.join(mixed, "bucket")
+
+
+def isolated(texts: DataFrame) -> DataFrame:
+    """(node) of the texts that no other of these texts can be similar to: the similarity is at most the share of a text's weight
+    on shingles that others hold too. Heavily edited copies in large buckets go this way, without a comparison."""
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            owner, element, counts = weighted_shingles(batch.column(1).to_pylist())
+            w = weights(counts)
+            w = w / np.bincount(owner, weights=w, minlength=batch.num_rows)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(batch.column(0).to_numpy()[owner]), pa.array(w)], names=["shingle", "node", "share"])
+
+    rows = texts.select("node", "text").mapInArrow(shares, "shingle long, node long, share double")
+    lone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("share").alias("share")).where("n = 1")
+    return lone.groupBy("node").agg(F.sum("share").alias("lone")).where(F.col("lone") > 1 - THRESHOLD + 1e-9).select("node")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_id (smallest id with the same text), group_id (smallest id of the group), n_links
     (verified links of the document's text to other texts)."""
@@ -184,9 +208,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links)
 
     placed = stored(buckets.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
-    held = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = held.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("bucket", "largest")
-    open_ = placed.join(mixed, "bucket")
+    placed = _mixed(placed)
+    alone = stored(isolated(placed.select("node").distinct().join(texts, "node")), "isolated")
+    open_ = stored(_mixed(placed.select("bucket", "node", "component").join(alone, "node", "left_anti")), "open")
     left = open_.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
     right = open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"))
     more = (left.join(right, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

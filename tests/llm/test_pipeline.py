@@ -1,0 +1,57 @@
+"""The pipeline's stages beside brute force, each on its own input."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+import corpus_pipeline
+from millrace.llm.common import stored
+
+
+@pytest.fixture(scope="module")
+def steps(spark, sf_dir):
+    out = [spark.read.parquet(f"{sf_dir}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES:
+        out.append(stored(stage(spark, out[-1], sf_dir), name))
+    return out
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+
+def test_columns_stay_until_the_last_stage(steps):
+    assert all(s.columns == steps[0].columns for s in steps[:-1]) and steps[-1].columns[:len(steps[0].columns)] == steps[0].columns
+
+
+def test_one_document_of_each_group_stays(steps):
+    before, after = texts(steps[1]), texts(steps[2])
+    assert set(after) == set(brute.groups(before).values()) and all(before[i] == t for i, t in after.items())
+
+
+def test_documents_with_benchmark_windows_go(spark, sf_dir, steps):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    before, after = texts(steps[2]), texts(steps[3])
+    assert set(after) == {i for i, (_, hit, _) in brute.leaks(before, items).items() if not hit}
+
+
+def test_secrets_are_replaced(steps):
+    before, after = texts(steps[3]), texts(steps[4])
+    assert set(before) == set(after)
+    assert any(brute.base_secrets(t) for t in before.values()) and not any(brute.base_secrets(t) for t in after.values())
+    assert all(after[i] == t for i, t in before.items() if "[secret]" not in after[i])
+    assert steps[4].where(F.length("text") != F.col("n_chars")).isEmpty()
+
+
+def test_pieces_round_trip(steps):
+    assert steps[5].count() == steps[4].count() and steps[5].where("not round_trip or n_pieces <> size(piece_ids)").isEmpty()
+
+
+def test_stages_take_awkward_rows(spark, sf_dir):
+    rows = [(1, None, "en", "s", None, 1), (2, "", None, None, 0, 2), (None, "no id here", "en", "s", 10, 3), (3, "again and again", "en", "s", 15, 4), (3, "again and again", "en", "s", 15, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text int")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs, sf_dir).count() == (3 if k == 1 else 5)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]

@@ -57,20 +57,25 @@ def final_answer(c: Column) -> Column:
     )
 
 
-def integer_answer(c: Column) -> Column:
-    """Whole-number answer by the order: hash mark, phrase, tag, last integer."""
+def integer_digits(c: Column) -> Column:
+    """Whole-number answer as written, by the order: hash mark, phrase, tag, last integer; without leading zeros."""
     low = F.lower(c)  # plain substring tests keep the costlier patterns off most rows
     phrase = low.contains("answer is") | low.contains("ответ")
     total = low.contains("итого") | low.contains("всего") | low.contains("получаем")
     picks = [F.when(c.contains("####"), find(HASH_INTEGER, c, 1)), F.when(phrase, find(PHRASE_ANSWER, c, 1)),
              F.when(total, find(PHRASE_TOTAL, c, 1)), F.when(c.contains("<answer>"), find(TAG_INTEGER, c, 1)),
              last_match(r"(-?\d+)", c, 1)]
-    return F.coalesce(*picks).try_cast("bigint")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(*picks), r"\A(-?)0+(?=\d)", "$1"), r"\A-0\z", "0")
+
+
+def integer_answer(c: Column) -> Column:
+    """``integer_digits`` as a number of up to 38 digits."""
+    return integer_digits(c).try_cast("decimal(38,0)")
 
 
-def integer_reference(c: Column) -> Column:
-    """As ``integer_answer``, falling back to the truncated first number."""
-    return F.coalesce(integer_answer(c), number_in(c).try_cast("bigint"))
+def reference_digits(c: Column) -> Column:
+    """As ``integer_digits``, falling back to the truncated first number."""
+    return F.coalesce(integer_digits(c), number_in(c).try_cast("bigint").cast("string"))
 
 
 def normal_form(c: Column) -> Column:

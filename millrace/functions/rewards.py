@@ -57,14 +57,25 @@ def integer_reward(c: Column, reference: Column, style: str = "deepseek", correc
                    close: float = 0.3, bonus: float = 0.1) -> Column:
     """Whole-number match, smaller mark when off by one, bonus for reasoning tags, at most 1."""
     opening, closing = X.reasoning_tags(style)
-    gap = F.abs(X.integer_answer(c) - X.integer_reference(reference))
     extra = F.when(c.contains(opening) & c.contains(closing), bonus).otherwise(0.0)
 
-    def mark(g):
-        base = F.when(g == 0, correct).when(g == 1, close).otherwise(0.0)
-        return F.when(g.isNull(), 0.0).otherwise(F.least(base + extra, F.lit(1.0)))
+    def mark(t):
+        base = F.when(t["a"] == t["b"], correct).when(_neighbours(t["a"], t["b"]), close).otherwise(0.0)
+        return F.when(t["a"].isNull() | t["b"].isNull(), 0.0).otherwise(F.least(base + extra, F.lit(1.0)))
 
-    return let(gap, mark)
+    return let(F.struct(X.integer_digits(c).alias("a"), X.reference_digits(reference).alias("b")), mark)
+
+
+def _neighbours(a: Column, b: Column) -> Column:
+    """Whether two whole numbers in digits differ by one. Beyond 37 digits the leading ones must be equal, so a carry into them is
+    not seen."""
+    def number(x):
+        return F.when(F.length(x) <= 37, x.try_cast("decimal(37,0)")).otherwise(F.right(x, F.lit(37)).try_cast("decimal(37,0)"))
+
+    def head(x):
+        return F.when(F.length(x) > 37, F.left(x, F.length(x) - 37)).otherwise("")
+
+    return F.coalesce((head(a) == head(b)) & (F.abs(number(a) - number(b)) == 1), F.lit(False))
 
 
 def expression_reward(c: Column, reference: Column, tolerance: float = 1e-4) -> Column:

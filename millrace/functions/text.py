@@ -67,6 +67,22 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("bigint")
 
 
+def starts_of(sizes: Column, block: int = 256) -> Column:
+    """Where each part starts, from the sizes of all parts in order. Sums run within blocks and over block totals, so that
+    the cost per part doesn't grow with their number as it does for one growing array."""
+    def running(base: Column, part: Column) -> Column:
+        start = F.struct(base.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                           lambda acc: acc["out"])
+
+    def blocks(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(running(F.lit(0), totals), parts, running))
+
+    last = F.greatest(F.floor((F.size(sizes) - 1) / block).cast("int"), F.lit(0))
+    return let(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(sizes, b * block + 1, F.lit(block))), blocks)
+
+
 def instant(df: DataFrame, ts: str) -> Column:
     """A log time as a timestamp; one without zone is read as UTC whatever the session zone."""
     if dict(df.dtypes)[ts] == "timestamp_ntz":

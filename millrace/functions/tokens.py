@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from millrace.functions.text import let
+from millrace.functions.text import let, starts_of
 
 IGNORED = -100
 PAD_ID, EOS_ID, FIRST_ID = 0, 1, 2
@@ -74,6 +74,23 @@ def offset_tokenizer(encode: Callable[[str], Iterable[tuple[int, int, int]]], le
     return run
 
 
+def word_tokens(length: int, vocab: int = VOCAB) -> Callable[[Column], Column]:
+    """The default tokens with ids and character offsets as ``struct<ids, starts, ends>``, cut at ``length``. Blanks are matched as
+    well, so that offsets are sums of lengths; at most one run of them follows a token."""
+    def placed(pieces):
+        starts = starts_of(F.transform(pieces, F.length))
+        whole = F.zip_with(pieces, starts, lambda t, at: F.struct(t.alias("t"), at.alias("at")))
+        return F.slice(F.filter(whole, lambda p: ~p["t"].rlike(r"\A\s")), 1, length)
+
+    def run(text):
+        pieces = F.slice(F.regexp_extract_all(text, F.lit(WORDS + r"|\s+"), F.lit(0)), 1, 2 * length + 1)
+        return let(let(pieces, placed), lambda kept: F.struct(
+            F.transform(kept, lambda p: token_id(p["t"], vocab)).alias("ids"), F.transform(kept, lambda p: p["at"]).alias("starts"),
+            F.transform(kept, lambda p: p["at"] + F.length(p["t"])).alias("ends")))
+
+    return run
+
+
 def word_encoder(vocab: int = VOCAB) -> Callable[[str], Iterable[tuple[int, int, int]]]:
     """The default tokens with offsets, ids as ``token_id`` gives them."""
     import hashlib

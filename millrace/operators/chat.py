@@ -10,7 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.text import let, strip
+from millrace.functions.text import let, starts_of, strip
 
 # Default tags and system text.
 SYSTEM = "You are a helpful assistant."
@@ -18,19 +18,10 @@ TAGS = {"system": SYSTEM, "user_tag": "### User:", "bot_tag": "### Assistant:",
 IM_START, IM_END = "<|im_start|>", "<|im_end|>"
 
 
-def assemble(df: DataFrame, by: str, order: str, fields: list[str], name: str = "messages",
-             max_messages: int = 100_000) -> DataFrame:
-    """Message rows to one record per conversation.
-
-    A conversation is a record, so its size is bounded; one above ``max_messages`` is no conversation
-    and stops the job before anything is gathered.
-    """
-    oversize = (df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_messages)
-                .select(by, F.lit(True).alias("_big")).limit(1))  # one is enough to stop
-    stop = F.raise_error(F.lit(f"a conversation holds more than {max_messages} messages"))
-    checked = df.join(F.broadcast(oversize), by, "left").withColumn(order, F.when(F.col("_big"), stop).otherwise(F.col(order)))
+def assemble(df: DataFrame, by: str, order: str, fields: list[str], name: str = "messages") -> DataFrame:
+    """Message rows to one record per conversation, which is the unit that the renderings work on."""
     item = F.struct(order, *fields)
-    gathered = checked.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias(name))
+    gathered = df.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias(name))
     return gathered.withColumn(name, F.transform(name, lambda m: F.struct(*[m[f].alias(f) for f in fields])))
 
 
@@ -63,15 +54,10 @@ def spans_of(segments: Column) -> Column:
 
     Empty segments leave no span.
     """
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def add(acc, s):
-        end = acc["at"] + F.length(s["text"])
-        mark = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(s["train"] & (s["text"] != ""), F.concat(acc["spans"], mark))
-                        .otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate(segments, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
+    starts = starts_of(F.transform(segments, lambda s: F.length(s["text"])))
+    placed = F.zip_with(segments, starts, lambda s, at: F.struct(at.alias("start"), (at + F.length(s["text"])).alias("end"), s["train"].alias("train")))
+    kept = F.filter(placed, lambda p: p["train"] & (p["end"] > p["start"]))
+    spans = F.transform(kept, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
     return F.struct(F.array_join(F.transform(segments, lambda s: s["text"]), "").alias("text"), spans.alias("spans"))
 
 
@@ -137,16 +123,15 @@ def chatml_spans(messages: Column, eos: str = "", min_chars: int = 10) -> Column
     A span runs from the end of the text before the turn, with the generation prompt, to the end of the
     text through the turn. An end mark the text lacks is added and trained. Null without an assistant turn.
     """
-    empty = F.array().cast("array<struct<start:int,end:int>>")
     lead = len(IM_START + "assistant\n")
 
-    def add(acc, m):
-        end = acc["at"] + F.length(m["role"]) + F.length(m["content"]) + len(IM_START + IM_END) + 2
-        mark = F.array(F.struct((acc["at"] + lead).alias("start"), end.alias("end")))
-        bot = (m["role"] == "assistant") & (end > acc["at"] + lead)
-        return F.struct(end.alias("at"), F.when(bot, F.concat(acc["spans"], mark)).otherwise(acc["spans"]).alias("spans"))
+    def size(m):
+        return F.length(m["role"]) + F.length(m["content"]) + len(IM_START + IM_END) + 2
 
-    spans = F.aggregate(messages, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
+    placed = F.zip_with(messages, starts_of(F.transform(messages, size)), lambda m, at: F.struct(
+        (at + lead).alias("start"), (at + size(m)).alias("end"), (m["role"] == "assistant").alias("bot")))
+    kept = F.filter(placed, lambda p: p["bot"] & (p["end"] > p["start"]))
+    spans = F.transform(kept, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
 
     def close(t):
         if not eos:

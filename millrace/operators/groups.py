@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions.text import after_last, before_first, computed_once, hash60, strip
-from millrace.operators.ordering import global_index
+from millrace.operators.ordering import following, global_index
 from millrace.operators.skew import join_groups
 
 
@@ -99,14 +99,15 @@ def success_store(df: DataFrame, by: str, key: str, reward: str = "reward", keep
 
 def assign_teacher(df: DataFrame, store: DataFrame, by: str, key: str, seed: int = 0) -> DataFrame:
     """Give each row one stored success of its prompt, picked by hash; ``has_teacher`` tells if there is one."""
-    options = store.groupBy(by).agg(F.sort_array(F.collect_list(
-        F.struct("slot", F.col("prompt").alias("p"), F.col("completion").alias("c")))).alias("_opts"))
-    pick = F.pmod(hash60(F.lit(seed), F.lit("pick"), F.col(by), F.col(key)), F.size("_opts")) + 1
-    chosen = F.try_element_at("_opts", pick.cast("int"))
+    held = store.groupBy(by).agg(F.count(F.lit(1)).alias("_held"))
+    pick = F.pmod(hash60(F.lit(seed), F.lit("pick"), F.col(by), F.col(key)), F.col("_held")) + 1
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    return (join_groups(df, options, [by], counts, how="left", spread=[key]).withColumn("_t", F.when(F.col("_opts").isNotNull(), chosen))
-            .select(*df.columns, F.col("_t.p").alias("teacher_prompt"), F.col("_t.c").alias("teacher_completion"),
-                    F.col("_t").isNotNull().alias("has_teacher")))
+    # Only the number of stored rows is joined to all rows; a text is fetched once its slot is known.
+    picked = join_groups(df, held, [by], counts, how="left", spread=[key]).withColumn("_slot", pick.cast("int")).drop("_held")
+    texts = store.select(by, F.col("slot").cast("int").alias("_slot"), F.col("prompt").alias("teacher_prompt"), F.col("completion").alias("teacher_completion"),
+                         F.lit(True).alias("_found"))
+    return picked.join(texts, [by, "_slot"], "left").select(
+        *df.columns, "teacher_prompt", "teacher_completion", F.coalesce("_found", F.lit(False)).alias("has_teacher"))
 
 
 # The text shown to a teacher.
@@ -223,10 +224,9 @@ def gae(df: DataFrame, traj: str, key: str, gamma: float = 0.99, lam: float = 0.
     pos = global_index(df.select(traj, key, "reward", "value", "done"), key, "i", by=[traj])
     longest = df.groupBy(traj).count().agg(F.max("count")).first()[0] or 1
     levels = max(1, -(-(int(longest) - 1).bit_length() // GAE_BITS))
-    behind = pos.select(traj, (F.col("i") - 1).alias("i"), F.col("value").alias("next_value"))
     live = F.when(F.col("done"), 0.0).otherwise(1.0)
     delta = F.col("reward") + gamma * F.coalesce("next_value", F.lit(0.0)) * live - F.col("value")
-    items = pos.join(behind, [traj, "i"], "left").select(
+    items = following(pos, [traj], "i", "value", "next_value").select(
         traj, "i", delta.alias("d"), (gamma * lam * live).alias("c"), F.struct(key, "value").alias("extra"))
     return _backward(items, traj, levels).select(
         traj, f"extra.{key}", F.col("a").alias("advantage"), (F.col("a") + F.col("extra.value")).alias("returns"))

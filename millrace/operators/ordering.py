@@ -9,52 +9,72 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from millrace.operators.skew import hot_keys, with_parts
+from millrace.session import shared_dir
 
 BITS = 16  # rows of a block: at most 65,536, so that wide rows still sort in memory
 SUPER_BITS = 24  # blocks of a super-block; block totals are narrow
 
 
+def _blocked(df: DataFrame, key: str, bits: int, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``_b``, a block number that grows with the key. Integers are cut at fixed places. Keys of other kinds are
+    range-partitioned once, and the rows written with their partition's number, so that every later use sees the same blocks."""
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        return df.withColumn("_b", F.shiftright(F.col(key).cast("bigint"), bits))
+    path = shared_dir(df.sparkSession, "blocks")
+    df.repartitionByRange(*by, key).withColumn("_b", F.spark_partition_id().cast("bigint")).write.parquet(path)
+    return df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_b", T.LongType())])).parquet(path)
+
+
+def _before(window_keys, order, end):
+    order = [order] if isinstance(order, str) else order
+    return Window.partitionBy(*window_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+
+
+def _sums(columns, window):
+    return [F.coalesce(F.sum(c).over(window), F.lit(0)) for c in columns]
+
+
+def _offsets(tagged: DataFrame, by: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Per block, the sums over all blocks before it, as ``_off_<name>``: within super-blocks, then over these."""
+    blocks = tagged.groupBy(*by, "_b").agg(*[c.alias(n) for n, c in sums.items()]).withColumn("_t", F.shiftright(F.col("_b"), SUPER_BITS))
+    tops = blocks.groupBy(*by, "_t").agg(*[F.sum(n).alias(n) for n in sums])
+    tops = tops.select(*by, "_t", *[c.alias(f"_top_{n}") for c, n in zip(_sums(sums, _before(by, "_t", -1)), sums)])
+    mids = blocks.select(*by, "_t", "_b", *[c.alias(f"_mid_{n}") for c, n in zip(_sums(sums, _before([*by, "_t"], "_b", -1)), sums)])
+    return mids.join(tops, [*by, "_t"]).select(*by, "_b", *[(F.col(f"_mid_{n}") + F.col(f"_top_{n}")).alias(f"_off_{n}") for n in sums])
+
+
 def running_totals(df: DataFrame, key: str, values: Mapping[str, Column], by: Sequence[str] = (),
-                   inclusive: bool = False, bits: int = BITS, hot_rows: int = 200_000,
-                   tie: Sequence[str] = ()) -> DataFrame:
+                   inclusive: bool = False, bits: int = BITS, tie: Sequence[str] = ()) -> DataFrame:
     """Add, per entry of ``values``, its sum over all rows before this one (and this one if ``inclusive``).
 
-    ``key`` is an integer, unique (within ``by``) together with ``tie``. Groups of up to ``hot_rows`` rows form one block;
-    larger ones are cut along the key.
+    ``key`` is unique (within ``by``) together with ``tie``. All groups are cut along the key.
     """
     by, names = list(by), list(values)
-    tagged = df.select("*", *[values[n].alias(f"_v_{n}") for n in names])
-    block = F.shiftright(F.col(key).cast("bigint"), bits)
-    if by:
-        hot = hot_keys(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by, hot_rows=hot_rows)
-        tagged = with_parts(tagged, hot, by).withColumn(
-            "_b", F.when(F.col("_parts").isNotNull(), block).otherwise(F.lit(0).cast("bigint"))).drop("_parts")
-    else:
-        tagged = tagged.withColumn("_b", block)
-
-    def before(window_keys, order, end):
-        order = [order] if isinstance(order, str) else order
-        return Window.partitionBy(*window_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-
-    def sums(columns, window):
-        return [F.coalesce(F.sum(c).over(window), F.lit(0)) for c in columns]
-
-    v = [f"_v_{n}" for n in names]
-    local = before([*by, "_b"], [key, *tie], 0 if inclusive else -1)
-    inner = tagged.select(*df.columns, "_b", *[c.alias(f"_in_{n}") for c, n in zip(sums(v, local), names)])
-    blocks = (tagged.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in v])
-              .withColumn("_t", F.shiftright(F.col("_b"), SUPER_BITS)))
-    # Block totals of one super-block, then the super-blocks: both narrow, and bounded whatever the keys.
-    tops = blocks.groupBy(*by, "_t").agg(*[F.sum(c).alias(c) for c in v])
-    tops = tops.select(*by, "_t", *[c.alias(f"_top_{n}") for c, n in zip(sums(v, before(by, "_t", -1)), names)])
-    mids = blocks.select(*by, "_t", "_b", *[c.alias(f"_mid_{n}")
-                                           for c, n in zip(sums(v, before([*by, "_t"], "_b", -1)), names)])
-    offsets = mids.join(tops, [*by, "_t"]).drop("_t")
-    return inner.join(offsets, [*by, "_b"]).select(
-        *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_mid_{n}") + F.col(f"_top_{n}")).alias(n) for n in names])
+    tagged = _blocked(df, key, bits, by).select("*", *[values[n].alias(f"_v_{n}") for n in names])
+    local = _before([*by, "_b"], [key, *tie], 0 if inclusive else -1)
+    inner = tagged.select(*df.columns, "_b", *[c.alias(f"_in_{n}") for c, n in zip(_sums([f"_v_{n}" for n in names], local), names)])
+    offsets = _offsets(tagged, by, {n: F.sum(f"_v_{n}") for n in names})
+    return inner.join(offsets, [*by, "_b"]).select(*df.columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in names])
+
+
+def first_rows(df: DataFrame, key: str, rows: int, bits: int = BITS, tie: Sequence[str] = ()) -> DataFrame:
+    """The first ``rows`` rows in key order. Block counts place the cut; joining the blocks before it leaves the other rows out
+    before any is moved, and no block is larger than its width."""
+    tagged = _blocked(df, key, bits)
+    near = _offsets(tagged.select("_b"), (), {"n": F.count(F.lit(1))}).where(F.col("_off_n") < rows)
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(key, *tie))
+    return tagged.join(near, "_b").withColumn("_n", place).where(F.col("_off_n") + F.col("_n") <= rows).select(*df.columns)
+
+
+def within_total(df: DataFrame, key: str, size: str, limit: int, name: str, bits: int = BITS) -> DataFrame:
+    """Longest prefix in key order whose sizes add up to at most ``limit``, with the running sum; the cut is placed as in ``first_rows``."""
+    tagged = _blocked(df, key, bits)
+    near = _offsets(tagged.select("_b", size), (), {"n": F.sum(size)}).where(F.col("_off_n") <= limit)
+    so_far = F.sum(size).over(_before(["_b"], key, 0))
+    kept = tagged.join(near, "_b").withColumn(name, (F.col("_off_n") + so_far).cast("bigint"))
+    return kept.where(F.col(name) <= limit).select(*df.columns, name)
 
 
 def global_index(df: DataFrame, key: str, name: str = "idx", by: Sequence[str] = (), bits: int = BITS,
@@ -113,6 +133,15 @@ def previous(df: DataFrame, by: Sequence[str], pos: str, column: str, name: str,
     return out.filter("_own").drop("_b", "_own")
 
 
+def following(df: DataFrame, by: Sequence[str], pos: str, column: str, name: str, bits: int = 16) -> DataFrame:
+    """Value of ``column`` in the row after, per group, by dense position (null on the last). Each block also gets the next one's first row."""
+    b = F.shiftright(F.col(pos), bits)
+    first = (F.pmod(F.col(pos), F.lit(1 << bits)) == 0) & (F.col(pos) > 0)
+    cut = df.withColumn("_b", F.explode(F.when(first, F.array(b, b - 1)).otherwise(F.array(b)))).withColumn("_own", F.col("_b") == b)
+    out = cut.withColumn(name, F.lead(column).over(Window.partitionBy(*by, "_b").orderBy(pos)))
+    return out.filter("_own").drop("_b", "_own")
+
+
 def carry_last(df: DataFrame, by: Sequence[str], key: str, column: str, name: str, bits: int = BITS) -> DataFrame:
     """Last non-null ``column`` at or before each row, per group, in key order (an as-of lookup)."""
     by = list(by)
@@ -121,8 +150,13 @@ def carry_last(df: DataFrame, by: Sequence[str], key: str, column: str, name: st
     ends = tagged.groupBy(*by, "_b").agg(
         F.max_by(F.when(F.col(column).isNotNull(), F.col(column)),
                  F.when(F.col(column).isNotNull(), F.col(key))).alias("_last"))
-    across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*by, "_b", F.last("_last", ignorenulls=True).over(across).alias("_before"))
+    # The last value before a block: within its super-block, else from the super-blocks before.
+    ends = ends.withColumn("_t", F.shiftright(F.col("_b"), SUPER_BITS))
+    within, over = _before([*by, "_t"], "_b", -1), _before(by, "_t", -1)
+    tops = ends.groupBy(*by, "_t").agg(F.max_by(F.when(F.col("_last").isNotNull(), F.col("_last")), F.when(F.col("_last").isNotNull(), F.col("_b"))).alias("_end"))
+    tops = tops.select(*by, "_t", F.last("_end", ignorenulls=True).over(over).alias("_far"))
+    near = ends.select(*by, "_t", "_b", F.last("_last", ignorenulls=True).over(within).alias("_near"))
+    ends = near.join(tops, [*by, "_t"]).select(*by, "_b", F.coalesce("_near", "_far").alias("_before"))
     return (tagged.withColumn("_here", F.last(column, ignorenulls=True).over(local))
             .join(ends, [*by, "_b"])
             .withColumn(name, F.coalesce("_here", "_before"))

@@ -148,16 +148,26 @@ def clamp_pct(part: Column, whole: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)), F.lit(0.0))
 
 
-def throughput(df: DataFrame, seconds: str, counters: list[str]) -> DataFrame:
+def throughput(df: DataFrame, seconds: str, counters: list[str], *also: Column) -> DataFrame:
     """Counter per second for each ``<counter>_total``."""
     return df.select(RUN, *[F.when(F.col(seconds) > 0, F.col(f"{c}_total") / F.col(seconds)).alias(f"{c}_per_second")
-                            for c in counters])
+                            for c in counters], *also)
 
 
 def samples_per_second(step: Column, batch: int, accum: int, seconds: Column) -> Column:
     return step * batch * accum / F.greatest(F.lit(1.0), seconds)
 
 
+def run_rates(df: DataFrame, step: str, ts: str, counters: list[str], batch: int, accum: int) -> DataFrame:
+    """Counters and samples per second of each run, from one grouping of the log."""
+    ends = df.groupBy(RUN).agg(F.min_by(ts, SEQ).alias("t0"), F.max_by(ts, SEQ).alias("t1"), F.count(F.lit(1)).alias("rows"), F.max_by(step, SEQ).alias("current_step"),
+                               *[F.sum(F.coalesce(c, F.lit(0))).alias(f"{c}_total") for c in counters])
+    end = F.when(F.col("rows") == 1, F.current_timestamp()).otherwise(instant(ends, "t1"))
+    seconds = F.greatest(F.lit(0.0), F.coalesce((F.unix_micros(end) - F.unix_micros(instant(ends, "t0"))) / 1e6, F.lit(0.0)))
+    timed = ends.withColumn("elapsed_seconds", seconds)
+    return throughput(timed, "elapsed_seconds", counters, samples_per_second(F.col("current_step"), batch, accum, F.col("elapsed_seconds")).alias("samples_per_second"))
+
+
 def loss_smoothing(df: DataFrame, step: str, loss: str, log_every: int = 10) -> DataFrame:
     """Micro losses to update means to means per log window: step 1, then every ``log_every`` steps.
 

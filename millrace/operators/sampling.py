@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions.text import hash60
-from millrace.operators.ordering import global_index
+from millrace.operators.ordering import first_rows, global_index
 
 SPLIT_SCALE = 10_000
 HASH_BITS = 40  # block width for an order given by a 60-bit hash: about a million blocks
@@ -53,15 +53,15 @@ def skip_batches(df: DataFrame, step: int, grad_accum: int, batch: int, idx: str
 
 
 def head_limit(df: DataFrame, order: str, rows: int | None) -> DataFrame:
-    return df if not rows else df.orderBy(order).limit(rows)
+    return df if not rows else first_rows(df, order, rows)
 
 
 def seeded_sample(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
     """``rows`` rows drawn from the whole frame: the smallest seeded hashes of the key.
 
-    A heap per task and one merge; the draw does not depend on the partitioning.
+    The draw does not depend on the partitioning, and no task holds more of it than a block of hashes.
     """
-    return df.withColumn("_h", hash60(F.lit(seed), F.col(key))).orderBy("_h", key).limit(rows).drop("_h")
+    return first_rows(df.withColumn("_h", hash60(F.lit(seed), F.col(key))), "_h", rows, bits=HASH_BITS, tie=[key]).drop("_h")
 
 
 def shorten(text: Column, chars: int = 500) -> Column:

@@ -2,8 +2,7 @@
 
 The adaptive skew join does not split a join whose other side is an aggregate on the same key, so hot
 groups are salted here: their rows are spread over several join keys and the group's row is repeated for
-each. Only the list of hot keys is broadcast, and it is cut to a fixed number of entries; a key outside the
-list holds less than one in that number of all rows and needs no splitting. Results never depend on it.
+each. Only the list of hot keys is broadcast: of n rows at most n / HOT_ROWS keys can be hot, a million of 10^12.
 """
 
 from __future__ import annotations
@@ -13,13 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
-HOT_LIST = 100_000
 
 
-def hot_keys(counts: DataFrame, by: Sequence[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the number of parts to cut them into, at most ``HOT_LIST``."""
-    top = counts.filter(F.col(n) > hot_rows).orderBy(F.col(n).desc()).limit(HOT_LIST)
-    return top.select(*by, F.ceil(F.col(n) / hot_rows).alias("_parts"))
+def hot_keys(counts: DataFrame, by: Sequence[str], n: str = "n", hot_rows: int | None = None) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and the number of parts to cut them into."""
+    hot_rows = hot_rows or HOT_ROWS
+    return counts.filter(F.col(n) > hot_rows).select(*by, F.ceil(F.col(n) / hot_rows).alias("_parts"))
 
 
 def with_parts(df: DataFrame, hot: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -28,7 +26,7 @@ def with_parts(df: DataFrame, hot: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], counts: DataFrame, n: str = "n", how: str = "inner",
-                spread: Sequence[str] | Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                spread: Sequence[str] | Column | None = None, hot_rows: int | None = None) -> DataFrame:
     """``rows`` joined with ``groups`` (one row per key) on ``by``.
 
     ``counts`` has the number of rows per key. ``spread`` names columns that tell rows of a group apart

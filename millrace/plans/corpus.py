@@ -113,6 +113,12 @@ def extract_filtered(spark, sf):
     return spark.read.parquet(path).select("doc_id", "bytes", "total_bytes")
 
 
+@query("extract_rows", over(f"""
+SELECT doc_id, line FROM (SELECT doc_id, line, row_number() OVER (ORDER BY doc_id) AS n FROM lines WHERE {VALID}) t WHERE n <= 150""", "lines"))
+def extract_rows(spark, sf):
+    return ST.extract(lines(spark, sf).select("doc_id", "line"), "doc_id", max_rows=150).select("doc_id", "line")
+
+
 FIXED = ["step", "reward", "loss"]
 METRICS_SCHEMA = "run_id string, seq bigint, step bigint, reward double, loss double, status string, prompts_used int, prompts_generated int, outcome int"
 

@@ -48,6 +48,11 @@ def index_both(spark, sf):
     return kept.unionByName(raw)
 
 
+@query("global_index_text", "SELECT p_name, p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS idx FROM part")
+def global_index_text(spark, sf):
+    return global_index(table(spark, sf, "part").select("p_name", "p_partkey"), "p_name", tie=["p_partkey"])
+
+
 @query("holdout_split", sql("SELECT doc_id, idx, CASE WHEN idx % 10000 < 500 THEN 'val' ELSE 'train' END AS split FROM indexed"))
 def holdout_split(spark, sf):
     return C.holdout_split(indexed(spark, sf), 0.05)

@@ -57,7 +57,7 @@ alive AS (SELECT conv_id FROM lab GROUP BY conv_id HAVING bool_or(train))"""
 def examples(spark, sf):
     df = computed_once(messages(spark, sf, None), r=D.render(D.chat_segments(F.col("messages"), EOS)))
     df = df.filter("r IS NOT NULL").select("conv_id", "r.text", "r.spans")
-    return M.sft_examples(df, E.offset_tokenizer(E.word_encoder(), SFT_LENGTH), SFT_LENGTH)
+    return M.sft_examples(df, E.word_tokens(SFT_LENGTH), SFT_LENGTH)
 
 
 @query("sft_labels", over(f"""WITH {TOKENS},

@@ -93,6 +93,14 @@ def decimate(spark, sf):
     return J.decimate(metrics(spark, sf).select("run_id", "seq"), last=500, target=60)
 
 
+@query("decimate_default", sql("""
+WITH t AS (SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS r FROM metrics),
+u AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM t WHERE r <= 2000)
+SELECT run_id, seq FROM u WHERE n <= 1200 OR (n - r) % greatest(1, CAST(floor(n / 1200) AS BIGINT)) = 0"""))
+def decimate_default(spark, sf):
+    return J.decimate(metrics(spark, sf).select("run_id", "seq"))
+
+
 CONFIG = """conf AS (SELECT run_id, count(*) * 12 AS dataset_total, max(step) AS rollout_step, sum(prompts_generated) AS logged FROM metrics GROUP BY run_id)"""
 
 
@@ -112,12 +120,7 @@ SELECT el.run_id, round(p / sec, 6) AS prompts_generated_per_second, round(u / s
 def throughput(spark, sf):
     df = metrics(spark, sf)
     counted = ["prompts_generated", "prompts_used"]
-    timed = J.elapsed_eta(df, "step", "ts").join(J.totals(df, counted), "run_id")
-    rates = J.throughput(timed, "elapsed_seconds", counted)
-    steps = J.latest(df).select("run_id", "current_step")
-    out = rates.join(timed.select("run_id", "elapsed_seconds"), "run_id").join(steps, "run_id").withColumn(
-        "samples_per_second", J.samples_per_second(F.col("current_step"), 4, 2, F.col("elapsed_seconds")))
-    return r6(out.drop("elapsed_seconds", "current_step"), *[f"{c}_per_second" for c in counted], "samples_per_second")
+    return r6(J.run_rates(df, "step", "ts", counted, 4, 2), *[f"{c}_per_second" for c in counted], "samples_per_second")
 
 
 @query("progress_pct", sql("""

@@ -44,7 +44,7 @@ def s_integer(x):
     return (f"TRY_CAST(coalesce(nullif(regexp_extract({x}, '####\\s*(-?[0-9]+)', 1), ''), "
             f"nullif(regexp_extract({x}, '(?i)(?:the answer is|answer is)\\s*(-?[0-9]+)', 1), ''), "
             f"nullif(regexp_extract({x}, '<answer>\\s*(-?[0-9]+)\\s*</answer>', 1), ''), "
-            f"regexp_extract_all({x}, '-?[0-9]+')[-1]) AS BIGINT)")
+            f"regexp_extract_all({x}, '-?[0-9]+')[-1]) AS DECIMAL(38,0))")
 
 
 def s_count(x, tag):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from millrace.functions import paths as P
 from millrace.functions.text import computed_once, strip
-from millrace.operators.ordering import running_totals
+from millrace.operators.ordering import first_rows, within_total
 
 
 # ---- files -------------------------------------------------------------------------------------
@@ -149,7 +149,7 @@ def has_word(value: Column, target: str) -> Column:
 def byte_cap(df: DataFrame, key: str, line: Column, cap: int) -> DataFrame:
     """Longest prefix in key order whose lines, with line ends, fit into ``cap`` bytes."""
     sized = df.withColumn("bytes", (F.octet_length(line) + 1).cast("bigint"))
-    return running_totals(sized, key, {"total_bytes": F.col("bytes")}, inclusive=True).filter(F.col("total_bytes") <= cap)
+    return within_total(sized, key, "bytes", cap, "total_bytes")
 
 
 def extract(lines: DataFrame, key: str, score_field: str | None = None, minimum: float | None = None,
@@ -163,7 +163,7 @@ def extract(lines: DataFrame, key: str, score_field: str | None = None, minimum:
         kept = kept.filter(has_word(F.try_variant_get("record", f"$.{lang_field}", "string"), lang))
     kept = kept.drop("record")
     if max_rows is not None:
-        kept = kept.orderBy(key).limit(max_rows)
+        kept = first_rows(kept, key, max_rows)
     if max_bytes is not None:
         kept = byte_cap(kept, key, F.col(line), max_bytes)
     return kept

@@ -25,7 +25,8 @@ REASONING = [("<think>1. один два три четыре пять шесть
              ("<think>Шаг 1 готово</think>", 0.1), ("<think>also</think>", 0.05), ("<think>  </think>", 0.0), ("none", 0.0),
              ("<think>ВО-ПЕРВЫХ да</think>", 0.1), ("<think>abc</think>", 0.0)]
 
-INTEGER_REWARD = [(T.format("x", "5"), "#### 5", 1.0), (T.format("x", "4"), "5", 0.4), ("the answer is 4", "5", 0.3), ("none", "5", 0.0), ("5", "", 0.0)]
+INTEGER_REWARD = [(T.format("x", "5"), "#### 5", 1.0), (T.format("x", "4"), "5", 0.4), ("the answer is 4", "5", 0.3), ("none", "5", 0.0), ("5", "", 0.0),
+                  ("9223372036854775807", "-5", 0.0), ("1" * 40, "1" * 40, 1.0), ("1" * 39 + "2", "1" * 40, 0.3), ("00012", "12", 1.0), ("9" * 20, "9" * 20, 1.0)]
 
 EXPRESSION = [("<answer>5</answer>", "5.00001", 1.0), ("<answer>abc</answer>", "ABC", 1.0), ("<answer>abc</answer>", "7", 0.0), ("5", "5", 0.0)]
 

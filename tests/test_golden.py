@@ -1,10 +1,12 @@
 """Extraction and reward quirks on hand-derived cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from golden import cases as G
-from millrace.functions import extract as X, rewards as R, rules as U, text as T
+from millrace.functions import extract as X, patterns as T2, rewards as R, rules as U, text as T
 
 
 def values(spark, rows, column):
@@ -82,7 +84,8 @@ def test_rules_disabled_and_normalised(spark):
 @pytest.mark.parametrize("text,want", [
     ("1 if 'a' in {{response}} else 0", 1.0), ("len({{response}}) > 2", 1.0), ("1/0", 0.0), ("{{response}}", 0.0), ("float({{reference}}) // 2", 2.0),
     ("-7 % 3", 2.0), ("max(1, 2, 3) - abs(-1)", 2.0), ("int(2.9)", 2.0), ("int('x')", 0.0), ("().__class__", 0.0), ("open('f')", 0.0), ("not {{response}}", 0.0),
-    ("{{response}} == 5", 0.0), ("1 <", 0.0), ("2 ** 3", 8.0), ("{{unknown}}", 0.0)])
+    ("{{response}} == 5", 0.0), ("1 <", 0.0), ("2 ** 3", 8.0), ("10.0 ** 400", 0.0),
+    ("1.0 and 0.5", 0.5), ("0 or 3", 3.0), ("'' or 2", 2.0), ("1 if float('x') > 0 else 5", 0.0), ("(-8.0) ** 0.5", 0.0), ("float('inf')", 0.0), ("{{unknown}}", 0.0)])
 def test_formula(spark, text, want):
     got = values(spark, [("abc", "5")], U.formula(text, {"response": F.col("c0"), "reference": F.col("c1")}))
     assert got == [want]
@@ -93,6 +96,16 @@ def test_bad_pattern_gives_empty_text(spark):
     assert rule(spark, rules, "x") == 1.0
 
 
+@pytest.mark.parametrize("pattern,text,want", [
+    (r"(?P<a>\d+)", "ab 12", "12"), (r"((?:a|b)*)c?", "ab" * 20_000, "ab" * 20_000), (r"(?<=x)y", "xy", "y"), ("a{,2}b", "aab", "aab"), (r"[[a]+", "x[a", "[a"),
+    (r"(x)?y", "y", ""), (r"(?:b|(a+))", "aaa", "aaa"), (r"a.b", "a\u2028b", "a\u2028b"), (r"(a|b)+", "a" * 1_000_000, "a"), (r"x$", "x\n", "x")])
+def test_patterns_mean_what_they_mean_in_python(spark, pattern, text, want):
+    m = re.search(pattern, text)
+    assert ((m[1] if m.re.groups else m[0]) or "") == want
+    assert values(spark, [(text,)], T2.first_group(F.col("c0"), pattern)) == [want]
+    assert values(spark, [(text,)], T2.found(F.col("c0"), pattern)) == [True]
+
+
 def test_registered_reward_guards_failures(spark):
     fn = R.register_reward("ratio", lambda a, b: float(a) / float(b))
     assert values(spark, [("6", "3"), ("6", "0"), ("x", "1"), ("nan", "1")], fn(F.col("c0"), F.col("c1"))) == [2.0, 0.0, 0.0, 0.0]

@@ -1,11 +1,13 @@
 """Properties that hold whatever the partitioning, on the given tables and on small skewed frames."""
 
+import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import tokens as E
+from millrace.functions import paths as P, tokens as E
 from millrace.operators import chat as D, fields as B, groups as G, masks as M, ordering as O, runs as J, sampling as C
 from millrace.plans.frames import frame
 from millrace.plans.masks import examples
@@ -31,10 +33,10 @@ def by_run(df):
     return out
 
 
-@pytest.mark.parametrize("parts,bits,hot", [(1, 20, 10**6), (7, 4, 10), (7, 2, 10**6)])
-def test_index_is_dense_and_ordered(spark, skewed, parts, bits, hot):
+@pytest.mark.parametrize("parts,bits", [(1, 20), (7, 4), (7, 2)])
+def test_index_is_dense_and_ordered(spark, skewed, parts, bits):
     df = skewed.repartition(parts)
-    got = O.running_totals(df, "seq", {"i": F.lit(1), "s": F.col("seq")}, by=["run_id"], bits=bits, hot_rows=hot)
+    got = O.running_totals(df, "seq", {"i": F.lit(1), "s": F.col("seq")}, by=["run_id"], bits=bits)
     for group in by_run(got).values():
         assert [r["i"] for r in group] == list(range(len(group)))
         total = 0
@@ -45,6 +47,33 @@ def test_index_is_dense_and_ordered(spark, skewed, parts, bits, hot):
     assert [r["idx"] for r in whole.orderBy("seq").collect()] == list(range(900))
 
 
+@pytest.mark.parametrize("key", ["seq", "name"])
+@pytest.mark.parametrize("n", [0, 1, 250, 900, 5000])
+def test_first_rows(skewed, key, n):
+    df = skewed.repartition(5).withColumn("name", F.lpad(F.col("seq").cast("string"), 8, "x"))
+    want = [r[key] for r in df.orderBy(key).limit(n).collect()]
+    assert [r[key] for r in O.first_rows(df, key, n, bits=4).orderBy(key).collect()] == want
+
+
+@pytest.mark.parametrize("limit", [0, 7, 3000, 10**9])
+def test_within_total(skewed, limit):
+    df = skewed.withColumn("size", F.pmod(F.col("seq"), F.lit(13)))
+    got = O.within_total(df, "seq", "size", limit, "total", bits=4).orderBy("seq").collect()
+    total, want = 0, []
+    for r in df.orderBy("seq").collect():
+        total += r["size"]
+        if total <= limit:
+            want.append((r["seq"], total))
+    assert [(r["seq"], r["total"]) for r in got] == want
+
+
+@pytest.mark.parametrize("bits", [3, 16])
+def test_following_over_blocks(skewed, bits):
+    placed = O.global_index(skewed, "seq", "pos", by=["run_id"])
+    for group in by_run(O.following(placed, ["run_id"], "pos", "reward", "next", bits=bits)).values():
+        assert [r["next"] for r in group] == [r["reward"] for r in group[1:]] + [None]
+
+
 @pytest.mark.parametrize("bits", [3, 16])
 def test_trailing_window_over_blocks(skewed, bits):
     placed = O.global_index(skewed, "seq", "pos", by=["run_id"])
@@ -157,11 +186,28 @@ def test_unpaired_reference_is_an_error(spark):
         G.attach_reference(left, right, "id").collect()
 
 
-def test_oversized_conversation_is_an_error(spark):
-    df = spark.range(20).select(F.lit(1).alias("c"), "id", F.lit("user").alias("role"), F.lit("x").alias("content"))
-    with pytest.raises(Exception, match="more than 10 messages"):
-        D.assemble(df, "c", "id", ["role", "content"], max_messages=10).collect()
-    assert D.assemble(df, "c", "id", ["role", "content"]).count() == 1
+def test_long_conversations_render_in_about_linear_time(spark):
+    seconds = []
+    for n in (15_000, 60_000):
+        df = spark.range(n).select(F.lit(1).alias("c"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("x").alias("content"))
+        record = D.assemble(df, "c", "id", ["role", "content"])
+        start = time.perf_counter()
+        row = record.select(F.size(D.render(D.chat_segments(F.col("messages")))["spans"]), F.size(D.chatml_spans(F.col("messages"))["spans"])).first()
+        seconds.append(time.perf_counter() - start)
+        assert list(row) == [n // 2, n // 2]
+    assert seconds[1] < 8 * seconds[0] + 5
+
+
+def test_texts_of_values_are_those_of_python(spark):
+    texts = ["1", "1.0", "72.0", "1e20", "1.5e-7", "-0.00012", "123456789.125", "1e15", "1e16", "12345678901234567890", "true", "null", '"x"', "[1, 2]",
+             '[1, [2, 3.5, "a\'b", null, true]]', '{"a": ["q", 7]}', "100000000.0", "-1.5e300", "0.0001", "0.00001", '"it\\"s"']
+
+    def plain(v):
+        return "" if v is None else "\n".join(str(x) for x in v if x is not None and str(x).strip()) if isinstance(v, list) else str(v)
+
+    df = spark.createDataFrame([(i, f'{{"it\'s": {v}}}') for i, v in enumerate(texts)], "i int, line string")
+    got = [r.t for r in df.orderBy("i").select(P.text_at(P.parse(F.col("line")), "it's").alias("t")).collect()]
+    assert got == [plain(json.loads(v)) for v in texts]
 
 
 def test_spans_lie_in_the_text_and_labels_in_the_spans(spark, sf_dir):

@@ -31,6 +31,22 @@ def test_only_totals_and_limits_meet_in_one_partition(spark, sf_dir, name):
         assert "HashAggregate" in single.group(1) or "LocalLimit" in single.group(1), single.group()
 
 
+@pytest.mark.parametrize("name", ["byte_cap", "extract_rows", "head_limit", "reservoir_sample"])
+def test_prefixes_need_no_global_limit(spark, sf_dir, name):
+    assert "GlobalLimit" not in plan(queries()[name](spark, sf_dir)) and "TakeOrdered" not in plan(queries()[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name,most", [("histories", 3), ("dedupe_steps", 3), ("gae", 3), ("byte_cap", 3), ("throughput", 1)])
+def test_logs_are_scanned_for_rows_and_block_sums(spark, sf_dir, name, most):
+    """Once for the rows; the block sums appear twice in the plan and share one exchange."""
+    assert len(re.findall("FileScan", plan(queries()[name](spark, sf_dir)))) <= most
+
+
+@pytest.mark.parametrize("name", ["sft_labels", "mask_report", "mask_listing"])
+def test_default_tokens_stay_in_the_jvm(spark, sf_dir, name):
+    assert "Python" not in plan(queries()[name](spark, sf_dir)) and "Arrow" not in plan(queries()[name](spark, sf_dir))
+
+
 def test_rank_limits_run_before_the_shuffle(spark, sf_dir):
     for name in ("success_store", "decimate"):
         assert re.search(r"WindowGroupLimit.*Partial", plan(queries()[name](spark, sf_dir)))

@@ -42,7 +42,7 @@ def test_a_hot_group_is_spread(rows):
 
 def test_advantage_of_a_hot_group(rows, threshold, monkeypatch):
     plain = {(r["row"]): r["advantage"] for r in G.group_advantage(rows, ["g"], spread=["row"]).collect()}
-    monkeypatch.setattr(S, "HOT_LIST", 3)
+    monkeypatch.setattr(S, "HOT_ROWS", 50)
     again = {(r["row"]): r["advantage"] for r in G.group_advantage(rows, ["g"], spread=["row"]).collect()}
     assert plain.keys() == again.keys() and all(plain[k] == pytest.approx(again[k]) for k in plain)
     assert len(plain) == 6000

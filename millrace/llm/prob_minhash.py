@@ -6,7 +6,8 @@ their probability Jaccard similarity. Arrivals later than a text's latest regist
 
 Bands of seven registers name buckets. Exact copies are one node. Within a bucket every node is first compared with the smallest
 one, by the exact similarity of the whole texts. Where a bucket then still holds several components, nodes that can't be similar to any other
-are set aside, and all nodes outside the largest component are compared with the nodes of other components. So texts that meet in a bucket end in one group exactly if links join them, and a
+are set aside, and all nodes outside the largest component are compared with the nodes of other components, by whole texts where
+the registers don't rule it out: a pair at the threshold differs in more of them than MOST_UNLIKE once in 30,000 times. So texts that meet in a bucket end in one group exactly if links join them, and a
 large bucket of copies costs one comparison per member, not one per pair.
 
 Cases: texts without words have no shingles and only join exact copies of themselves (null counts as empty); texts of one to four words are one
@@ -16,10 +17,12 @@ shingle; a row without id is a group of its own with null group; rows that repea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
@@ -27,6 +30,9 @@ from millrace.llm.shingles import U, mix, weighted_shingles
 
 THRESHOLD = 0.8
 ROWS, BANDS = 7, 42
+WORDS = -(-ROWS * BANDS // 16)
+_DIFFER = ROWS * BANDS * (1 - THRESHOLD) * 15 / 16  # registers whose four bits differ, on average, at the threshold
+MOST_UNLIKE = int(_DIFFER + 4 * (_DIFFER * (1 - _DIFFER / (ROWS * BANDS))) ** 0.5)  # four deviations more: one in 30,000 has more
 SLICE = 128
 
 
@@ -73,6 +79,22 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Four bits of every register, sixteen registers to a signed 64-bit number; the last ones padded with zeros."""
+    n, m = sig.shape
+    four = np.zeros((n, WORDS * 16), U)
+    four[:, :m] = mix(sig) & U(15)
+    return (four.reshape(n, WORDS, 16) << (np.arange(16, dtype=U) * U(4))).sum(axis=2, dtype=U).view(np.int64)
+
+
+def unlike(a: Column, b: Column) -> Column:
+    """In how many registers two sketches differ."""
+    def differ(x: Column) -> Column:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return reduce(add, [differ(a[i].bitwiseXOR(b[i])) for i in range(WORDS)])
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard of two sorted weighted sets: the sum over common elements of one over
     sum(max(x'/x, y'/y)), with all ratios split by one sort."""
@@ -95,19 +117,21 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_nodes(docs: DataFrame) -> DataFrame:
-    """(node, copy, bands) per distinct text: its smallest id, its digest, its bucket keys."""
+    """(node, copy, keys, sketch) per distinct text: its smallest id, its digest, its bucket keys, its registers in short."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             texts = batch.column(2).to_pylist()
             owner, element, counts = weighted_shingles(texts)
             full = np.bincount(owner, minlength=len(texts)) > 0
-            keys = band_keys(signatures(owner, element, weights(counts), len(texts)))
+            sig = signatures(owner, element, weights(counts), len(texts))
+            keys = band_keys(sig)
             packed = [k.tobytes() if ok else b"" for k, ok in zip(keys, full)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "copy", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(list(sketches(sig)), pa.list_(pa.int64()))],
+                                             names=["doc_id", "copy", "keys", "sketch"])
 
-    rows = _with_copy(docs).mapInArrow(bands, "doc_id long, copy string, keys binary")
-    return rows.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    rows = _with_copy(docs).mapInArrow(bands, "doc_id long, copy string, keys binary, sketch array<long>")
+    return rows.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
 
 
 def _with_copy(docs: DataFrame) -> DataFrame:
@@ -210,10 +234,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = stored(buckets.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
     placed = _mixed(placed)
     alone = stored(isolated(placed.select("node").distinct().join(texts, "node")), "isolated")
-    open_ = stored(_mixed(placed.select("bucket", "node", "component").join(alone, "node", "left_anti")), "open")
-    left = open_.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    right = open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"))
-    more = (left.join(right, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    open_ = _mixed(placed.select("bucket", "node", "component").join(alone, "node", "left_anti"))
+    open_ = stored(open_.join(nodes.select("node", "sketch"), "node"), "open")
+    left = open_.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
+    right = open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("sketch").alias("sy"))
+    near = (F.col("cx") != F.col("cy")) & (unlike(F.col("sx"), F.col("sy")) <= MOST_UNLIKE) & (left["bucket"] == right["bucket"])
+    more = (left.join(right, near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             .join(stars, ["a", "b"], "left_anti"))
     late = stored(verified(more, texts), "links")
     if not late.isEmpty():

@@ -320,3 +320,12 @@ def test_only_fetched_rules_run(spark):
     pages = spark.createDataFrame([(1, "http://site7.net/x"), (2, "http://other.net/123456789"), (2, "http://other.net/123456789")], "page_id long, url string")
     rows = sorted(url_rules.judge(pages, rules).collect())
     assert [(r.page_id, r.rule, r.n_rules_run) for r in rows] == [(1, "site7.net/", 2), (2, "digits", 1), (2, "digits", 1)]
+
+
+def test_sketches_count_differing_registers(spark):
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 50, (2, prob_minhash.ROWS * prob_minhash.BANDS)).astype(np.uint64)
+    want = int(((shingles.mix(sig[0]) & np.uint64(15)) != (shingles.mix(sig[1]) & np.uint64(15))).sum())
+    rows = prob_minhash.sketches(sig).tolist()
+    df = spark.createDataFrame([tuple(rows)], "a array<long>, b array<long>")
+    assert df.select(prob_minhash.unlike(F.col("a"), F.col("b"))).first()[0] == want

@@ -91,22 +91,6 @@ def word_tokens(length: int, vocab: int = VOCAB) -> Callable[[Column], Column]:
     return run
 
 
-def word_encoder(vocab: int = VOCAB) -> Callable[[str], Iterable[tuple[int, int, int]]]:
-    """The default tokens with offsets, ids as ``token_id`` gives them."""
-    import hashlib
-
-    import regex
-
-    pattern = regex.compile(WORDS)
-
-    def encode(text: str):
-        for m in pattern.finditer(text):
-            token = m.group()
-            hashed = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % vocab + FIRST_ID
-            yield (EOS_ID if token == EOS else hashed), m.start(), m.end()
-    return encode
-
-
 def span_labels(ids: Column, starts: Column, ends: Column, spans: Column, eos_id: int = EOS_ID) -> Column:
     """Id of each token lying wholly inside one span, else ignored; a last end token is always trained."""
     placed = F.arrays_zip(ids.alias("id"), starts.alias("s"), ends.alias("e"))

@@ -1,7 +1,9 @@
 """Properties that hold whatever the partitioning, on the given tables and on small skewed frames."""
 
+import hashlib
 import json
 import random
+import re
 import time
 
 import pytest
@@ -198,6 +200,17 @@ def test_long_conversations_render_in_about_linear_time(spark):
     assert seconds[1] < 8 * seconds[0] + 5
 
 
+def test_a_plugged_in_tokenizer_gives_the_same_columns_as_the_default(spark):
+    def encode(text):
+        for m in re.finditer(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", text):
+            yield int(hashlib.md5(m.group().encode()).hexdigest()[:8], 16) % E.VOCAB + E.FIRST_ID, m.start(), m.end()
+
+    df = spark.createDataFrame([("Two words,  then  a_b !?",), ("",), ("   lead and  trail  ",), ("x" * 50 + " y z",)], "t string")
+    for length in (3, 100):
+        both = df.select(E.offset_tokenizer(encode, length)(F.col("t")).alias("p"), E.word_tokens(length)(F.col("t")).alias("j")).collect()
+        assert [tuple(map(list, r.p)) for r in both] == [tuple(map(list, r.j)) for r in both]
+
+
 def test_texts_of_values_are_those_of_python(spark):
     texts = ["1", "1.0", "72.0", "1e20", "1.5e-7", "-0.00012", "123456789.125", "1e15", "1e16", "12345678901234567890", "true", "null", '"x"', "[1, 2]",
              '[1, [2, 3.5, "a\'b", null, true]]', '{"a": ["q", 7]}', "100000000.0", "-1.5e300", "0.0001", "0.00001", '"it\\"s"']

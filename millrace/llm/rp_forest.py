@@ -29,7 +29,7 @@ from millrace.llm.common import stored
 K = 20
 TREES, LEAF = 12, 40
 SAMPLE = 20_000  # vectors that the trees are built on
-SHARE = 0.5  # of the index, in the leaves that a query takes, counting a row once per tree
+SHARE = 0.65  # of the index, in the leaves that a query takes, counting a row once per tree
 LEAST = 2_000  # entries at least
 QUERIES = 10_000  # per block
 ROWS_PER_TASK = 4_000

@@ -28,6 +28,7 @@ from millrace.llm.shingles import U, mix, run_hashes
 
 DISCOUNTED = 5  # counts up to here are discounted
 HOT = 2_000_000  # occurrences of a context per key
+PIECE = 1_000_000  # bytes of text hashed at a time
 START, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -82,14 +83,30 @@ class Words(Level):
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about a megabyte: hashing takes some fifty bytes for each byte of text at a time."""
+    i, size = 0, 0
+    for j, t in enumerate(texts):
+        if size and size + len(t) > PIECE:
+            yield i, j
+            i, size = j, 0
+        size += len(t)
+    if i < len(texts):
+        yield i, len(texts)
+
+
 def tokens(chunk: X.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """(document number, hash) of all tokens in order, each document closed by its end."""
-    owner, h = run_hashes([t.lower() for t in chunk.texts], IN_WORD, b" ")
-    n = np.bincount(owner, minlength=len(chunk.texts))
-    out = np.empty(len(h) + len(n), U)
-    out[np.arange(len(h)) + owner] = h
-    out[np.cumsum(n + 1) - 1] = END
-    return np.repeat(np.arange(len(n)), n + 1), out
+    owners, outs = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for i, j in _pieces(chunk.texts):
+        owner, h = run_hashes([t.lower() for t in chunk.texts[i:j]], IN_WORD, b" ")
+        n = np.bincount(owner, minlength=j - i)
+        out = np.empty(len(h) + len(n), U)
+        out[np.arange(len(h)) + owner] = h
+        out[np.cumsum(n + 1) - 1] = END
+        owners.append(np.repeat(np.arange(i, j), n + 1))
+        outs.append(out)
+    return np.concatenate(owners), np.concatenate(outs)
 
 
 def _deltas(x: np.ndarray) -> np.ndarray:

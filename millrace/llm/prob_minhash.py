@@ -235,10 +235,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = _mixed(placed)
     alone = stored(isolated(placed.select("node").distinct().join(texts, "node")), "isolated")
     open_ = _mixed(placed.select("bucket", "node", "component").join(alone, "node", "left_anti"))
-    open_ = stored(open_.join(nodes.select("node", "sketch"), "node"), "open")
-    left = open_.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
-    right = open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("sketch").alias("sy"))
-    near = (F.col("cx") != F.col("cy")) & (unlike(F.col("sx"), F.col("sy")) <= MOST_UNLIKE) & (left["bucket"] == right["bucket"])
+    held = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(nodes.select("node", "sketch"), "node")
+    open_ = stored(open_.join(held, "node"), "open")
+    left = open_.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"), F.col("buckets").alias("bx"),
+                                                               "largest")
+    right = open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("sketch").alias("sy"), F.col("buckets").alias("by"))
+    # A pair comes once: from the smallest bucket that it shares, and in one order where both stand outside the largest component.
+    near = ((left["bucket"] == right["bucket"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y")))
+            & (unlike(F.col("sx"), F.col("sy")) <= MOST_UNLIKE) & (F.array_min(F.array_intersect("bx", "by")) == left["bucket"]))
     more = (left.join(right, near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             .join(stars, ["a", "b"], "left_anti"))
     late = stored(verified(more, texts), "links")

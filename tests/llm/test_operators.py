@@ -282,6 +282,17 @@ def test_restores_disguised_words(spark, sf_dir):
     assert channel.words(None) == channel.words("") == set()
 
 
+def test_spaced_runs_end_at_marks_and_hold_several_words(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cost = noisy_toxicity.character_model(docs)
+    plain = noisy_toxicity.lexicon(docs.select("text").unionByName(spark.createDataFrame([("you what",), ("what you",)], "text string")))
+    channel = noisy_toxicity.Channel(cost, plain)
+    for seen in ('"i d i o t" he', "i d i o t, she", "so i d i o t!", "an i d i o t.", "what  i  d  i  o  t", "y o u i d i o t", "i d i o t ! he", "i\nd i o t"):
+        assert "idiot" in channel.words(seen), seen
+    assert "moron" in channel.words("a m o r o n") and "ass" in channel.words("such a s s")
+    assert {"idiot", "moron", "loser"} <= channel.words("1d10t-m0r0n-l0ser")
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = queries.op9_noisy_toxicity(spark, "/root/testdata/sf0.1")
     truth = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")

@@ -293,6 +293,13 @@ def test_spaced_runs_end_at_marks_and_hold_several_words(spark, sf_dir):
     assert {"idiot", "moron", "loser"} <= channel.words("1d10t-m0r0n-l0ser")
 
 
+def test_disguises_of_any_length(spark, sf_dir):
+    channel = noisy_toxicity.Channel(noisy_toxicity.character_model(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    assert {"idiot", "moron"} <= channel.words("-".join(["1d10t", "m0r0n"] * 20_000))
+    assert "idiot" in channel.words("i" + "d" * 300 + "iot") and "idiot" in channel.words("idIiIot")
+    assert "idiot" in channel.words(" ".join("the house is near the river " * 10 + "idiot").replace("   ", " "))
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = queries.op9_noisy_toxicity(spark, "/root/testdata/sf0.1")
     truth = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")

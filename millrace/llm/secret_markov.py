@@ -3,7 +3,9 @@ ordinary identifiers.
 
 Both models are first-order Markov chains over 69 character classes. Their labelled samples come from all documents: the
 characters inside base matches are random strings, every other adjacent pair of token characters is ordinary text. A token of 20 or more
-characters outside the base matches is a secret when its log-likelihood ratio is high in total and per character.
+characters is a secret when its log-likelihood ratio is high in total and per character. Where base matches cover some of a token, each part
+outside them is judged by its own ratio per character; an access or hex match beside it, which may be a run within a longer secret, lends its length and total,
+and the span holds both.
 
 Cases: null and empty texts have no spans; without any base match there is no sample of random strings and only base
 spans are found; repeated rows give repeated results; spans count code points.
@@ -56,6 +58,33 @@ def _byte_spans(text: str, raw: bytes, spans):
     return [(len(text[:a].encode("utf-8", "surrogatepass")), len(text[:b].encode("utf-8", "surrogatepass"))) for a, _, b in spans]
 
 
+def _random_stretches(raw: bytes, a: int, b: int, known, ratio: np.ndarray) -> list[tuple[int, int]]:
+    """Byte spans of the parts of token raw[a:b] outside the base spans `known` (start, stop, kind; by start) that look random, each with
+    the access and hex matches beside it."""
+    covered: list[list[int]] = []  # unions of base spans: start, stop, whether an assignment is among them
+    for x, y, kind in known:
+        if x < b and a < y:
+            x, y = max(a, x), min(b, y)
+            if covered and x <= covered[-1][1]:
+                covered[-1][1:] = max(covered[-1][1], y), covered[-1][2] or kind == 0
+            else:
+                covered.append([x, y, kind == 0])
+    out: list[tuple[int, int]] = []
+    for left, right in zip([[a, a, True], *covered], [*covered, [b, b, True]]):
+        x, y = left[1], right[0]
+        start, stop = x if left[2] else left[0], y if right[2] else right[1]
+        if x == y or stop - start < TOKEN_CHARS:
+            continue
+        c = CLASS[np.frombuffer(raw[start:stop], np.uint8)]
+        each = ratio[c[:-1], c[1:]]
+        own = each[max(0, x - start - 1):y - start]
+        if float(each.sum()) >= LEAST_TOTAL and float(own.sum()) >= LEAST_MEAN * len(own):
+            if out and start < out[-1][1]:
+                start = out.pop()[0]
+            out.append((start, stop))
+    return out
+
+
 def transition_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(random, pair, n): adjacent character classes inside base matches and outside, over all documents. Each batch
     is one dense table, so a hot source or text only adds to the same few thousand counters."""
@@ -107,14 +136,11 @@ def find_secrets(docs: DataFrame, ratio: np.ndarray | None, name: str = "_secret
             raw = t.encode("utf-8", "surrogatepass")
             spans = base_spans(t, raw)
             if ratio is not None and b"1" * TOKEN_CHARS in (marks := raw.translate(IS_TOKEN)):
-                known = _byte_spans(t, raw, spans)
+                known = [(x, y, kind) for (x, y), (_, kind, _) in zip(_byte_spans(t, raw, spans), spans)]
                 for m in re.finditer(rb"1+", marks):
-                    a, b = m.span()
-                    if b - a < TOKEN_CHARS or any(a < y and x < b for x, y in known):
+                    if m.end() - m.start() < TOKEN_CHARS:
                         continue
-                    c = CLASS[np.frombuffer(raw[a:b], np.uint8)]
-                    total = float(ratio[c[:-1], c[1:]].sum())
-                    if total >= LEAST_TOTAL and total >= LEAST_MEAN * (b - a - 1):
+                    for a, b in _random_stretches(raw, *m.span(), known, ratio):
                         start = len(raw[:a].decode("utf-8", "surrogatepass"))
                         spans.append((start, 3, start + b - a))
                 spans.sort()

@@ -213,6 +213,18 @@ def test_secrets(spark, docs, none, small):
     assert secret_markov.train(none) is None and secret_markov.find_secrets(none, None).count() == 0
 
 
+def test_secrets_around_base_matches(spark, small):
+    mixed = "q9Zk3xV7bT2mW8rL5pY1nC6sQ4hJ8dG2fK7vR3tX"
+    texts = {**small, 8000: "the_name_of_the_river_ an_ordinary_name_of_things_ key_live_ " * 300, 9001: f"a 1234567890123456789-{mixed} b", 9002: f"see key_live_0123456789abcdef{mixed[:12]} now", 9003: f"x {mixed[:12]}Z0123456789abcdefZ{mixed[:14]} y",
+             9004: "see the_name_of_the_river_0123456789abcdef0123456789abcdef", 9005: f"an_ordinary_name_of_things_token={mixed[:24]}", 9006: "0123456789abcdef0123456789abcdef"}
+    data = frame(spark, texts)
+    found = secret_markov.find_secrets(data, secret_markov.train(data.where("doc_id < 9000")))
+    got = {r.doc_id: r.t for r in found.select("doc_id", secret_markov.redacted(F.col("text"), F.col("_secrets.spans")).alias("t")).collect()}
+    assert got[9001] == "a [secret] b" and got[9002] == "see key_live_[secret] now" and got[9003] == "x [secret] y"
+    assert got[9004] == "see the_name_of_the_river_[secret]" and got[9005] == "an_ordinary_name_of_things_[secret]" and got[9006] == "[secret]"
+    assert [s.kind for s in found.where("doc_id = 9006").first()._secrets.spans] == ["hex"]
+
+
 def test_redaction_replaces_unions_of_spans(spark):
     df = spark.createDataFrame([("abcdefghij", [("hex", 2, 5), ("hex", 4, 6), ("hex", 8, 10)]), ("abc", [])], f"text string, {secret_markov.FIELDS}")
     assert [r[0] for r in df.select(secret_markov.redacted(F.col("text"), F.col("spans"))).collect()] == ["ab[secret]gh[secret]", "abc"]

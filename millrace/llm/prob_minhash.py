@@ -7,7 +7,7 @@ their probability Jaccard similarity. Arrivals later than a text's latest regist
 Bands of seven registers name buckets. Exact copies are one node. Within a bucket every node is first compared with the smallest
 one, by the exact similarity of the whole texts. Where a bucket then still holds several components, nodes that can't be similar to any other
 are set aside, and all nodes outside the largest component are compared with the nodes of other components, by whole texts where
-the registers don't rule it out: a pair at the threshold differs in more of them than MOST_UNLIKE once in 30,000 times. So texts that meet in a bucket end in one group exactly if links join them, and a
+an exact upper bound of the similarity (see `may_link`) doesn't rule it out. So texts that meet in a bucket end in one group exactly if links join them, and a
 large bucket of copies costs one comparison per member, not one per pair.
 
 Cases: texts without words have no shingles and only join exact copies of themselves (null counts as empty); texts of one to four words are one
@@ -31,8 +31,7 @@ from millrace.llm.shingles import U, mix, weighted_shingles
 THRESHOLD = 0.8
 ROWS, BANDS = 7, 42
 WORDS = -(-ROWS * BANDS // 16)
-_DIFFER = ROWS * BANDS * (1 - THRESHOLD) * 15 / 16  # registers whose four bits differ, on average, at the threshold
-MOST_UNLIKE = int(_DIFFER + 4 * (_DIFFER * (1 - _DIFFER / (ROWS * BANDS))) ** 0.5)  # four deviations more: one in 30,000 has more
+PARITIES = 1024
 SLICE = 128
 
 
@@ -80,7 +79,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """Four bits of every register, sixteen registers to a signed 64-bit number; the last ones padded with zeros."""
+    """Four bits of every register, sixteen registers to a signed 64-bit number; the last ones padded with zeros. They estimate a
+    similarity and rule nothing out, so no link depends on them."""
     n, m = sig.shape
     four = np.zeros((n, WORDS * 16), U)
     four[:, :m] = mix(sig) & U(15)
@@ -95,6 +95,27 @@ def unlike(a: Column, b: Column) -> Column:
     return reduce(add, [differ(a[i].bitwiseXOR(b[i])) for i in range(WORDS)])
 
 
+def parities(owner: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
+    """For n texts, whether each of PARITIES cells holds an odd number of the text's distinct shingles; 64 cells to a signed number. A cell where two
+    texts differ holds a shingle that only one of them has."""
+    cell = (mix(element) & U(PARITIES - 1)).astype(np.int64)
+    odd = np.bincount(owner * PARITIES + cell, minlength=n * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, PARITIES), axis=1).view(np.int64)
+
+
+def bulks(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """The total weight of each text less half its number of distinct shingles."""
+    return np.bincount(owner, weights=weight, minlength=n) - np.bincount(owner, minlength=n) / 2
+
+
+def may_link(parity_a: Column, parity_b: Column, bulk_a: Column, bulk_b: Column) -> Column:
+    """False only for pairs below the threshold. The similarity is at most C / (C + S), C the sum over common shingles of the larger
+    weight, S the weight of the others, as max(x'/x, y'/y) >= max(x', y') / max(x, y). No weight is below 1, so with D cells of different parity
+    S >= D and C <= T - S / 2, T the sum of both bulks: the similarity is at most (T - D / 2) / (T + D / 2)."""
+    d = reduce(add, [F.bit_count(parity_a[i].bitwiseXOR(parity_b[i])) for i in range(PARITIES // 64)])
+    return d * F.lit(1 + THRESHOLD) <= (bulk_a + bulk_b) * F.lit(2 * (1 - THRESHOLD)) + F.lit(1e-6)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard of two sorted weighted sets: the sum over common elements of one over
     sum(max(x'/x, y'/y)), with all ratios split by one sort."""
@@ -117,21 +138,23 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_nodes(docs: DataFrame) -> DataFrame:
-    """(node, copy, keys, sketch) per distinct text: its smallest id, its digest, its bucket keys, its registers in short."""
+    """(node, copy, keys, parity, bulk) per distinct text: its smallest id, its digest, its bucket keys, what bounds its similarities."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             texts = batch.column(2).to_pylist()
             owner, element, counts = weighted_shingles(texts)
             full = np.bincount(owner, minlength=len(texts)) > 0
-            sig = signatures(owner, element, weights(counts), len(texts))
+            w = weights(counts)
+            sig = signatures(owner, element, w, len(texts))
             keys = band_keys(sig)
             packed = [k.tobytes() if ok else b"" for k, ok in zip(keys, full)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(list(sketches(sig)), pa.list_(pa.int64()))],
-                                             names=["doc_id", "copy", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()),
+                                              pa.array(list(parities(owner, element, len(texts))), pa.list_(pa.int64())), pa.array(bulks(owner, w, len(texts)))],
+                                             names=["doc_id", "copy", "keys", "parity", "bulk"])
 
-    rows = _with_copy(docs).mapInArrow(bands, "doc_id long, copy string, keys binary, sketch array<long>")
-    return rows.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    rows = _with_copy(docs).mapInArrow(bands, "doc_id long, copy string, keys binary, parity array<long>, bulk double")
+    return rows.groupBy("copy").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("keys", "parity", "bulk")])
 
 
 def _with_copy(docs: DataFrame) -> DataFrame:
@@ -235,14 +258,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = _mixed(placed)
     alone = stored(isolated(placed.select("node").distinct().join(texts, "node")), "isolated")
     open_ = _mixed(placed.select("bucket", "node", "component").join(alone, "node", "left_anti"))
-    held = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(nodes.select("node", "sketch"), "node")
+    held = open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(nodes.select("node", "parity", "bulk"), "node")
     open_ = stored(open_.join(held, "node"), "open")
-    left = open_.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"), F.col("buckets").alias("bx"),
-                                                               "largest")
-    right = open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("sketch").alias("sy"), F.col("buckets").alias("by"))
+    left = open_.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("parity").alias("px"), F.col("bulk").alias("wx"),
+                                                               F.col("buckets").alias("bx"), "largest")
+    right = open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("parity").alias("py"), F.col("bulk").alias("wy"), F.col("buckets").alias("by"))
     # A pair comes once: from the smallest bucket that it shares, and in one order where both stand outside the largest component.
     near = ((left["bucket"] == right["bucket"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y")))
-            & (unlike(F.col("sx"), F.col("sy")) <= MOST_UNLIKE) & (F.array_min(F.array_intersect("bx", "by")) == left["bucket"]))
+            & may_link(F.col("px"), F.col("py"), F.col("wx"), F.col("wy")) & (F.array_min(F.array_intersect("bx", "by")) == left["bucket"]))
     more = (left.join(right, near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             .join(stars, ["a", "b"], "left_anti"))
     late = stored(verified(more, texts), "links")

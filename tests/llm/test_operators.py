@@ -359,3 +359,39 @@ def test_sketches_count_differing_registers(spark):
     rows = prob_minhash.sketches(sig).tolist()
     df = spark.createDataFrame([tuple(rows)], "a array<long>, b array<long>")
     assert df.select(prob_minhash.unlike(F.col("a"), F.col("b"))).first()[0] == want
+
+
+def test_the_bound_rules_out_no_link(spark):
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in (6, 13, 40, 150, 600):
+        for _ in range(12):
+            w = [f"w{rng.integers(0, n)}" for _ in range(n)]
+            for kept in (1, 2, 5, 10):
+                v = list(w)
+                for i in rng.integers(0, n, max(1, n // (20 * kept))):
+                    v[i] = "new"
+                pairs.append((" ".join(w), " ".join(v + v[:int(rng.integers(0, 3))])))
+    rows = []
+    for a, b in pairs:
+        owner, element, counts = shingles.weighted_shingles([a, b])
+        w = prob_minhash.weights(counts)
+        p, h = prob_minhash.parities(owner, element, 2).tolist(), prob_minhash.bulks(owner, w, 2).tolist()
+        rows.append((prob_minhash.similarity(*[(element[owner == k], w[owner == k]) for k in (0, 1)]), *p, *h))
+    df = spark.createDataFrame(rows, "s double, pa array<long>, pb array<long>, ha double, hb double")
+    got = df.select("s", prob_minhash.may_link(*[F.col(c) for c in ("pa", "pb", "ha", "hb")]).alias("may")).collect()
+    assert all(r.may for r in got if r.s >= prob_minhash.THRESHOLD) and 20 < sum(r.s >= prob_minhash.THRESHOLD for r in got) < len(got)
+    assert sum(not r.may for r in got) > 10
+
+
+def test_a_link_with_unlike_registers_is_kept(spark):
+    """The pair is similar enough and shares a band, but differs in 82 registers: more than the 81 that were once the limit."""
+    w = [f"v3927x{i}" for i in range(13)]
+    owner, element, counts = shingles.weighted_shingles([" ".join(w), " ".join(w[:-1] + ["new"])])
+    weight = prob_minhash.weights(counts)
+    sig = prob_minhash.signatures(owner, element, weight, 2)
+    keys = prob_minhash.band_keys(sig)
+    assert (keys[0] == keys[1]).any() and int(((shingles.mix(sig[0]) ^ shingles.mix(sig[1])) & np.uint64(15) != 0).sum()) == 82
+    assert prob_minhash.similarity(*[(element[owner == k], weight[owner == k]) for k in (0, 1)]) >= prob_minhash.THRESHOLD - 1e-12
+    df = spark.createDataFrame([(*prob_minhash.parities(owner, element, 2).tolist(), *prob_minhash.bulks(owner, weight, 2).tolist())], "pa array<long>, pb array<long>, ha double, hb double")
+    assert df.select(prob_minhash.may_link(*[F.col(c) for c in ("pa", "pb", "ha", "hb")])).first()[0]

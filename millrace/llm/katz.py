@@ -187,11 +187,11 @@ def pair_requests(bits: int):
         p = Pairs(chunk, replies)
         runs = np.bincount(p.row, minlength=len(p.keys))
         ends = np.concatenate([[0], np.cumsum(runs)])
-        w, counts, c = p.words[p.w] >> U(24), p.counts[p.order], p.c[p.w]
+        w, counts, c = p.words[p.w], p.counts[p.order], p.c[p.w]
         rows = []
         for b, i, j in _buckets(p.keys, bits):
             a, z = ends[i], ends[j]
-            rows.append((b, number, X.pack(_deltas(p.keys[i:j]), X.narrow(runs[i:j]), (w[a:z] >> U(32)).astype(np.uint8), w[a:z].astype(np.uint32),
+            rows.append((b, number, X.pack(_deltas(p.keys[i:j]), X.narrow(runs[i:j]), (w[a:z] >> U(32)).astype(np.uint32), w[a:z].astype(np.uint32),
                                            X.narrow(counts[a:z]), X.narrow(c[a:z]))))
         return X._batch(rows, X._schema(X.REQUEST))
     return ask

@@ -1,5 +1,6 @@
 """The training-data operators beside brute force, and on awkward rows: nulls, empty and very long texts, repeats, ties, other columns."""
 
+import types
 import zlib
 
 import numpy as np
@@ -167,6 +168,17 @@ def test_scores_equal_hand_computed_katz(spark, small, hot):
         assert got[i].score == pytest.approx(sum(np.log10(p2(v, w)) for v, w in zip(["START"] + x[:-1], x)), rel=1e-6)
 
 
+def test_pairs_keep_all_bits_of_the_second_word(monkeypatch):
+    """Two words whose hashes differ in the last bit only follow the same word."""
+    words = np.array([1 << 60, katz.END, (5 << 60) + 2, (5 << 60) + 3], np.uint64)
+    monkeypatch.setattr(katz, "tokens", lambda chunk: (np.zeros(5, np.int64), words[[0, 2, 0, 3, 1]]))
+    chunk = types.SimpleNamespace(flag=np.zeros(1, bool))
+    asked = katz.pair_requests(0)(0, chunk, {0: exchange.pack(np.array([2, 1, 1, 1], np.uint8))})
+    level = katz.Words(np.array([5, 4, 3, 1, 0, 0, 0, 0]))
+    *_, (last, counts) = katz.count_pairs(level)(0, [0], asked.column("blob").to_pylist())
+    assert last == -1 and exchange.unpack(counts)[0][0] == 5
+
+
 def test_contexts_sum_to_one(small):
     *_, c, one, follow, p1, p2 = katz_by_hand(dict(list(small.items())[:40]))
     assert sum(map(p1, c)) + one.unknown == pytest.approx(1)

@@ -49,6 +49,14 @@ def per_text(make: Callable[[], Callable], returns: str):
     return F.arrow_udf(run, struct)
 
 
+def free_name(name: str, *taken) -> str:
+    """`name`, with as many underscores in front as it takes to differ (in any case of letters) from all columns of the frames."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def annotated(df: DataFrame, udf, text: str, name: str) -> DataFrame:
     """df with the struct column `name` computed from its text column; rows keep all their columns."""
     if name in df.columns:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fst_pieces, katz, noisy_toxicity, prob_minhash, rank_order, rp_forest, secret_markov, suffix_dedup, url_rules, wu_manber
+from millrace.llm import (fst_pieces, katz, noisy_toxicity, periodic_runs, prob_minhash, rank_order, rp_forest, secret_markov, suffix_dedup, url_rules,
+                          wu_manber)
 from millrace.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -109,3 +110,10 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("removed")
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    text = periodic_runs.repeated_from(F.col("doc_id"), F.col("text"))
+    return periodic_runs.run_digest(periodic_runs.find_runs(docs.withColumn("text", text)))

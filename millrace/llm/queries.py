@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import computed_once
 from millrace.llm import (fst_pieces, katz, noisy_toxicity, periodic_runs, prob_minhash, rank_order, rp_forest, secret_markov, suffix_dedup, url_rules,
                           wu_manber)
 from millrace.llm.common import fold, table
@@ -116,4 +117,4 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     text = periodic_runs.repeated_from(F.col("doc_id"), F.col("text"))
-    return periodic_runs.run_digest(periodic_runs.find_runs(docs.withColumn("text", text)))
+    return periodic_runs.run_digest(periodic_runs.find_runs(computed_once(docs, text=text)))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import periodic_runs, queries
+from millrace.llm.common import stored
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -91,7 +92,7 @@ def test_long_texts_take_few_steps():
 
 def test_query_equals_brute_force(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in queries.op11_periodic_runs(spark, sf_dir).collect()}
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in stored(queries.op11_periodic_runs(spark, sf_dir), "runs").collect()}
     chosen = [i for i, t in docs.items() if len(t or "") < 12_000]
     assert set(got) == set(docs) and len(chosen) > 100
     assert {i: got[i] for i in chosen} == {i: brute_digest(i, docs[i]) for i in chosen}

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import computed_once
-from millrace.llm import (fst_pieces, katz, noisy_toxicity, periodic_runs, prob_minhash, rank_order, rp_forest, secret_markov, suffix_dedup, url_rules,
-                          wu_manber)
+from millrace.llm import (fst_pieces, grouped_packing, katz, noisy_toxicity, periodic_runs, prob_minhash, rank_order, rp_forest, secret_markov, suffix_dedup,
+                          url_rules, wu_manber)
 from millrace.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -118,3 +118,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     text = periodic_runs.repeated_from(F.col("doc_id"), F.col("text"))
     return periodic_runs.run_digest(periodic_runs.find_runs(computed_once(docs, text=text)))
+
+
+@_query
+def op12_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = grouped_packing.cut_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return grouped_packing.pack(pieces)

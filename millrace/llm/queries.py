@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import computed_once
-from millrace.llm import (fst_pieces, grouped_packing, katz, noisy_toxicity, periodic_runs, prob_minhash, rank_order, rp_forest, secret_markov, suffix_dedup,
-                          url_rules, wu_manber)
+from millrace.llm import (collocations, fst_pieces, grouped_packing, katz, noisy_toxicity, periodic_runs, prob_minhash, rank_order, rp_forest, secret_markov,
+                          suffix_dedup, url_rules, wu_manber)
 from millrace.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -126,3 +126,27 @@ def op12_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = grouped_packing.cut_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return grouped_packing.pack(pieces)
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(collocations.frequent_phrases(table(spark, sf_dir, "documents", "lang", "text")))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE k >= 2 AND a >= 10),
+cut AS (SELECT lang, k, phrase, a, j, array_to_string(s[1:j], ' ') AS lp, array_to_string(s[j + 1:], ' ') AS rp FROM c, (VALUES (1), (2)) t(j) WHERE j < k),
+sc AS (SELECT cut.*, x.a AS l, y.a AS r, CAST(CAST(1000000 AS HUGEINT) * cut.a * cut.a // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+       FROM cut JOIN f x ON cut.lang = x.lang AND lp = x.phrase JOIN f y ON cut.lang = y.lang AND rp = y.phrase),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS i FROM sc),
+long AS (SELECT lang, part, max(a) AS b FROM (SELECT lang, a, lp AS part FROM cut WHERE k = 3 AND j = 2 UNION ALL SELECT lang, a, rp FROM cut WHERE k = 3 AND j = 1) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN long ON best.lang = long.lang AND phrase = part WHERE i = 1 AND (b IS NULL OR 100 * b < 50 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""

@@ -22,8 +22,11 @@ megabyte at a time. Repeated rows, null and repeated ids are packed one by one;
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
+from array import array
+from codecs import charmap_decode
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -41,73 +44,63 @@ CAPACITY = 2048
 GROUPS = 48
 BOUNDS = (2, 3, 4, 6, 8)  # long: over this part of the capacity
 WINDOW = 1 << 20  # characters encoded at a time
-REMEMBERED = 400_000  # distinct strings whose ids a worker keeps
+REMEMBERED = 600_000  # distinct strings whose ids a worker keeps
 _RANK_BITS = 44
 
 # --- tokens ---
 
-_LETTERS = "A-Za-z0-9À-ÖØ-öø-ÿ"
-# Places between two tokens of every text, for pre-tokenizers that take an optional blank with letters, digits or marks: before a blank
-# after anything but white space, and before a mark or line end after a letter.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+# Parts of a text that begin and end between two tokens of any text, for pre-tokenizers that take an optional blank with letters, digits or
+# marks: a place before a blank or line end after anything but white space, or before a mark after a letter, parts tokens.
 _BLANK_CUT = re.compile(r"(?= (?<=\S ))")
-_CUTS = re.compile(rf"(?= (?<=\S ))|(?<=[{_LETTERS}])(?=[.,;:!?\n])")
-_SIMPLE = re.compile(r" ?\S+\Z")
+_PARTS = re.compile(rf" ?[{_LETTERS}]+(?=[ \n.,;:!?]|\Z)|[.,;:!?]+(?=[ \n])|(?s:.+?)(?=(?<=\S)[ \n]|(?<=[{_LETTERS}])[.,;:!?]|\Z)")
+_WORD = re.compile(rf" ?[{_LETTERS}]+\Z")
+
+
+class _Parts(dict):
+    """The ids of parts, found when they are first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        # How the pre-tokenizer spells the bytes of a blank and the letters.
+        letters, spelled = re.findall(rf"[{_LETTERS}]", "".join(map(chr, range(256)))), ["\ufffe"] * 256
+        for c in [" ", *letters]:
+            for byte, x in zip(c.encode(), tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0], strict=True):
+                spelled[byte] = x
+        self.spelled = "".join(spelled)
+
+    def __missing__(self, part: str) -> bytes:
+        """A word is one token of the pre-tokenizer, so the model alone gives its ids."""
+        if _WORD.match(part):
+            ids = [t.id for t in self.model.tokenize(charmap_decode(part.encode(), "strict", self.spelled)[0])]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        raw = self[part] = array("I", ids).tobytes()
+        return raw
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers. Strings between two cuts are encoded once and remembered, where the tokenizer is a
-    byte-level BPE with the pre-tokenizer the cuts are made for; other tokenizers get whole texts."""
+    """Ids of texts as little-endian 32-bit numbers. Parts of texts are encoded once and remembered, where the tokenizer is a byte-level BPE with
+    the pre-tokenizer the parts are made for; other tokenizers get whole texts, as do texts with a special token."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for every core
         self.tokenizer, parts = Tokenizer.from_str(spec), json.loads(spec)
         before = parts.get("pre_tokenizer") or {}
         self.by_parts = (parts["model"]["type"] == "BPE" and parts.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
                          and before.get("use_regex", True))
         self.special = [t["content"] for t in parts.get("added_tokens", [])]
-        self.known: dict[str, bytes] = {}
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.known = _Parts(self.tokenizer) if self.by_parts else None
 
-    def _learn(self, parts: set[str]) -> None:
+    def encode(self, text: str) -> bytes:
+        if not self.by_parts or any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [p for p in parts if p not in self.known]
-        plain = [p for p in new if self.line is not None and _SIMPLE.match(p)]
-        for i in range(0, len(plain), 2000):  # a line end is a token of its own between two such strings
-            some = plain[i:i + 2000]
-            (ids,) = self._ids(["\n".join(some)])
-            at = np.flatnonzero(ids == self.line)
-            edges = [-1, *at.tolist(), len(ids)]
-            if len(at) == len(some) - 1:
-                raw = ids.tobytes()
-                self.known.update((p, raw[4 * a + 4:4 * b]) for p, a, b in zip(some, edges, edges[1:]))
-        new = [p for p in new if p not in self.known]
-        for i in range(0, len(new), 2000):
-            self.known.update(zip(new[i:i + 2000], [x.tobytes() for x in self._ids(new[i:i + 2000])]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text."""
-        out = []
-        cut = [None if not self.by_parts or any(s in t for s in self.special) else _windows(t) for t in texts]
-        for text, windows in zip(texts, cut):
-            if windows is None:
-                out.append(self._ids([text])[0].tobytes())
-                continue
-            whole = []
-            for window in windows:
-                parts = _CUTS.split(window)
-                try:
-                    whole.append(b"".join(map(self.known.__getitem__, parts)))
-                except KeyError:
-                    self._learn(set(parts))
-                    whole.append(b"".join(map(self.known.__getitem__, parts)))
-            out.append(b"".join(whole))
-        return out
+        return b"".join([b"".join(map(self.known.__getitem__, _PARTS.findall(window))) for window in _windows(text)])
 
 
 def _windows(text: str) -> Iterator[str]:
@@ -137,8 +130,8 @@ def cut_documents(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY
             for i in range(0, batch.num_rows, SLICE):
                 some = batch.slice(i, SLICE)
                 rows = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in some.column(1).to_pylist()])):
-                    ids += end
+                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    ids = encoder.encode(text or "") + end
                     n, start, piece = len(ids) // 4, 0, 0
                     stop = n - (n - 1) // capacity * capacity
                     while start < n:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_FAMILIES = ("scoring", "group_stats", "corpus", "fields", "indexing", "chat", "masks", "token_logs", "run_logs", "live")
+_FAMILIES = ("scoring", "group_stats", "corpus", "fields", "indexing", "chat", "masks", "token_logs", "run_logs", "live", "curation")
 
 
 def load_all() -> None:

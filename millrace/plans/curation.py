@@ -1,0 +1,129 @@
+"""Corpus curation: packing into windows, mixing by budget, copies by quality, interleaving."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.functions import tokens as K
+from millrace.operators import mixing as M, packing as P
+from millrace.plans.frames import table
+from millrace.plans.indexing import s_hash
+from millrace.plans.registry import query
+
+WINDOW = 2048
+WEIGHTS = {f"src{i}": 1 + i for i in range(20)}
+
+
+def sized(spark, sf):
+    """Documents with their tokens and an end token."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    return docs.select("doc_id", "source", "lang", (F.size(K.tokens(F.coalesce("text", F.lit("")))) + 1).cast("bigint").alias("n_tokens"))
+
+
+SIZED = r"""sized AS (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '<\|eos\|>|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) + 1 AS BIGINT) AS n_tokens
+  FROM documents)"""
+
+
+@query("pack_documents")
+def pack_documents(spark, sf):
+    return P.pack_documents(sized(spark, sf).select("doc_id", "n_tokens"), "doc_id", "n_tokens", WINDOW)
+
+
+@query("packing_report", f"""
+WITH {SIZED} SELECT count(*) AS documents, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) FILTER (WHERE n_tokens > {WINDOW}) AS oversized, 0 AS misplaced, 0 AS overfull,
+  true AS well_filled FROM sized""")
+def packing_report(spark, sf):
+    return P.packing_report(pack_documents(spark, sf), "n_tokens", WINDOW)
+
+
+# Water-filling and the cut, on the check side.
+BUDGETS = f"""{SIZED}, w AS (SELECT concat('src', CAST(i AS VARCHAR)) AS source, i + 1 AS weight FROM range(20) t(i)),
+total AS (SELECT CAST(sum(n_tokens) * 6 // 10 AS BIGINT) AS total FROM sized),
+av AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS available FROM sized GROUP BY source),
+aw AS (SELECT av.source, available, coalesce(weight, 0) AS weight FROM av LEFT JOIN w ON av.source = w.source),
+r AS (SELECT *, (SELECT total FROM total) - coalesce(sum(available) OVER (ORDER BY available / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(weight) OVER (ORDER BY available / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM aw WHERE weight > 0),
+s AS (SELECT *, CAST(available AS HUGEINT) * weights <= CAST(weight AS HUGEINT) * rest AS short FROM r),
+budget AS (SELECT source, available, weight, CAST(CASE WHEN short THEN available ELSE CAST(weight AS HUGEINT) * (SELECT arg_max(rest, weights) FROM s WHERE NOT short)
+  // (SELECT max(weights) FROM s WHERE NOT short) END AS BIGINT) AS budget FROM s UNION ALL SELECT source, available, weight, 0 FROM aw WHERE weight = 0),
+taken AS (SELECT doc_id, t.source, n_tokens FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY {s_hash("'5'", "CAST(doc_id AS VARCHAR)")}, doc_id) AS so_far
+  FROM sized) t JOIN budget b ON t.source = b.source WHERE so_far <= budget)"""
+
+
+def _mix(spark, sf):
+    docs = sized(spark, sf).select("doc_id", "source", "n_tokens")
+    total = docs.agg(F.expr("sum(n_tokens) * 6 div 10").alias("t")).select("t").scalar()
+    return docs, M.mixture(docs, "source", "doc_id", "n_tokens", WEIGHTS, total, seed=5), total
+
+
+@query("mixture", f"WITH {BUDGETS} SELECT * FROM taken")
+def mixture(spark, sf):
+    return _mix(spark, sf)[1]
+
+
+@query("mixture_report", f"""
+WITH {BUDGETS} SELECT b.source, available, CAST(weight AS BIGINT) AS weight, budget, coalesce("rows", 0) AS "rows", coalesce(taken, 0) AS taken
+FROM budget b LEFT JOIN (SELECT source, count(*) AS "rows", CAST(sum(n_tokens) AS BIGINT) AS taken FROM taken GROUP BY source) t ON b.source = t.source""")
+def mixture_report(spark, sf):
+    docs, mixed, total = _mix(spark, sf)
+    return M.mixture_report(docs, mixed, "source", "n_tokens", WEIGHTS, total)
+
+
+RATIOS = {"src0": 0.8, "src3": 1.5}  # copies per document; 1 in the other topics
+
+
+def _s_below(x, curve):
+    u = f"greatest({x} - {curve.start!r}, 0)"
+    e = f"exp({curve.rate!r} * {u})"
+    return f"{curve.scale!r} * ({u} * {e} / {curve.rate!r} - 1 / {curve.rate!r} * (({e} - 1) / {curve.rate!r}))"
+
+
+def _s_expected(ratio):
+    c = M.Curve.solve(ratio)
+    return f"n * ({_s_below('(CAST(i + 1 AS DOUBLE) / n)', c)} - {_s_below('(CAST(i AS DOUBLE) / n)', c)})"
+
+
+@query("quality_upsample", f"""
+WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+w AS (SELECT documents.doc_id, source, quality, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents LEFT JOIN q ON documents.doc_id = q.doc_id),
+scored AS (SELECT doc_id, source, coalesce(quality, 0.5) + CASE WHEN len(w) > 0 THEN CAST(len(list_distinct(w)) AS DOUBLE) / len(w) ELSE 0 END AS score FROM w),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score, doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM scored),
+e AS (SELECT *, CASE source {' '.join(f"WHEN '{s}' THEN {_s_expected(r)}" for s, r in RATIOS.items())} ELSE {_s_expected(1.0)} END AS expected FROM ranked),
+c AS (SELECT *, CAST(floor(expected) AS INT) + CASE WHEN {s_hash("'9'", "CAST(doc_id AS VARCHAR)")} / 1152921504606846976.0::DOUBLE < expected - floor(expected) THEN 1 ELSE 0 END AS copies FROM e)
+SELECT doc_id, source, round(expected, 6) AS expected, CAST(unnest(range(1, copies + 1)) AS INT) AS copy FROM c""")
+def quality_upsample(spark, sf):
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    ratio = F.when(F.size("w") > 0, F.size(F.array_distinct("w")).cast("double") / F.size("w")).otherwise(0)
+    docs = table(spark, sf, "documents").select("doc_id", "source", words.alias("w")).select("doc_id", "source", ratio.alias("r"))
+    quality = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    scored = docs.join(quality, "doc_id", "left").select("doc_id", "source", (F.coalesce("quality", F.lit(0.5)) + F.col("r")).alias("score"))
+    return M.quality_upsample(scored, "source", "doc_id", "score", ratios=RATIOS, seed=9).select("doc_id", "source", F.round("expected", 6).alias("expected"), "copy")
+
+
+# The order of pairs and their turns, on the check side.
+INTERLEAVED = f"""d AS (SELECT doc_id, source, coalesce(source, chr(0)) AS s, {s_hash("'4'", "CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+z AS (SELECT s, coalesce(sum(n) OVER (ORDER BY n DESC, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, sum(n) OVER () AS total FROM (SELECT s, count(*) AS n FROM d GROUP BY s)),
+x AS (SELECT d.*, total, (total + 1) // 2 AS half, first + row_number() OVER (PARTITION BY d.s ORDER BY h, doc_id) - 1 AS j FROM d JOIN z ON d.s = z.s),
+p AS (SELECT CASE WHEN j < half THEN j ELSE j - half END AS slot, max(doc_id) FILTER (WHERE j < half) AS ad, max(s) FILTER (WHERE j < half) AS a,
+  max(doc_id) FILTER (WHERE j >= half) AS bd, max(s) FILTER (WHERE j >= half) AS b, max(total) AS total FROM x GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN b IS NULL THEN -1
+  ELSE (CAST(slot + 1 AS HUGEINT) * 11400714819323198485 % 18446744073709551616) // 2 END, slot) - 1 AS t FROM p),
+q AS (SELECT *, coalesce(lag(coalesce(b, a)) OVER (ORDER BY t) = a, false) AS m0, coalesce(lag(a) OVER (ORDER BY t) = a, false) AS m1 FROM o),
+c AS (SELECT *, sum(CASE WHEN m0 AND NOT m1 THEN 1 ELSE 0 END) OVER (ORDER BY t) AS changes FROM q),
+e AS (SELECT *, last_value(CASE WHEN m0 = m1 THEN 2 * changes + CAST(m0 AS INT) END IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS last FROM c),
+f AS (SELECT *, (last + changes - last // 2) % 2 = 1 AS turned, 2 * t - CASE WHEN total % 2 = 1 AND t > 0 THEN 1 ELSE 0 END AS place FROM e),
+placed AS (SELECT CASE WHEN turned THEN bd ELSE ad END AS doc_id, CAST(place AS BIGINT) AS position FROM f UNION ALL
+  SELECT CASE WHEN turned THEN ad ELSE bd END, CAST(place + 1 AS BIGINT) FROM f)"""
+
+
+@query("interleave_shuffle", f"WITH {INTERLEAVED} SELECT doc_id, source, position FROM placed JOIN documents USING (doc_id)")
+def interleave_shuffle(spark, sf):
+    return M.interleave(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", seed=4)
+
+
+@query("interleave_report", f"""
+WITH {INTERLEAVED}, n AS (SELECT source, lag(source) OVER (ORDER BY position) AS prev FROM placed JOIN documents USING (doc_id)),
+g AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE source = prev) AS same FROM n GROUP BY source)
+SELECT CAST(sum(n) AS BIGINT) AS "rows", CAST(sum(same) AS BIGINT) AS same_source, CAST(greatest(0, 2 * max(n) - sum(n) - 1) AS BIGINT) AS least FROM g""")
+def interleave_report(spark, sf):
+    return M.neighbour_report(interleave_shuffle(spark, sf), "source")

@@ -1,11 +1,12 @@
-"""Corpus curation: packing into windows, mixing by budget, copies by quality, interleaving."""
+"""Corpus curation: packing into windows, mixing by budget, copies by quality, interleaving, recent turns, repeated lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens as K
-from millrace.operators import mixing as M, packing as P
+from millrace.operators import context as C, lines as L, mixing as M, packing as P
+from millrace.plans.corpus import s_trim
 from millrace.plans.frames import table
 from millrace.plans.indexing import s_hash
 from millrace.plans.registry import query
@@ -127,3 +128,34 @@ g AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE source = prev) AS sam
 SELECT CAST(sum(n) AS BIGINT) AS "rows", CAST(sum(same) AS BIGINT) AS same_source, CAST(greatest(0, 2 * max(n) - sum(n) - 1) AS BIGINT) AS least FROM g""")
 def interleave_report(spark, sf):
     return M.neighbour_report(interleave_shuffle(spark, sf), "source")
+
+
+KEEP, LIMIT = 2, 300
+
+
+@query("keep_recent", rf"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+    greatest(1, len(regexp_extract_all(coalesce(text, ''), '<\|eos\|>|[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]'))) AS cost FROM conversations),
+s AS (SELECT conv_id, turn, pos, cost AS goal, cost AS total, CAST(0 AS BIGINT) AS context FROM t WHERE pos = 0
+  UNION ALL SELECT t.conv_id, t.turn, t.pos, goal, CASE WHEN t.pos = 1 OR total + cost > {LIMIT} THEN goal + cost ELSE total + cost END,
+    context + CASE WHEN t.pos > 1 AND total + cost > {LIMIT} THEN 1 ELSE 0 END FROM s JOIN t ON s.conv_id = t.conv_id AND t.pos = s.pos + 1),
+k AS (SELECT *, lead(context, {KEEP}) OVER (PARTITION BY conv_id ORDER BY pos) AS later FROM s)
+SELECT c.conv_id, c.turn, context, CAST(total AS BIGINT) AS context_tokens, pos = 0 OR later IS NULL OR later <> context AS kept,
+  CASE WHEN pos = 0 OR later IS NULL OR later <> context THEN text ELSE '' END AS text
+FROM k JOIN conversations c ON k.conv_id = c.conv_id AND k.turn = c.turn""")
+def keep_recent(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.size(K.tokens(F.coalesce("text", F.lit("")))).alias("n"))
+    return C.blanked(C.keep_recent(turns, "conv_id", "turn", "n", KEEP, LIMIT).drop("n"), "text")
+
+
+MIN_DOCUMENTS = 5
+
+
+@query("repeated_lines", f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, i, line, {s_trim('line')} AS k FROM l),
+f AS (SELECT k FROM n WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= {MIN_DOCUMENTS}),
+g AS (SELECT doc_id, count(*) FILTER (WHERE f.k IS NOT NULL) AS removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL) AS text FROM n LEFT JOIN f ON n.k = f.k GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text, coalesce(removed, 0) AS lines_removed FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""")
+def repeated_lines(spark, sf):
+    return L.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"), "text", MIN_DOCUMENTS)

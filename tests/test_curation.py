@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import mixing as M, packing as P
+from millrace.operators import context as X, lines as L, mixing as M, packing as P
 
 # --- packing ---
 
@@ -198,3 +198,71 @@ def test_interleaving_awkward_rows(spark):
     report = M.neighbour_report(got, "source").first()
     assert (report["rows"], report.same_source, report.least) == (8, 0, 0)
     assert M.interleave(df.limit(0), "source", "id").count() == 0 and M.neighbour_report(got.limit(0), "source").first()["rows"] == 0
+
+
+# --- recent turns ---
+
+def recent(turns, keep, limit):
+    """(context, tokens, kept) of every turn of one conversation, one after the other."""
+    out, goal, total, context = [], 0, 0, 0
+    for pos, cost in enumerate(max(1, c if c is not None else 1) for c in turns):
+        if pos == 0:
+            goal = total = cost
+        elif pos == 1:
+            total = goal + cost
+        elif total + cost > limit:
+            total, context = goal + cost, context + 1
+        else:
+            total += cost
+        out.append((context, total))
+    return [(c, t, i == 0 or i + keep >= len(out) or out[i + keep][0] != c) if keep else (c, t, i == 0) for i, (c, t) in enumerate(out)]
+
+
+@pytest.mark.parametrize("keep,limit,bits", [(3, 40, 16), (2, 30, 5), (1, 7, 3), (5, 250, 8), (0, 31, 5)])
+def test_recent_turns_equal_a_sequential_scan(spark, keep, limit, bits):
+    """Long conversations over many blocks (bits: turns of a block), short ones beside them."""
+    rng = random.Random(limit)
+    talks = {i: [rng.choice([1, 2, 3, 9, limit + 5, None, 0]) for _ in range(n)] for i, n in enumerate([1, 2, 3, 40, 700, 1501, 64, 33, 32, 31])}
+    talks |= {100: [1] * 900, 101: [limit] * 50, 102: [5 * limit] + [2] * 200}
+    rows = [(c, t * 3, n, f"{c}/{t}") for c, ns in talks.items() for t, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, "conv long, turn long, n int, text string").repartition(4)
+    got = {(r.conv, r.turn): (r.context, r.context_tokens, r.kept) for r in X.keep_recent(df, "conv", "turn", "n", keep, limit, bits).collect()}
+    want = {(c, 3 * t): x for c, ns in talks.items() for t, x in enumerate(recent(ns, keep, limit))}
+    assert got == want
+
+
+def test_recent_turns_of_awkward_rows(spark):
+    rows = [(None, 1, 5), (None, None, 5), (1, None, 3), (1, 2, 4), (1, 2, 4), (2, 0, None)]
+    df = spark.createDataFrame([(c, t, n, "text", "x") for c, t, n in rows], "conv long, turn int, n int, text string, context string")
+    got = X.keep_recent(df, "conv", "turn", "n", 1, 10)
+    assert got.columns == ["conv", "turn", "n", "text", "context", "context_tokens", "kept"] and got.count() == len(rows)
+    by = {(r.conv, r.turn): r for r in got.collect()}
+    assert by[None, 1].context_tokens == 5 and by[None, None].context_tokens == 10 and by[1, None].context == 1
+    assert {r.text for r in X.blanked(got, "text").collect() if not r.kept} <= {""}
+    assert X.keep_recent(df.limit(0), "conv", "turn", "n", 1, 10).count() == 0
+
+
+# --- repeated lines ---
+
+def without_repeated(texts, least):
+    in_rows = Counter(line for t in texts if t is not None for line in {x.strip() for x in t.split("\n")} - {""})
+    out = []
+    for t in texts:
+        kept = None if t is None else [x for x in t.split("\n") if in_rows[x.strip()] < least]
+        out.append((None if t is None else "\n".join(kept), 0 if t is None else len(t.split("\n")) - len(kept)))
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [None, 50])
+def test_repeated_lines_go_and_the_order_stays(spark, hot_rows):
+    rng = random.Random(3)
+    lines = ["hot footer"] * 9 + [f"line {i}" for i in range(400)] + ["", " ", "\t hot footer ", "Menu | Home", "ß é 日本", "trailing  "]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(12))) for _ in range(900)] + [None, "", "\n", "\n\n", "hot footer", "hot footer\nhot footer\n", "a\r\nhot footer\r\nb", None]
+    texts += ["\n".join(f"own {i}" if i % 2 else "hot footer" for i in range(20_000))]
+    df = spark.createDataFrame([(i % 800, t, "x") for i, t in enumerate(texts)], "id long, text string, lines_removed string").repartition(4)
+    for least in (2, 5, 300):
+        got = L.drop_repeated_lines(df, "text", least, hot_rows)
+        assert got.columns == ["id", "text", "lines_removed"]
+        want = [(i % 800, *x) for i, x in enumerate(without_repeated(texts, least))]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert L.drop_repeated_lines(df.limit(0), "text", 2).count() == 0

@@ -1,11 +1,12 @@
-"""Corpus curation: packing into windows, mixing by budget, copies by quality, interleaving, recent turns, repeated lines."""
+"""Corpus curation: packing into windows, mixing by budget, copies by quality, interleaving, recent turns,
+repeated lines, filters with reasons."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens as K
-from millrace.operators import context as C, lines as L, mixing as M, packing as P
+from millrace.operators import context as C, filters as H, lines as L, mixing as M, packing as P
 from millrace.plans.corpus import s_trim
 from millrace.plans.frames import table
 from millrace.plans.indexing import s_hash
@@ -159,3 +160,63 @@ g AS (SELECT doc_id, count(*) FILTER (WHERE f.k IS NOT NULL) AS removed, string_
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text, coalesce(removed, 0) AS lines_removed FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""")
 def repeated_lines(spark, sf):
     return L.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"), "text", MIN_DOCUMENTS)
+
+
+def _s_html(html):
+    inside = """(?:[^"''>]|"[^"]*"|''[^'']*'')*"""
+    steps = [(r"(?s)<!--.*?(-->|\z)", "''")] + [(rf"(?is)<{name}\b[^>]*>.*?(</{name}\s*>|\z)", "chr(10)") for name in H.SILENT]
+    steps += [(rf"(?i)</?({'|'.join(H.BLOCK)})\b{inside}>", "chr(10)"), (rf"</?[A-Za-z!]{inside}>", "''")]
+    for pattern, by in steps:
+        html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
+    for entity, char in H.ENTITIES.items():
+        html = f"replace({html}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    for pattern, by in ((r"[ \t\r\f]+", "' '"), (r" ?\n[ \n]*", "chr(10)"), (r"^[ \n]+|[ \n]+$", "''")):
+        html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
+    return html
+
+
+@query("page_text", f"SELECT page_id, {_s_html('html')} AS text FROM pages")
+def page_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.html_to_text(F.col("html")).alias("text"))
+
+
+@query("heuristic_filter", rf"""
+WITH t AS (SELECT 'documents' AS source, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'pages', page_id, {_s_html("coalesce(html, '')")} FROM pages),
+w AS (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w, list_filter(string_split(text, chr(10)), lambda x: {s_trim('x')} <> '') AS ls FROM t),
+m AS (SELECT *, len(w) AS n_words, len(list_distinct(w)) AS u, CASE WHEN len(ls) > 0 THEN CAST(len(list_filter(ls, lambda x: regexp_matches(x, '^\s*([-*+•]|\d{{1,3}}[.)])\s'))) AS DOUBLE) / len(ls) ELSE 0 END AS list_share,
+  CASE WHEN len(w) >= 3 THEN 1 - CAST(len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])))) AS DOUBLE) / (len(w) - 2) ELSE 0 END AS repeated_share,
+  len(list_filter(w, lambda x: x IN ('porn', 'xxx', 'casino'))) AS adult FROM w)
+SELECT source, id, CAST(n_words AS BIGINT) AS n_words, round(CASE WHEN n_words > 0 THEN CAST(u AS DOUBLE) / n_words ELSE 0 END, 6) AS unique_share, round(list_share, 6) AS list_share,
+  round(repeated_share, 6) AS repeated_share, CASE WHEN {s_trim('text')} = '' THEN 'empty' WHEN n_words < 20 THEN 'short' WHEN n_words > 100000 THEN 'long' WHEN list_share > 0.6 THEN 'lists'
+  WHEN repeated_share > 0.3 THEN 'repetition' WHEN u < pow(CAST(n_words AS DOUBLE), 0.55) THEN 'vocabulary' WHEN adult >= 2 THEN 'adult' END AS reason FROM m""")
+def heuristic_filter(spark, sf):
+    docs = table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
+    pages = table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), H.html_to_text(F.col("html")).alias("text"))
+    judged = H.heuristic_filter(docs.unionByName(pages), "text")
+    return judged.select("source", "id", "n_words", *[F.round(c, 6).alias(c) for c in ("unique_share", "list_share", "repeated_share")], "reason")
+
+
+# Flags of turns and conversations, on the check side.
+SFT = rf"""t AS (SELECT conv_id, turn, lower({s_trim("coalesce(role, '')")}) AS role, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, lag(lower({s_trim("coalesce(role, '')")})) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
+g AS (SELECT *, CASE WHEN len(w) >= 3 THEN 1 - CAST(len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])))) AS DOUBLE) / (len(w) - 2) ELSE 0 END AS rep,
+  (length(text) - length(replace(text, '<think>', ''))) / 7 AS opens, (length(text) - length(replace(text, '</think>', ''))) / 8 AS closes, strpos(text, '<think>') AS o, strpos(text, '</think>') AS c,
+  length(text) - length(regexp_replace(text, '[\x{{4E00}}-\x{{9FFF}}]', '', 'g')) AS han, length(regexp_replace(text, '\s', '', 'g')) AS solid FROM t),
+a AS (SELECT conv_id, count(*) AS turns, bool_or(NOT CASE coalesce(prev, '') WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant'
+    WHEN 'assistant' THEN role IN ('user', 'tool') WHEN 'tool' THEN role IN ('assistant', 'tool') ELSE false END) AS f1, arg_max(role, pos) <> 'assistant' AS f2,
+  bool_or(role = 'assistant' AND (opens <> closes OR (c > 0 AND c < o))) AS f3, bool_or(role = 'assistant' AND {s_trim('text')} = '') AS f4,
+  bool_or({' OR '.join(f"contains(lower(text), '{x}')" for x in H.LICENCES)}) AS f5, bool_or({' OR '.join(f"contains(lower(text), '{x}')" for x in H.DEVELOPERS)}) AS f6,
+  bool_or(role = 'assistant' AND rep > 0.5) AS f7, bool_or(role = 'assistant' AND han > 0.2 * solid) AS f8 FROM g GROUP BY conv_id),
+r AS (SELECT conv_id, turns, list_filter([CASE WHEN f1 THEN 'order' END, CASE WHEN f2 THEN 'unanswered' END, CASE WHEN f3 THEN 'unclosed' END, CASE WHEN f4 THEN 'blank' END,
+  CASE WHEN f5 THEN 'licence' END, CASE WHEN f6 THEN 'developer' END, CASE WHEN f7 THEN 'repetition' END, CASE WHEN f8 THEN 'han' END], lambda x: x IS NOT NULL) AS reasons FROM a)"""
+
+
+@query("sft_filter", f"WITH {SFT} SELECT * FROM r")
+def sft_filter(spark, sf):
+    return H.sft_filter(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
+
+
+@query("sft_filter_counts", f"""
+WITH {SFT} SELECT reason, count(*) AS "rows" FROM (SELECT unnest(CASE WHEN len(reasons) > 0 THEN reasons ELSE ['kept'] END) AS reason FROM r) x GROUP BY reason""")
+def sft_filter_counts(spark, sf):
+    return H.reason_counts(sft_filter(spark, sf))

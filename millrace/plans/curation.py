@@ -1,12 +1,12 @@
 """Corpus curation: packing into windows, mixing by budget, copies by quality, interleaving, recent turns,
-repeated lines, filters with reasons."""
+repeated lines, filters with reasons, clusters of prompts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens as K
-from millrace.operators import context as C, filters as H, lines as L, mixing as M, packing as P
+from millrace.operators import clusters as G, context as C, filters as H, lines as L, mixing as M, packing as P
 from millrace.plans.corpus import s_trim
 from millrace.plans.frames import table
 from millrace.plans.indexing import s_hash
@@ -220,3 +220,9 @@ def sft_filter(spark, sf):
 WITH {SFT} SELECT reason, count(*) AS "rows" FROM (SELECT unnest(CASE WHEN len(reasons) > 0 THEN reasons ELSE ['kept'] END) AS reason FROM r) x GROUP BY reason""")
 def sft_filter_counts(spark, sf):
     return H.reason_counts(sft_filter(spark, sf))
+
+
+@query("semantic_dedup")
+def semantic_dedup(spark, sf):
+    prompts = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return G.semantic_dedup(prompts, "vec_id", "embedding", k=32, rounds=8)[0].select("vec_id", "cluster", F.round("distance", 6).alias("distance"), "representative")

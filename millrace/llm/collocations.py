@@ -41,6 +41,7 @@ LEAST = 10  # occurrences of a candidate
 LONGEST = 3  # words of a candidate
 CONTAINED = 50  # percent of a phrase's occurrences that a longer candidate must have to replace it
 TOP = 2000  # phrases per language in the report
+PARTS = 16  # of a language, ranked on their own first
 CHUNK_BYTES = 6_000_000
 PARTITION_MASS = 32_000_000  # occurrences of n-grams in a hash partition
 PARTITIONS = 32  # at least
@@ -287,7 +288,10 @@ def collocations(counts: DataFrame, contained: int = CONTAINED, top: int | None
     inside = F.flatten(F.transform(F.sequence(F.lit(2), F.col("k") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("k") - n + 1), lambda s: part(s, n))))
     longer = whole.where("k >= 3").select("lang", "a", F.explode(inside).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
     rows = scored.join(longer, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < contained * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = rows.select("lang", F.row_number().over(order).cast("long").alias("rank"), "phrase", "a", "l", "r", "score")
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:  # first within parts of a language, so that the last step sees PARTS * top rows of it at most
+        part_of = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+        rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("lang", part_of).orderBy(*order))).where(F.col("_i") <= top)
+    ranked = rows.select("lang", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long").alias("rank"), "phrase", "a", "l", "r", "score")
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return ranked.join(counts.where("k = 0").select("lang", F.col("f").alias("n")), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import SPACES
+
 _ONE = {C.LITERAL, C.NOT_LITERAL, C.ANY, C.IN}
 _PLACES = {C.AT_BEGINNING, C.AT_END, C.AT_BEGINNING_STRING}
 # Text the two dialects read differently: named groups, classes in classes, braces that are no counts, \Z.
@@ -38,6 +40,40 @@ def _plain(tree, depth: int = 0) -> bool:
     return True
 
 
+# Python's categories spelled out: the JVM's own cover ASCII only.
+_CLASSES = {"w": r"\p{L}\p{N}_", "d": r"\p{Nd}", "s": "".join(rf"\x{{{ord(c):x}}}" for c in SPACES)}
+
+
+def _spelled(pattern: str) -> str | None:
+    """The pattern with its categories as sets of characters; None for the opposite of one within brackets, whose unions the JVM reads its own way."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            name, at = pattern[at + 1], at + 2
+            own = _CLASSES.get(name.lower()) if name.isalpha() else None
+            if own is None:
+                out.append(c + name)
+            elif inside:
+                if name.isupper():
+                    return None
+                out.append(own)
+            else:
+                out.append(f"[{'^' if name.isupper() else ''}{own}]")
+            continue
+        at += 1
+        out.append(c)
+        if c == "[" and not inside:
+            inside = True
+            for first in ("^", "]"):  # a bracket right after the opening one is a character
+                if pattern.startswith(first, at):
+                    out.append(first if first == "^" else "\\]")
+                    at += 1
+        elif c == "]" and inside:
+            inside = False
+    return "".join(out)
+
+
 def java_form(pattern: str, flags: int = 0) -> str | None:
     """The pattern for the JVM, or None where it has no safe form there."""
     tree = _parser.parse(pattern, flags)
@@ -47,6 +83,9 @@ def java_form(pattern: str, flags: int = 0) -> str | None:
         text = re.sub(r"\\[1-9](?!\d)", "", text)
     if tree.state.flags & ~(re.DOTALL | re.IGNORECASE | re.UNICODE) or _FOREIGN.search(text) or _REPEATED_GROUP.search(pattern) or "(?" in pattern.replace("(?:", "") or not _plain(tree):
         return None
+    pattern = _spelled(pattern)
+    if pattern is None:
+        return None
     # Only the line feed ends a line, as in Python.
     return "(?d" + ("s" if flags & re.DOTALL else "") + ("iu" if flags & re.IGNORECASE else "") + ")" + pattern
 

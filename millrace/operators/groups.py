@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace.functions.text import after_last, before_first, computed_once, hash60, strip
-from millrace.operators.ordering import following, global_index
+from millrace.operators.ordering import first_rows, following, global_index
 from millrace.operators.skew import join_groups
+from millrace.session import written
 
 
 def group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward") -> DataFrame:
@@ -23,8 +24,9 @@ def group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward") -> Dat
 
 def with_group_stats(df: DataFrame, by: Sequence[str], reward: str = "reward",
                      spread: Sequence[str] | None = None) -> DataFrame:
-    """Add ``n``, ``mean`` and ``std`` of the row's group."""
-    stats = group_stats(df.select(*by, reward), by, reward)
+    """Add ``n``, ``mean`` and ``std`` of the row's group. The statistics are written once: sizes, hot groups and values are read from there, and the
+    rows themselves are read twice."""
+    stats = written(group_stats(df.select(*by, reward), by, reward), "groups")
     return join_groups(df, stats.select(*by, "n", "mean", "std"), by, stats, spread=spread).select(*df.columns, "n", "mean", "std")
 
 
@@ -45,8 +47,8 @@ def group_advantage(df: DataFrame, by: Sequence[str], reward: str = "reward", us
 
 
 def zero_gradient_filter(df: DataFrame, by: Sequence[str], reward: str = "reward", spread: Sequence[str] | None = None) -> DataFrame:
-    """Keep the groups whose rewards differ; a single member never carries a signal."""
-    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(reward).alias("lo"), F.max(reward).alias("hi"))
+    """Keep the groups whose rewards differ; a single member never carries a signal. The groups are written once, as in ``with_group_stats``."""
+    stats = written(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(reward).alias("lo"), F.max(reward).alias("hi")), "groups")
     return join_groups(df, stats.filter("hi <> lo").select(*by), by, stats, how="left_semi", spread=spread)
 
 
@@ -75,7 +77,12 @@ def replay_newest(df: DataFrame, order: Sequence[str], limit: int | None, groupe
     """The newest ``limit`` rows. Rows added as groups are not limited unless asked for."""
     if limit is None or (grouped and not enforce_on_groups):
         return df
-    return df.orderBy(*[F.col(c).desc() for c in order]).limit(limit)
+    first, *rest = order
+    if not isinstance(df.schema[first].dataType, T.IntegralType):
+        return df.orderBy(*[F.col(c).desc() for c in order]).limit(limit)
+    # Numbers descending are numbers again, so the cut is placed by block counts and only the last block is ordered.
+    newest = F.coalesce(F.try_subtract(F.lit(0).cast("bigint"), F.col(first).cast("bigint")), F.lit((1 << 63) - 1))
+    return first_rows(df.withColumn("_newest", newest), "_newest", limit, tie=[F.col(c).desc() for c in rest]).drop("_newest")
 
 
 def replay_stats(df: DataFrame, by: str, reward: str = "reward") -> DataFrame:
@@ -98,10 +105,11 @@ def success_store(df: DataFrame, by: str, key: str, reward: str = "reward", keep
 
 
 def assign_teacher(df: DataFrame, store: DataFrame, by: str, key: str, seed: int = 0) -> DataFrame:
-    """Give each row one stored success of its prompt, picked by hash; ``has_teacher`` tells if there is one."""
+    """Give each row one stored success of its prompt, picked by hash; ``has_teacher`` tells if there is one. Store and group sizes are written once."""
+    store = written(store, "store")
     held = store.groupBy(by).agg(F.count(F.lit(1)).alias("_held"))
     pick = F.pmod(hash60(F.lit(seed), F.lit("pick"), F.col(by), F.col(key)), F.col("_held")) + 1
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(df.groupBy(by).agg(F.count(F.lit(1)).alias("n")), "groups")
     # Only the number of stored rows is joined to all rows; a text is fetched once its slot is known.
     picked = join_groups(df, held, [by], counts, how="left", spread=[key]).withColumn("_slot", pick.cast("int")).drop("_held")
     texts = store.select(by, F.col("slot").cast("int").alias("_slot"), F.col("prompt").alias("teacher_prompt"), F.col("completion").alias("teacher_completion"),

@@ -98,7 +98,10 @@ def test_bad_pattern_gives_empty_text(spark):
 
 @pytest.mark.parametrize("pattern,text,want", [
     (r"(?P<a>\d+)", "ab 12", "12"), (r"((?:a|b)*)c?", "ab" * 20_000, "ab" * 20_000), (r"(?<=x)y", "xy", "y"), ("a{,2}b", "aab", "aab"), (r"[[a]+", "x[a", "[a"),
-    (r"(x)?y", "y", ""), (r"(?:b|(a+))", "aaa", "aaa"), (r"a.b", "a\u2028b", "a\u2028b"), (r"(a|b)+", "a" * 1_000_000, "a"), (r"x$", "x\n", "x")])
+    (r"(x)?y", "y", ""), (r"(?:b|(a+))", "aaa", "aaa"), (r"a.b", "a\u2028b", "a\u2028b"), (r"(a|b)+", "a" * 1_000_000, "a"), (r"x$", "x\n", "x"),
+    (r"ответ:\s*(\w+)", "ответ: да", "да"), (r"\d+", "x ٣٤ 5", "٣٤"), (r"a\s+b", "a\u00a0\x1f\u2003b", "a\u00a0\x1f\u2003b"), (r"[\w-]+", "«да-нет»", "да-нет"), (r"[^\s]+", "\u3000слово\u3000", "слово"),
+    (r"\W+", "да, нет", ", "), (r"\D+", "٣да٣", "да"), (r"\S+", "\x85é\x85", "é"), (r"[^\W\d]+", "12да3", "да"), (r"[]\d]+", "a]٣]", "]٣]"), (r"[^]\s]+", "] ab]", "ab"), (r"\\d(\d)", "\\d٣", "٣"),
+    (r"(?:№|#)\s*(\d+)", "№ 17", "17"), (r"\[(\w)\]", "[é]", "é")])
 def test_patterns_mean_what_they_mean_in_python(spark, pattern, text, want):
     m = re.search(pattern, text)
     assert ((m[1] if m.re.groups else m[0]) or "") == want

@@ -55,3 +55,14 @@ def test_rank_limits_run_before_the_shuffle(spark, sf_dir):
 def test_scans_read_only_what_they_need(spark, sf_dir):
     text = plan(queries()["signal_groups"](spark, sf_dir))
     assert "l_orderkey" in text and "l_shipdate" not in text and "l_extendedprice" not in text
+
+
+@pytest.mark.parametrize("name,table,most", [("group_advantage", "lineitem", 1), ("zero_gradient_filter", "lineitem", 1), ("assign_teacher", "lineitem", 1)])
+def test_group_joins_read_written_groups(spark, sf_dir, name, table, most):
+    """The groups come from a table written before; the plan itself scans the rows once."""
+    assert len(re.findall(rf"FileScan.*{table}[.]parquet", plan(queries()[name](spark, sf_dir)))) <= most
+
+
+def test_newest_rows_need_no_global_limit(spark, sf_dir):
+    text = plan(queries()["replay_fifo"](spark, sf_dir))
+    assert "GlobalLimit" not in text and "TakeOrdered" not in text

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from millrace.session import shared_dir
+from millrace.session import shared_dir, written
 
 BITS = 16  # rows of a block: at most 65,536, so that wide rows still sort in memory
 SUPER_BITS = 24  # blocks of a super-block; block totals are narrow
@@ -150,8 +150,8 @@ def carry_last(df: DataFrame, by: Sequence[str], key: str, column: str, name: st
     ends = tagged.groupBy(*by, "_b").agg(
         F.max_by(F.when(F.col(column).isNotNull(), F.col(column)),
                  F.when(F.col(column).isNotNull(), F.col(key))).alias("_last"))
-    # The last value before a block: within its super-block, else from the super-blocks before.
-    ends = ends.withColumn("_t", F.shiftright(F.col("_b"), SUPER_BITS))
+    # The last value before a block: within its super-block, else from the super-blocks before. Block ends are written: both steps read them.
+    ends = written(ends, "ends").withColumn("_t", F.shiftright(F.col("_b"), SUPER_BITS))
     within, over = _before([*by, "_t"], "_b", -1), _before(by, "_t", -1)
     tops = ends.groupBy(*by, "_t").agg(F.max_by(F.when(F.col("_last").isNotNull(), F.col("_last")), F.when(F.col("_last").isNotNull(), F.col("_b"))).alias("_end"))
     tops = tops.select(*by, "_t", F.last("_end", ignorenulls=True).over(over).alias("_far"))

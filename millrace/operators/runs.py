@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from millrace.functions.text import instant
 from millrace.operators.ordering import carry_last, global_index, previous, trailing, trailing_counts
 from millrace.operators.skew import join_groups
+from millrace.session import written
 
 RUN, SEQ = "run_id", "seq"
 
@@ -81,7 +82,7 @@ def rolling_mean(df: DataFrame, names: dict[str, str], width: int = 10, scaled:
     held = {f"_w_{c}": (F.collect_list, F.struct(c)) for c in names}
     out = trailing(positions(df), [RUN], "pos", width, held)
     if scaled:
-        sizes = df.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = written(df.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n")), "sizes")
         out = join_groups(out, sizes, [RUN], sizes, "_n", spread=["pos"])
 
     def mean(c):
@@ -119,7 +120,7 @@ def newest_rows(df: DataFrame, last: int) -> DataFrame:
     if last <= RANK_LIMIT:
         newest = Window.partitionBy(RUN).orderBy(F.col(SEQ).desc())
         return df.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= last).drop("_r")
-    sizes = df.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = written(df.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     placed = join_groups(positions(df), sizes, [RUN], sizes, "_n", spread=["pos"])
     return placed.filter(F.col("pos") >= F.col("_n") - last).select(*df.columns)
 

@@ -29,6 +29,12 @@ def kept(spark, df, label, reduce):
     return K.reduced_view(spark, folder, df.schema, reduce)
 
 
+def folded(spark, df, label, table):
+    folder = shared_dir(spark, label)
+    table.run(df, folder)
+    return table.view(df, folder)
+
+
 def scored_stream(spark, sf):
     reward = R.guard(R.format_reward(F.col("completion"))) + R.guard(
         R.integer_reward(F.col("completion"), F.col("reference_answer")))
@@ -42,8 +48,7 @@ def stream_metrics_latest(spark, sf):
     df = stream(spark, sf, "metrics").drop("ts")
     whole = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     line = F.when(F.col("seq") % 89 == 7, "  ").when(F.col("seq") % 83 == 3, F.substring(whole, 1, 25)).otherwise(whole)
-    state = K.latest_state(SR.parse_metrics(df.select(line.alias("line")), METRICS_SCHEMA))
-    last = K.newest_per_key(through(spark, state, "latest", "update"), "run_id")
+    last = folded(spark, SR.parse_metrics(df.select(line.alias("line")), METRICS_SCHEMA), "latest", K.folded_latest())
     return last.select("run_id", "rows", F.col("step").alias("current_step"), F.round("reward", 6).alias("reward"),
                        F.round("loss", 6).alias("current_loss"), F.coalesce("status", F.lit("training")).alias("status"))
 
@@ -59,8 +64,7 @@ def stream_extract(spark, sf):
 SELECT group_id, count(*) AS n, round(min(reward), 6) AS lo, round(max(reward), 6) AS hi, count(*) >= 4 AS complete, max(reward) <> min(reward) AS kept
 FROM scored GROUP BY group_id"""))
 def stream_score(spark, sf):
-    out = through(spark, K.group_signal(scored_stream(spark, sf), 4), "score", "update")
-    last = K.newest_per_key(out, "group_id")
+    last = folded(spark, scored_stream(spark, sf), "score", K.folded_signal(4))
     return last.withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
 
 
@@ -86,7 +90,6 @@ WITH w AS (SELECT run_id, reward, prompts_generated, CAST(floor(epoch_us(ts) / 6
 SELECT run_id, minute * 60 AS window_start, round(avg(reward), 6) AS reward, count(*) AS n, round(sum(prompts_generated) / 600.0, 6) AS prompts_per_second
 FROM w GROUP BY run_id, minute""", "metrics"))
 def stream_rates(spark, sf):
-    out = through(spark, K.rates(stream(spark, sf, "metrics")), "rates", "update")
-    last = K.newest_per_key(out, "run_id", "window_start")
+    last = folded(spark, stream(spark, sf, "metrics"), "rates", K.folded_rates())
     return last.select("run_id", F.unix_seconds("window_start").alias("window_start"), F.round("reward", 6).alias("reward"), "n",
                        F.round("prompts_per_second", 6).alias("prompts_per_second"))

@@ -8,6 +8,7 @@ aggregation, combined before the shuffle, or a bounded table; no row-by-row stat
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -105,3 +106,59 @@ def newest(keep: int) -> Reduce:
 def successes(keep: int = 5, threshold: float = 0.5, seed: int = 0) -> Reduce:
     """Up to ``keep`` successes per prompt, the same draw as in batch."""
     return lambda df: success_store(df, "group_id", "comp_id", keep=keep, threshold=threshold, seed=seed).drop("slot")
+
+
+# ---- aggregates without stream state ---------------------------------------------------------------
+# Sums, extremes and newest rows of a union follow from those of its parts. Each micro-batch writes its own, which are combined when
+# folders are folded, so neither memory nor a view grows with the number of batches, late rows count, and no watermark is needed.
+@dataclass(frozen=True)
+class Folded:
+    start: Callable[[DataFrame], DataFrame]  # rows as aggregates of one row
+    merge: Reduce
+    finish: Callable[[DataFrame], DataFrame]
+
+    def run(self, df: DataFrame, folder: str, fold: int = 32) -> None:
+        reduce_to_end(self.start(df), folder, self.merge, fold)
+
+    def view(self, df: DataFrame, folder: str, fold: int = 32) -> DataFrame:
+        """The result so far; ``df`` is the stream or any frame of its shape."""
+        return self.finish(reduced_view(df.sparkSession, folder, self.start(df).schema, self.merge, fold))
+
+
+def folded_latest() -> Folded:
+    """As ``latest_state``."""
+    def merge(df):
+        others = [c for c in df.columns if c not in ("run_id", "rows")]
+        return df.groupBy("run_id").agg(F.sum("rows").alias("rows"), F.max_by(F.struct(*others), "seq").alias("r")).select("run_id", "rows", "r.*")
+
+    def start(df):
+        return df.select("run_id", F.lit(1).cast("bigint").alias("rows"), *[c for c in df.columns if c != "run_id"])
+
+    return Folded(start, merge, lambda df: df)
+
+
+def folded_signal(size: int) -> Folded:
+    """As ``group_signal``."""
+    def merge(df):
+        return df.groupBy("group_id").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    return Folded(lambda df: df.select("group_id", F.lit(1).cast("bigint").alias("n"), F.col("reward").alias("lo"), F.col("reward").alias("hi")), merge,
+                  lambda df: df.select("*", (F.col("n") >= size).alias("complete"), (F.col("hi") != F.col("lo")).alias("kept")))
+
+
+def folded_rates(ts: str = "ts", size: str = "10 minutes", slide: str = "1 minute") -> Folded:
+    """As ``rates``, with late rows."""
+    keys, sums = ["run_id", "window_start", "seconds"], ["total", "known", "prompts", "n"]
+
+    def start(df):
+        cut = df.withColumn(ts, instant(df, ts)).where(F.col(ts).isNotNull()).withColumn("w", F.window(ts, size, slide))
+        one = {"total": F.coalesce(F.col("reward").cast("double"), F.lit(0.0)), "known": F.col("reward").isNotNull().cast("bigint"), "prompts": F.coalesce(F.col("prompts_generated").cast("bigint"), F.lit(0)), "n": F.lit(1).cast("bigint")}
+        return cut.select("run_id", F.col("w.start").alias("window_start"), (F.unix_seconds("w.end") - F.unix_seconds("w.start")).alias("seconds"), *[v.alias(k) for k, v in one.items()])
+
+    def merge(df):
+        return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+    def finish(df):
+        return df.select("run_id", "window_start", F.try_divide("total", "known").alias("reward"), "n", (F.col("prompts") / F.col("seconds")).alias("prompts_per_second"))
+
+    return Folded(start, merge, finish)

@@ -89,3 +89,29 @@ def test_windows_do_not_depend_on_the_session_zone(spark, rows):
         assert sets(K.rates(rows).select(F.unix_seconds("window_start").alias("w"), "n"), "w", "n") == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("fold", [2, 32])
+def test_folded_tables_equal_the_batch(spark, rows, tmp_path, fold):
+    """Five micro-batches, two calls; no state is kept between them but the folders."""
+    grouped = lambda df: df.select((F.col("step") % 40).alias("group_id"), "reward")
+    cases = [("latest", K.folded_latest(), lambda df: df, K.latest_state, ["run_id", "rows", "seq", "reward"]),
+             ("signal", K.folded_signal(4), grouped, lambda df: K.group_signal(df, 4), ["group_id", "n", "lo", "hi", "complete", "kept"]),
+             ("rates", K.folded_rates(), lambda df: df, K.rates, ["run_id", "window_start", "n", "prompts_per_second"])]
+    for part in (0, 1, 2):
+        feed(rows, tmp_path, part)
+    for name, table, shape, _, _ in cases:
+        table.run(shape(source(spark, rows, tmp_path)), f"{tmp_path}/{name}", fold)
+    for part in (3, 4):
+        feed(rows, tmp_path, part)
+    for name, table, shape, batch, columns in cases:
+        table.run(shape(source(spark, rows, tmp_path)), f"{tmp_path}/{name}", fold)
+        assert sets(table.view(shape(rows), f"{tmp_path}/{name}", fold), *columns) == sets(batch(shape(rows)), *columns)
+        assert "StateStore" not in str(list((tmp_path / name / "checkpoint").iterdir())) and not (tmp_path / name / "checkpoint" / "state").exists()
+
+
+def test_folded_rates_count_late_rows(spark, rows, tmp_path):
+    for part in (rows.filter("seq >= 300"), rows.filter("seq < 300")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        K.folded_rates().run(source(spark, rows, tmp_path), str(tmp_path))
+    assert sets(K.folded_rates().view(rows, str(tmp_path)), "run_id", "window_start", "n") == sets(K.rates(rows), "run_id", "window_start", "n")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.functions.text import hash60
+from millrace.functions.text import computed_once, hash60, let
 from millrace.operators.ordering import carry_last, global_index, previous, running_totals
 from millrace.operators.sampling import HASH_BITS
 from millrace.session import written
@@ -75,24 +75,28 @@ class Curve:
     rate: float
     scale: float
 
-    def below(self, x, exp=math.exp, clip=max):
-        """The copies of all ranks up to x, as a share of the documents; ``x`` may be a number or a column."""
-        u = clip(x - self.start, 0.0) if clip is max else clip(x - self.start)
-        if abs(self.rate) < 2:  # the series of exp, term by term; the recursion below cancels digits there
-            out, power = 0.0, u
-            for p in range(self.power):
-                power = power * u
-            for k in range(24):
-                out = power * (self.rate ** k / math.factorial(k) / (self.power + 1 + k)) + out
-                power = power * u
+    def integral(self, u, exp=math.exp):
+        """The copies of all ranks up to ``start + u``, as a share of the documents; ``u`` may be a number or a column."""
+        if abs(self.rate) < 2:  # the series of exp; the recursion below cancels digits there
+            out = 0.0
+            for k in range(23, -1, -1):
+                out = self.rate ** k / math.factorial(k) / (self.power + 1 + k) + u * out
+            for _ in range(self.power + 1):
+                out = u * out
             return self.scale * out
         # By parts: I_p = u**p e**(ru) / r - p / r I_(p-1).
         e = exp(self.rate * u)
-        integral, power = (e - 1.0) / self.rate, 1.0
+        out, power = (e - 1.0) / self.rate, 1.0
         for p in range(1, self.power + 1):
             power = power * u
-            integral = power * e / self.rate - p / self.rate * integral
-        return self.scale * integral
+            out = power * e / self.rate - p / self.rate * out
+        return self.scale * out
+
+    def below(self, x: float) -> float:
+        return self.integral(max(x - self.start, 0.0))
+
+    def column(self, x: Column) -> Column:
+        return let(F.greatest(x - self.start, F.lit(0.0)), lambda u: self.integral(u, F.exp))
 
     @staticmethod
     def solve(ratio: float, top_copies: float = 6.0, top: float = 0.05, start: float = 0.4, power: int = 1) -> Curve:
@@ -114,8 +118,7 @@ class Curve:
 
 def expected_copies(rank: Column, n: Column, curve: Curve) -> Column:
     """The curve's mean over the stretch of a document that is ``rank``-th of n (from 0), so that a topic's copies add up to the curve's integral."""
-    below = lambda x: curve.below(x, F.exp, lambda u: F.greatest(u, F.lit(0.0)))
-    return n * (below((rank + 1) / n) - below(rank / n))
+    return n * (curve.column((rank + 1) / n) - curve.column(rank / n))
 
 
 def quality_upsample(df: DataFrame, topic: str, key: str, score: str, ratios: Mapping[str, float] | None = None, ratio: float = 1.0, seed: int = 0, **shape) -> DataFrame:
@@ -133,7 +136,7 @@ def quality_upsample(df: DataFrame, topic: str, key: str, score: str, ratios: Ma
     for name, own in (ratios or {}).items():
         value = F.when(F.col("_topic") == name, expected_copies(F.col("_rank"), F.col("_n"), Curve.solve(own, **shape))).otherwise(value)
     drawn = hash60(F.lit(seed), F.col(key)) / F.lit(float(1 << 60))
-    counted = ranked.join(sizes, "_topic").withColumn("expected", value)
+    counted = computed_once(ranked.join(sizes, "_topic"), expected=value)
     copies = (F.floor("expected") + (drawn < F.col("expected") - F.floor("expected")).cast("int")).cast("int")
     return counted.withColumn("_copies", copies).where("_copies > 0").select(*df.columns, "expected", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
 

@@ -152,3 +152,17 @@ def nonfinite_report(df: DataFrame, run: str, step: str, loss: str) -> DataFrame
     return df.groupBy(run).agg(F.count_if(~bad).alias("kept"), F.count_if(bad).alias("skipped"),
                                F.min(F.when(bad, F.col(step))).alias("first_bad_step"),
                                (F.count_if(bad) > 0).alias("diverged"))
+
+
+def ratio_mask(ratios: Column, mask: Column, low: float, high: float) -> Column:
+    """The mask without tokens whose ratio lies outside [low, high]: both far too likely and far too unlikely tokens get no gradient."""
+    return F.zip_with(mask, ratios, lambda m, r: F.when((r >= low) & (r <= high), m).otherwise(0.0))
+
+
+def ratio_mask_report(df: DataFrame, ratios: str, mask: str, low: float, high: float, by: list[str] | None = None) -> DataFrame:
+    """tokens inside the mask, how many are left, those masked from below and from above, and the mean ratio of those left."""
+    kept = ratio_mask(F.col(ratios), F.col(mask), low, high)
+    under = F.zip_with(F.col(mask), F.col(ratios), lambda m, r: F.when(r < low, m).otherwise(0.0))
+    rows = df.select(*(by or []), total(F.col(mask)).alias("n"), total(kept).alias("k"), total(under).alias("u"), total(times(F.col(ratios), kept)).alias("r"))
+    n, k, u = (F.coalesce(F.sum(c), F.lit(0.0)).cast("bigint") for c in ("n", "k", "u"))
+    return rows.groupBy(*(by or [])).agg(n.alias("tokens"), k.alias("kept"), u.alias("below"), (n - k - u).alias("above"), F.try_divide(F.sum("r"), F.sum("k")).alias("ratio_mean"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens as K
-from millrace.operators import clusters as G, context as C, filters as H, lines as L, mixing as M, packing as P
+from millrace.operators import clusters as G, context as C, filters as H, lines as L, mixing as M, packing as P, selection as S
 from millrace.plans.corpus import s_trim
 from millrace.plans.frames import table
 from millrace.plans.indexing import s_hash
@@ -226,3 +226,10 @@ def sft_filter_counts(spark, sf):
 def semantic_dedup(spark, sf):
     prompts = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return G.semantic_dedup(prompts, "vec_id", "embedding", k=32, rounds=8)[0].select("vec_id", "cluster", F.round("distance", 6).alias("distance"), "representative")
+
+
+@query("exact_dedup", f"""
+WITH n AS (SELECT doc_id, md5(lower({s_trim("regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')")})) AS text_md5 FROM documents)
+SELECT doc_id, text_md5, count(*) OVER (PARTITION BY text_md5) AS copies, doc_id = min(doc_id) OVER (PARTITION BY text_md5) AS first FROM n""")
+def exact_dedup(spark, sf):
+    return S.exact_dedup(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").drop("text")

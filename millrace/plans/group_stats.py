@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import rewards as R
 from millrace.functions.text import computed_once
-from millrace.operators import groups as G
+from millrace.operators import groups as G, selection as S
 from millrace.plans.frames import frame, over, spread, table
 from millrace.plans.registry import query
 from millrace.plans.scoring import s_format, s_integer_reward
@@ -184,3 +184,22 @@ SELECT step_key, round((reward - avg(reward) OVER ()) / (stddev_samp(reward) OVE
 def adv_normalise(spark, sf):
     out = G.normalise_batch(frame(spark, sf, "steps").select("step_key", "reward"), "reward", "advantage")
     return out.select("step_key", F.round("advantage", 6).alias("advantage"))
+
+
+@query("passrate_filter", sql("""
+SELECT group_id, count(*) AS samples, round(avg(CASE WHEN reward >= 1 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, max(reward) > min(reward) AS signal,
+  max(reward) > min(reward) AND count(*) >= 3 AND avg(CASE WHEN reward >= 1 THEN 1.0 ELSE 0.0 END) < 1 AS kept FROM scored GROUP BY group_id"""))
+def passrate_filter(spark, sf):
+    out = S.passrate_filter(scored(spark, sf, once=True).select("group_id", "reward"), "group_id", threshold=1.0, least=3)
+    return out.withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+@query("preference_pairs", sql("""
+WITH p AS (SELECT group_id, arg_min(struct_pack(k := comp_id, c := completion, n := length(completion), r := reward), struct_pack(a := -reward, b := comp_id)) AS x,
+  arg_min(struct_pack(k := comp_id, c := completion, n := length(completion), r := reward), struct_pack(a := reward, b := comp_id)) AS y FROM scored GROUP BY group_id)
+SELECT group_id, x.k AS chosen_key, y.k AS rejected_key, x.c AS chosen, y.c AS rejected, round(x.r - y.r, 6) AS delta, CAST(abs(x.n - y.n) AS INT) AS apart
+FROM p WHERE x.r - y.r >= 0.5 AND abs(x.n - y.n) <= 60"""))
+def preference_pairs(spark, sf):
+    df = scored(spark, sf, once=True).select("group_id", "comp_id", "completion", "reward")
+    out = S.preference_pairs(df, "group_id", "comp_id", "completion", F.length("completion"), most_apart=60)
+    return out.withColumn("delta", F.round("delta", 6))

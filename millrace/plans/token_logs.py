@@ -145,3 +145,12 @@ SELECT run_id, count(*) FILTER (WHERE loss IS NOT NULL) AS kept, count(*) FILTER
 def nonfinite_skip(spark, sf):
     df = frame(spark, sf, "metrics").withColumn("loss", F.coalesce("loss", F.lit(float("nan"))))
     return L.nonfinite_report(df, "run_id", "step", "loss")
+
+
+@query("ratio_mask", sql("""
+SELECT vec_id % 5 AS part, CAST(sum(m) AS BIGINT) AS tokens, CAST(sum(CASE WHEN ratio BETWEEN 0.9 AND 0.995 THEN m ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN ratio < 0.9 THEN m ELSE 0 END) AS BIGINT) AS below, CAST(sum(CASE WHEN ratio > 0.995 THEN m ELSE 0 END) AS BIGINT) AS above,
+  round(sum(CASE WHEN ratio BETWEEN 0.9 AND 0.995 THEN m * ratio ELSE 0 END) / sum(CASE WHEN ratio BETWEEN 0.9 AND 0.995 THEN m ELSE 0 END), 6) AS ratio_mean FROM clip GROUP BY 1"""))
+def ratio_mask(spark, sf):
+    df = logs(spark, sf).withColumns({"part": F.col("vec_id") % 5, "ratio": L.ratio(F.col("logp_new"), F.col("logp_old"))})
+    return L.ratio_mask_report(df, "ratio", "mask", 0.9, 0.995, ["part"]).withColumn("ratio_mean", F.round("ratio_mean", 6))

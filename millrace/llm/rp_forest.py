@@ -2,11 +2,17 @@
 
 Every tree splits a bounded sample at the median of the projection on the difference of two of its points, down to small leaves. All rows are
 then passed down all trees. A query walks the trees together: one priority queue holds open branches of every tree, ordered by the summed squares
-of the margins by which the query lies on their other side, and leaves are taken from it until they hold the asked share of the
-index. The rows of those leaves are ranked by their exact inner product in double precision.
+of the margins by which the query lies on their other side, and leaves are taken from it until they hold the wanted number of
+rows. Queries and rows meet by leaf: a leaf's rows are ranked for the queries that took it by their exact inner product in double precision, and the
+best of all leaves are merged.
 
-Equal vectors are one entry of the index; of each entry the k + 1 smallest ids are kept, which is all a result of k can need. Queries go out
-in blocks of fixed size, each scored against the index where its rows lie; only the best k + 1 entries per query and task are shuffled.
+How many rows a query wants is measured, not set: for a bounded sample of queries the true neighbours are found by comparing them with all rows, and
+the smallest number that reaches the target recall on them is taken. Structured vectors need few rows; vectors without structure need most of the
+index, as nothing can be ruled out there.
+
+Leaves are cut into cells of at most CELL_ROWS rows and CELL_QUERIES queries, so neither a crowded leaf nor one that many queries take fills a task; no
+query vector but the sample's passes through the driver. Equal vectors are one entry of the index; of each entry the k + 1 smallest ids are kept,
+which is all a result of k can need.
 
 Cases: vectors that are null, zero, hold null or non-finite components, or have another length than most take no part, neither do
 null ids; repeated rows count once; ties go to the smaller id; an empty table gives an empty result; fewer rows than k are all returned.
@@ -27,12 +33,13 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stored
 
 K = 20
-TREES, LEAF = 12, 40
+TREES = 4
 SAMPLE = 20_000  # vectors that the trees are built on
-SHARE = 0.65  # of the index, in the leaves that a query takes, counting a row once per tree
-LEAST = 2_000  # entries at least
-QUERIES = 10_000  # per block
-ROWS_PER_TASK = 4_000
+MOST_LEAVES = 512  # of a tree
+LEAF_ROWS = 400  # rows of the index in a leaf, as long as that makes no more leaves
+RECALL = 0.94  # wanted on the sample of queries
+TRIED = 300  # queries in that sample
+CELL_ROWS, CELL_QUERIES = 20_000, 5_000
 
 
 @dataclass
@@ -51,13 +58,13 @@ class Tree:
         return -1 - at
 
 
-def build(sample: np.ndarray, rng: np.random.Generator) -> Tree:
+def build(sample: np.ndarray, rng: np.random.Generator, leaf: int) -> Tree:
     directions, thresholds, children, leaves = [], [], [], 0
     todo = [(np.arange(len(sample)), None)]
     while todo:
         rows, place = todo.pop()
         node = None
-        if len(rows) > LEAF:
+        if len(rows) > leaf:
             a, b = sample[rng.choice(rows, 2, replace=False)]
             d = a - b
             p = sample[rows] @ d
@@ -76,23 +83,44 @@ def build(sample: np.ndarray, rng: np.random.Generator) -> Tree:
     return Tree(np.array(directions).reshape(-1, dim), np.array(thresholds), np.array(children, np.int64).reshape(-1, 2), leaves)
 
 
-def visited(forest: list[Tree], sizes: np.ndarray, offsets: np.ndarray, q: np.ndarray, wanted: float) -> np.ndarray:
-    """Which leaves (of all trees, numbered through) a query takes, by the shared queue."""
-    margins = [t.directions @ q - t.thresholds for t in forest]
+def walk(forest: list[Tree], offsets: np.ndarray, q: np.ndarray) -> Iterator[int]:
+    """The leaves (of all trees, numbered through) in the order in which a query takes them, by the shared queue."""
+    margins = [(t.directions @ q - t.thresholds).tolist() for t in forest]
     queue = [(0.0, k, 0 if len(t.thresholds) else -1) for k, t in enumerate(forest)]
-    taken, have = np.zeros(offsets[-1], bool), 0
-    while queue and have < wanted:
+    while queue:
         far, k, node = heapq.heappop(queue)
         if node < 0:
-            leaf = offsets[k] - 1 - node
-            taken[leaf] = True
-            have += sizes[leaf]
+            yield int(offsets[k]) - 1 - node
             continue
-        m = float(margins[k][node])
-        left, right = forest[k].children[node]
-        heapq.heappush(queue, (far + max(0.0, m) ** 2, k, int(left)))
-        heapq.heappush(queue, (far + max(0.0, -m) ** 2, k, int(right)))
-    return taken
+        m = margins[k][node]
+        left, right = forest[k].children[node].tolist()
+        heapq.heappush(queue, (far + max(0.0, m) ** 2, k, left))
+        heapq.heappush(queue, (far + max(0.0, -m) ** 2, k, right))
+
+
+def taken(forest: list[Tree], sizes: np.ndarray, offsets: np.ndarray, q: np.ndarray, wanted: float) -> list[int]:
+    """The first leaves of the walk that hold the wanted number of rows, a row counted in every tree."""
+    out, have = [], 0
+    for leaf in walk(forest, offsets, q):
+        if have >= wanted:
+            break
+        out.append(leaf)
+        have += int(sizes[leaf])
+    return out
+
+
+def needed(forest: list[Tree], sizes: np.ndarray, offsets: np.ndarray, tried: list[tuple[np.ndarray, np.ndarray]], recall: float) -> float:
+    """The smallest number of rows at which the walks find `recall` of the true neighbours. `tried`: a query, and the leaves of its true neighbours
+    (one row each, a column per tree)."""
+    at = []
+    for q, leaves in tried:
+        before, have = np.zeros(int(offsets[-1])), 0
+        for leaf in walk(forest, offsets, q):
+            before[leaf] = have
+            have += int(sizes[leaf])
+        at.append(before[leaves].min(axis=1))
+    found = np.sort(np.concatenate(at)) if at else np.zeros(0)
+    return float(found[min(len(found) - 1, int(np.ceil(recall * len(found))))]) + 1 if len(found) else 1.0
 
 
 def vectors(df: DataFrame) -> DataFrame:
@@ -110,8 +138,9 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def neighbours(df: DataFrame, query_every: int = 20, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the queries, rows of (vec_id, embedding) whose id is divisible by query_every."""
+def neighbours(df: DataFrame, query_every: int = 20, k: int = K, figures: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the queries, rows of (vec_id, embedding) whose id is divisible by query_every. `figures` receives the number of
+    entries, of leaves, and of rows that a query wants, counted in every tree."""
     spark = df.sparkSession
     rows = vectors(df)
     order = W.partitionBy("k1", "k2").orderBy("vec_id")
@@ -121,48 +150,47 @@ def neighbours(df: DataFrame, query_every: int = 20, k: int = K) -> DataFrame:
     total = entries.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "k1", "k2").distinct()
+    asked = stored(asked.join(entries.select("k1", "k2", "entry"), ["k1", "k2"]).select(F.col("vec_id").alias("query_id"), "entry"), "asked")
+    walkers = stored(asked.select("entry").distinct().join(entries.select("entry", "v"), "entry"), "walkers")
+
     sample = np.array([r.v for r in entries.orderBy(F.xxhash64("entry", F.lit(3))).limit(SAMPLE).select("v").collect()])
-    forest = [build(sample, np.random.default_rng(seed)) for seed in range(TREES)]
+    leaves = int(min(MOST_LEAVES, max(1, total // LEAF_ROWS), max(1, len(sample) // 8)))
+    forest = [build(sample, np.random.default_rng(seed), max(1, len(sample) // leaves)) for seed in range(TREES)]
     offsets = np.cumsum([0] + [t.leaves for t in forest])
     sent = spark.sparkContext.broadcast(forest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
-            leaf = np.stack([t.leaf_of(x) + o for t, o in zip(sent.value, offsets)], axis=1).astype(np.int32) if len(x) else np.zeros((0, TREES), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in leaf], pa.binary())], names=["entry", "v", "leaf"])
+            leaf = np.stack([t.leaf_of(x) + o for t, o in zip(sent.value, offsets)], axis=1) if len(x) else np.zeros((0, TREES), np.int64)
+            places = pa.FixedSizeListArray.from_arrays(pa.array(leaf.reshape(-1), pa.int32()), TREES).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places], names=["entry", "v", "leaves"])
 
-    tasks = -(-total // ROWS_PER_TASK)
-    index = stored(entries.select("entry", "v").repartition(tasks).mapInArrow(place, "entry long, v array<double>, leaf binary"), "index")
+    index = stored(entries.select("entry", "v").mapInArrow(place, "entry long, v array<double>, leaves array<int>"), "index")
+    sizes = np.zeros(int(offsets[-1]), np.int64)  # leaves are as many as the sample allows
+    for r in index.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
+        sizes[r.leaf] = r["count"]
+    wanted = needed(forest, sizes, offsets, _true_leaves(walkers, index, k + 1), RECALL)
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), minlength=offsets[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["leaf", "n"])
-
-    sizes = np.zeros(offsets[-1], np.int64)  # leaves are as many as the sample allows
-    for r in index.select("leaf").mapInArrow(tally, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
-        sizes[r.leaf] = r.n
-    wanted = max(LEAST * TREES, SHARE * total)
+    if figures is not None:
+        figures |= {"entries": total, "leaves": int(offsets[-1]), "wanted": wanted}
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(visited(sent.value, sizes, offsets, q, wanted)).tobytes() for q in _matrix(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["entry", "v", "leaves"])
-
-    asked = rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "k1", "k2").distinct()
-    asked = stored(asked.join(entries.select("k1", "k2", "entry"), ["k1", "k2"]).select(F.col("vec_id").alias("query_id"), "entry"), "asked")
-    walkers = asked.select("entry").distinct()
-    blocks = -(-max(1, walkers.count()) // QUERIES)
-    walks = stored(walkers.join(entries.select("entry", "v"), "entry").repartition(max(1, tasks)).mapInArrow(walk, "entry long, v array<double>, leaves binary"), "walks")
-
-    found = None
-    for b in range(blocks):
-        block = walks.where(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == b).toArrow()
-        queries = spark.sparkContext.broadcast((block.column("entry").to_numpy(), _matrix(block.column("v").combine_chunks()),
-                                                np.frombuffer(b"".join(block.column("leaves").to_pylist()), np.uint8).reshape(block.num_rows, -1)))
-        best = index.mapInArrow(_scorer(queries, offsets[-1], k + 1), "query long, entry long, score double")
-        found = best if found is None else found.unionByName(best)
+            found = [taken(sent.value, sizes, offsets, q, wanted) for q in _matrix(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["query", "q", "leaves"])
+
+    walks = stored(walkers.repartition(max(1, min(total // 2000, 10_000)), "entry").mapInArrow(go, "query long, q array<double>, leaves array<int>"), "walks")
+    asks = np.zeros(int(offsets[-1]), np.int64)
+    for r in walks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
+        asks[r.leaf] = r["count"]
+    # Rows of a leaf are dealt to parts, its queries to others; each pair of parts is a cell, to which both sides are sent.
+    parts, turns = (F.element_at(F.array(*[F.lit(int(max(1, -(-n // most)))) for n in counts]), F.col("leaf") + 1) for counts, most in ((sizes, CELL_ROWS), (asks, CELL_QUERIES)))
+    left = index.select("entry", "v", F.explode("leaves").alias("leaf")).withColumn("part", F.pmod(F.xxhash64("entry"), parts).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1)))
+    right = walks.select("query", "q", F.explode("leaves").alias("leaf")).withColumn("turn", F.pmod(F.xxhash64("query"), turns).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cell = ["leaf", "part", "turn"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_ranked(k + 1), "query long, entry long, score double").dropDuplicates(["query", "entry"])
     top = W.partitionBy("query").orderBy(F.desc("score"), "entry")
     near = found.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1)
     ids = near.join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
@@ -173,24 +201,41 @@ def neighbours(df: DataFrame, query_every: int = 20, k: int = K) -> DataFrame:
             .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")))
 
 
-def _scorer(queries, n_leaves: int, k: int):
-    """The best k entries of a task's rows for every query of the block, among the rows in the leaves it takes."""
+def _best(queries: np.ndarray, q: np.ndarray, entries: np.ndarray, x: np.ndarray, k: int) -> pa.Table:
+    """The best k rows for every query, with all that tie with the last."""
+    out = [pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query", "entry", "score"])]
+    step = max(1, 8_000_000 // max(1, len(x)))
+    for i in range(0, len(q) if len(x) else 0, step):
+        score = q[i:i + step] @ x.T
+        least = np.partition(score, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(score), -np.inf)
+        who, what = np.nonzero(score >= least[:, None])
+        out.append(pa.table([pa.array(queries[i + who]), pa.array(entries[what]), pa.array(score[who, what])], names=["query", "entry", "score"]))
+    return pa.concat_tables(out)
+
+
+def _ranked(k: int):
+    """A cell: its rows ranked for its queries."""
+
+    def run(left, right):
+        return _best(right.column("query").to_numpy(), _matrix(right.column("q").combine_chunks()), left.column("entry").to_numpy(), _matrix(left.column("v").combine_chunks()), k)
+
+    return run
+
+
+def _true_leaves(walkers: DataFrame, index: DataFrame, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For a sample of TRIED queries: the vector, and the leaves of its k nearest rows, found among all."""
+    tried = walkers.orderBy(F.xxhash64("entry", F.lit(5))).limit(TRIED).collect()
+    names, q = np.array([r.entry for r in tried], np.int64), np.array([r.v for r in tried])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q, bits = queries.value
         for batch in batches:
-            entry, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            leaf = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int32).reshape(len(entry), -1)
-            for i in range(0, len(names) if len(entry) else 0, 500):
-                takes = np.unpackbits(bits[i:i + 500], axis=1)[:, :n_leaves].astype(bool)
-                mine = np.zeros((len(takes), len(entry)), bool)
-                for t in range(leaf.shape[1]):
-                    mine |= takes[:, leaf[:, t]]
-                score = np.where(mine, q[i:i + 500] @ x.T, -np.inf)
-                if len(entry) > k:
-                    least = np.partition(score, len(entry) - k, axis=1)[:, len(entry) - k]
-                    mine &= score >= least[:, None]  # ties at the end stay; the ranking over all tasks decides
-                who, what = np.nonzero(mine)
-                yield pa.RecordBatch.from_arrays([pa.array(names[i + who]), pa.array(entry[what]), pa.array(score[who, what])], names=["query", "entry", "score"])
-
-    return best
+            yield from _best(names, q, batch.column(0).to_numpy(), _matrix(batch.column(1)), k).to_batches()
+
+    if not len(names):
+        return []
+    near = index.select("entry", "v").mapInArrow(best, "query long, entry long, score double")
+    near = near.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "entry"))).where((F.col("n") <= k) & (F.col("entry") != F.col("query")))
+    held = dict(zip(names.tolist(), ([] for _ in names)))
+    for r in near.join(index.select("entry", "leaves"), "entry").select("query", "leaves").collect():  # TRIED * k rows
+        held[r.query].append(r.leaves)
+    return [(v, np.array(held[n])) for n, v in zip(names.tolist(), q) if held[n]]

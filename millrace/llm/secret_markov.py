@@ -8,12 +8,13 @@ outside them is judged by its own ratio per character; an access or hex match be
 and the span holds both.
 
 Cases: null and empty texts have no spans; without any base match there is no sample of random strings and only base
-spans are found; repeated rows give repeated results; spans count code points.
+spans are found; repeated rows give repeated results; spans count code points. Time follows the length of a text, however many spans it holds.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,23 +53,40 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _byte_spans(text: str, raw: bytes, spans):
+def _points(text: str, raw: bytes) -> np.ndarray | None:
+    """The byte at which every code point begins, and the end; None where both count alike."""
     if len(text) == len(raw):
+        return None
+    return np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80), len(raw))
+
+
+def _byte_spans(points: np.ndarray | None, spans) -> list[tuple[int, int]]:
+    if points is None:
         return [(a, b) for a, _, b in spans]
-    return [(len(text[:a].encode("utf-8", "surrogatepass")), len(text[:b].encode("utf-8", "surrogatepass"))) for a, _, b in spans]
+    return [(int(points[a]), int(points[b])) for a, _, b in spans]
+
+
+class Known:
+    """Base spans in bytes. Those of one kind don't overlap, so the ones that touch a token are found by two searches per kind."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.kinds = {kind: ([x for x, _, k in spans if k == kind], [y for _, y, k in spans if k == kind]) for kind in {k for _, _, k in spans}}
+
+    def within(self, a: int, b: int) -> list[tuple[int, int, int]]:
+        """(start, stop, kind) of the spans that touch [a, b), by start."""
+        found = [(starts[i], stops[i], kind) for kind, (starts, stops) in self.kinds.items() for i in range(bisect_right(stops, a), bisect_left(starts, b))]
+        return sorted(found)
 
 
-def _random_stretches(raw: bytes, a: int, b: int, known, ratio: np.ndarray) -> list[tuple[int, int]]:
-    """Byte spans of the parts of token raw[a:b] outside the base spans `known` (start, stop, kind; by start) that look random, each with
-    the access and hex matches beside it."""
+def _random_stretches(raw: bytes, a: int, b: int, known: Known, ratio: np.ndarray) -> list[tuple[int, int]]:
+    """Byte spans of the parts of token raw[a:b] outside the base spans that look random, each with the access and hex matches beside it."""
     covered: list[list[int]] = []  # unions of base spans: start, stop, whether an assignment is among them
-    for x, y, kind in known:
-        if x < b and a < y:
-            x, y = max(a, x), min(b, y)
-            if covered and x <= covered[-1][1]:
-                covered[-1][1:] = max(covered[-1][1], y), covered[-1][2] or kind == 0
-            else:
-                covered.append([x, y, kind == 0])
+    for x, y, kind in known.within(a, b):
+        x, y = max(a, x), min(b, y)
+        if covered and x <= covered[-1][1]:
+            covered[-1][1:] = max(covered[-1][1], y), covered[-1][2] or kind == 0
+        else:
+            covered.append([x, y, kind == 0])
     out: list[tuple[int, int]] = []
     for left, right in zip([[a, a, True], *covered], [*covered, [b, b, True]]):
         x, y = left[1], right[0]
@@ -100,7 +118,7 @@ def transition_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 c = CLASS[np.frombuffer(raw, np.uint8)]
                 pairs = c[:-1] * N + c[1:]
                 seen = np.bincount(pairs, minlength=N * N)
-                for a, b in _byte_spans(t, raw, base_spans(t, raw)):
+                for a, b in _byte_spans(_points(t, raw), base_spans(t, raw)):
                     inside = np.bincount(pairs[a:max(a, b - 1)], minlength=N * N)
                     total[1] += inside
                     seen -= np.minimum(inside, seen)
@@ -136,12 +154,13 @@ def find_secrets(docs: DataFrame, ratio: np.ndarray | None, name: str = "_secret
             raw = t.encode("utf-8", "surrogatepass")
             spans = base_spans(t, raw)
             if ratio is not None and b"1" * TOKEN_CHARS in (marks := raw.translate(IS_TOKEN)):
-                known = [(x, y, kind) for (x, y), (_, kind, _) in zip(_byte_spans(t, raw, spans), spans)]
+                points = _points(t, raw)
+                known = Known([(x, y, kind) for (x, y), (_, kind, _) in zip(_byte_spans(points, spans), spans)])
                 for m in re.finditer(rb"1+", marks):
                     if m.end() - m.start() < TOKEN_CHARS:
                         continue
                     for a, b in _random_stretches(raw, *m.span(), known, ratio):
-                        start = len(raw[:a].decode("utf-8", "surrogatepass"))
+                        start = a if points is None else int(np.searchsorted(points, a))
                         spans.append((start, 3, start + b - a))
                 spans.sort()
             return {"spans": [{"kind": KINDS[k], "start": a, "stop": b} for a, k, b in spans]}
@@ -151,12 +170,23 @@ def find_secrets(docs: DataFrame, ratio: np.ndarray | None, name: str = "_secret
 
 
 def redacted(text, spans, mark: str = "[secret]"):
-    """The text with every union of overlapping spans replaced by the mark, as a Column."""
-    def step(acc, s):
-        return F.struct(F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-                        .otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
-    done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    """The text with every union of overlapping spans replaced by the mark, as a Column; null stays null. One pass over text and spans."""
+    @F.arrow_udf("string")
+    def replaced(texts: pa.Array, all_spans: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(texts)):
+            t, own = texts[i].as_py(), all_spans[i].as_py()
+            if t and own:
+                parts, at = [], 0
+                for a, b in sorted((s["start"], s["stop"]) for s in own):
+                    if a >= at:
+                        parts += [t[at:a], mark]
+                    at = max(at, b)
+                t = "".join(parts) + t[at:]
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return replaced(text, spans)
 
 
 def secret_digest(found: DataFrame, name: str = "_secrets") -> DataFrame:

@@ -15,7 +15,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import annotated, per_text, words
+from millrace.llm.common import annotated, free_name, per_text, words
 
 WINDOW = 10
 BLOCK_PAIRS = 100_000  # windows searched for at a time, whatever the size of the benchmark
@@ -112,7 +112,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "_leaks", text
                 return {"n_words": len(w), "hits": [{"start": a, "stop": b} for a, b in _merged(ranges)], "items": sorted(items)}
             return one
 
-        parts.append(f"{name}_{k}")
+        parts.append(free_name(f"{name}_{k}", docs))
         docs = annotated(docs, per_text(search, FIELDS), text, parts[-1])
     pairs.unpersist()
     if n_blocks == 1:

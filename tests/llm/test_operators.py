@@ -448,3 +448,24 @@ def test_a_link_with_unlike_registers_is_kept(spark):
     assert prob_minhash.similarity(*[(element[owner == k], weight[owner == k]) for k in (0, 1)]) >= prob_minhash.THRESHOLD - 1e-12
     df = spark.createDataFrame([(*prob_minhash.parities(owner, element, 2).tolist(), *prob_minhash.bulks(owner, weight, 2).tolist())], "pa array<long>, pb array<long>, ha double, hb double")
     assert df.select(prob_minhash.may_link(*[F.col(c) for c in ("pa", "pb", "ha", "hb")])).first()[0]
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    """A megabyte of other letters with 40,000 base spans: each step looks at the spans that a token touches only."""
+    import time
+    text = "é " + " ".join(f"{i % 256:02x}" * 9 + ("Zq7-X_k9" * 4 if i % 7 == 0 else " ß") for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").repartition(1)
+    ratio = np.where(np.eye(secret_markov.N, dtype=bool), 0.0, 0.7)
+    start = time.time()
+    found = secret_markov.find_secrets(docs, ratio)
+    rows = {r.doc_id: r for r in found.select("doc_id", "_secrets.spans", secret_markov.redacted(F.col("text"), F.col("_secrets.spans")).alias("out")).collect()}
+    assert time.time() - start < 60
+    spans = rows[1].spans
+    assert sum(s.kind == "hex" for s in spans) == 40_000 and sum(s.kind == "markov" for s in spans) > 1000 and rows[2].spans == [] and rows[2].out is None and rows[3].out == ""
+    at, want = 0, []
+    for a, b in sorted((s.start, s.stop) for s in spans):
+        if a >= at:
+            want += [text[at:a], "[secret]"]
+        at = max(at, b)
+    assert rows[1].out == "".join(want) + text[at:]
+    assert all(text[s.start:s.stop].isascii() for s in spans)

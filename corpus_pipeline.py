@@ -12,47 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import fst_pieces, noisy_toxicity, prob_minhash, secret_markov, wu_manber
-from millrace.llm.common import stored, table
+from millrace.llm.common import free_name, stored, table
 
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the cut-off. The classifier learns from the labelled rows of the training folds."""
-    model = noisy_toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return noisy_toxicity.score(docs, model).where(F.col("_toxicity.score") < noisy_toxicity.CUTOFF).drop("_toxicity")
+    model, name = noisy_toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")), free_name("_toxicity", docs)
+    return noisy_toxicity.score(docs, model, name).where(F.col(f"{name}.score") < noisy_toxicity.CUTOFF).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; rows without id stay, a repeated row stays once."""
-    groups = prob_minhash.near_duplicates(docs)
-    gone = groups.where("doc_id is not null and doc_id <> group_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """The document of the smallest id of each group; rows without id stay, a repeated row stays once. Different texts of one id are documents of their
+    own: all but the first by digest go by a large number in place of the id."""
+    node, digest, least = (free_name(n, docs) for n in ("_node", "_digest", "_least"))
+    named = docs.where("doc_id is not null").withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
+    shared = named.groupBy("doc_id").agg(F.min(digest).alias(least), F.max(digest).alias(digest)).where(F.col(least) != F.col(digest)).select("doc_id", least)
+    other = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", digest), F.lit(1 << 62))
+    named = named.join(shared, "doc_id", "left").withColumn(node, F.when(F.coalesce(F.col(digest) != F.col(least), F.lit(False)), other).otherwise(F.col("doc_id").cast("long")))
+    groups = prob_minhash.near_duplicates(named.select(F.col(node).alias("doc_id"), "text"))
+    gone = groups.where("doc_id <> group_id").select(F.col("doc_id").alias(node)).distinct()
+    kept = named.join(gone, node, "left_anti").dropDuplicates([node]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    leaks = wu_manber.find_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return leaks.where(F.size("_leaks.hits") == 0).drop("_leaks")
+    name = free_name("_leaks", docs)
+    leaks = wu_manber.find_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), name)
+    return leaks.where(F.size(f"{name}.hits") == 0).drop(name)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark."""
-    found = secret_markov.find_secrets(docs, secret_markov.train(docs))
-    text = secret_markov.redacted(F.col("text"), F.col("_secrets.spans"))
-    out = found.withColumn("text", text)
+    name = free_name("_secrets", docs)
+    found = secret_markov.find_secrets(docs, secret_markov.train(docs), name)
+    out = found.withColumn("text", secret_markov.redacted(F.col("text"), F.col(f"{name}.spans")))
     if "n_chars" in docs.columns:
-        changed = F.when(F.size("_secrets.spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        changed = F.when(F.size(f"{name}.spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, the piece ids, and whether decoding gives the normalised text back."""
-    encoded = fst_pieces.encode(docs)
-    return encoded.select(*docs.columns, F.size("_pieces.ids").cast("long").alias("n_pieces"), F.col("_pieces.ids").alias("piece_ids"),
-                          F.col("_pieces.round_trip").alias("round_trip"))
+    """The columns of documents, the piece ids, and whether decoding gives the normalised text back (which replace columns of these names)."""
+    docs = docs.drop("n_pieces", "piece_ids", "round_trip")
+    name = free_name("_pieces", docs)
+    encoded = fst_pieces.encode(docs, name=name)
+    return encoded.select(*docs.columns, F.size(f"{name}.ids").cast("long").alias("n_pieces"), F.col(f"{name}.ids").alias("piece_ids"),
+                          F.col(f"{name}.round_trip").alias("round_trip"))
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("pieces", pieces)]

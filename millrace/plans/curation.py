@@ -11,15 +11,17 @@ from millrace.plans.corpus import s_trim
 from millrace.plans.frames import table
 from millrace.plans.indexing import s_hash
 from millrace.plans.registry import query
+from millrace.session import written
 
 WINDOW = 2048
 WEIGHTS = {f"src{i}": 1 + i for i in range(20)}
 
 
 def sized(spark, sf):
-    """Documents with their tokens and an end token."""
+    """Documents with their tokens and an end token. The numbers are written once, as the jobs over them read them several times and texts should be
+    read once."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
-    return docs.select("doc_id", "source", "lang", (F.size(K.tokens(F.coalesce("text", F.lit("")))) + 1).cast("bigint").alias("n_tokens"))
+    return written(docs.select("doc_id", "source", "lang", (F.size(K.tokens(F.coalesce("text", F.lit("")))) + 1).cast("bigint").alias("n_tokens")), "sized")
 
 
 SIZED = r"""sized AS (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '<\|eos\|>|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) + 1 AS BIGINT) AS n_tokens
@@ -99,7 +101,7 @@ def quality_upsample(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", words.alias("w")).select("doc_id", "source", ratio.alias("r"))
     quality = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     scored = docs.join(quality, "doc_id", "left").select("doc_id", "source", (F.coalesce("quality", F.lit(0.5)) + F.col("r")).alias("score"))
-    return M.quality_upsample(scored, "source", "doc_id", "score", ratios=RATIOS, seed=9).select("doc_id", "source", F.round("expected", 6).alias("expected"), "copy")
+    return M.quality_upsample(written(scored, "scored"), "source", "doc_id", "score", ratios=RATIOS, seed=9).select("doc_id", "source", F.round("expected", 6).alias("expected"), "copy")
 
 
 # The order of pairs and their turns, on the check side.

@@ -67,7 +67,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES + PATTERNS, key: str
     index = (numbered.join(filed, "rule_no", "left")
              .select(F.coalesce("token", F.lit("")).alias("token"), "rule_no", "pattern",
                      # named rules before patterns, then the longer rule, then the number
-                     ((F.col("rule").isNotNull().cast("long") * 1_000_000 + F.col("length")) * 1_000_000 + F.col("rule_no")).alias("order")))
+                     F.struct(F.col("rule").isNotNull().alias("named"), "length", F.col("rule_no").alias("no")).alias("order")))
     fits = F.rlike(F.concat("host", "path"), F.col("pattern"))
     best = (sent.join(index, "token", "left").groupBy(key, "host", "path")
             .agg(F.max(F.when(fits, F.col("order"))).alias("order"),
@@ -76,6 +76,6 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES + PATTERNS, key: str
     blank = max(1, sum(not r.tokens for r in rules))
     copies = (F.col("sentinels") / blank).cast("int")
     named = numbered.select("rule_no", "rule", "block")
-    return (best.select(key, "host", "path", (F.col("n_run") / copies).cast("long").alias("n_rules_run"), (F.col("order") % 1_000_000).alias("rule_no"), F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
+    return (best.select(key, "host", "path", (F.col("n_run") / copies).cast("long").alias("n_rules_run"), F.col("order.no").alias("rule_no"), F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
             .join(named, "rule_no", "left")
             .select(key, "host", "path", "rule", F.when(F.col("block"), "block").otherwise("allow").alias("verdict"), "n_rules_run"))

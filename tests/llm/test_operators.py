@@ -405,6 +405,14 @@ def test_only_fetched_rules_run(spark):
     assert [(r.page_id, r.rule, r.n_rules_run) for r in rows] == [(1, "site7.net/", 2), (2, "digits", 1), (2, "digits", 1)]
 
 
+def test_longer_rules_win_whatever_their_length(spark):
+    """Lengths and numbers beyond a million keep their places in the order: named before patterns, then longer, then later."""
+    rules = (url_rules.Rule("^a", (), True, "long", 3_000_000), url_rules.Rule("^a", (), False, "short", 2_000_000), url_rules.Rule("^a", (), True, None, 9_000_000), url_rules.Rule("^b", (), True, "first", 5),
+             url_rules.Rule("^b", (), False, "second", 5))
+    pages = spark.createDataFrame([(1, "http://a/"), (2, "http://b/"), (3, "http://c/")], "page_id long, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(pages, rules).collect()} == {1: ("long", "block"), 2: ("second", "allow"), 3: (None, "allow")}
+
+
 def test_sketches_count_differing_registers(spark):
     rng = np.random.default_rng(2)
     sig = rng.integers(0, 50, (2, prob_minhash.ROWS * prob_minhash.BANDS)).astype(np.uint64)

@@ -27,10 +27,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the smallest id of each group; rows without id stay, a repeated row stays once. Different texts of one id are documents of their
     own: all but the first by digest go by a large number in place of the id."""
     node, digest, least = (free_name(n, docs) for n in ("_node", "_digest", "_least"))
-    named = docs.where("doc_id is not null").withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
-    shared = named.groupBy("doc_id").agg(F.min(digest).alias(least), F.max(digest).alias(digest)).where(F.col(least) != F.col(digest)).select("doc_id", least)
-    other = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", digest), F.lit(1 << 62))
-    named = named.join(shared, "doc_id", "left").withColumn(node, F.when(F.coalesce(F.col(digest) != F.col(least), F.lit(False)), other).otherwise(F.col("doc_id").cast("long")))
+    named = docs.where("doc_id is not null")
+    keyed = named.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias(digest))
+    shared = stored(keyed.groupBy("doc_id").agg(F.min(digest).alias(least), F.max(digest).alias(digest)).where(F.col(least) != F.col(digest)).select("doc_id", least), "shared_ids")
+    own = F.col("doc_id").cast("long")
+    if not shared.isEmpty():  # else texts need not be moved to find the rows
+        named = named.withColumn(digest, F.md5(F.coalesce("text", F.lit("")))).join(shared, "doc_id", "left")
+        other = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", digest), F.lit(1 << 62))
+        own = F.when(F.coalesce(F.col(digest) != F.col(least), F.lit(False)), other).otherwise(own)
+    named = named.withColumn(node, own)
     groups = prob_minhash.near_duplicates(named.select(F.col(node).alias("doc_id"), "text"))
     gone = groups.where("doc_id <> group_id").select(F.col("doc_id").alias(node)).distinct()
     kept = named.join(gone, node, "left_anti").dropDuplicates([node]).select(*docs.columns)

@@ -10,8 +10,9 @@ How many rows a query wants is measured, not set: for a bounded sample of querie
 the smallest number that reaches the target recall on them is taken. Structured vectors need few rows; vectors without structure need most of the
 index, as nothing can be ruled out there.
 
-Leaves are cut into cells of at most CELL_ROWS rows and CELL_QUERIES queries, so neither a crowded leaf nor one that many queries take fills a task; no
-query vector but the sample's passes through the driver. Equal vectors are one entry of the index; of each entry the k + 1 smallest ids are kept,
+Neighbouring leaves share a bucket of about CELL_ROWS rows, to which a query is sent once with the leaves it took; crowded buckets are cut into cells of at
+most CELL_ROWS rows and CELL_QUERIES queries, so neither a crowded leaf nor one that many queries take fills a task. No query vector but the
+sample's passes through the driver. Equal vectors are one entry of the index; of each entry the k + 1 smallest ids are kept,
 which is all a result of k can need.
 
 Cases: vectors that are null, zero, hold null or non-finite components, or have another length than most take no part, neither do
@@ -39,7 +40,7 @@ MOST_LEAVES = 512  # of a tree
 LEAF_ROWS = 400  # rows of the index in a leaf, as long as that makes no more leaves
 RECALL = 0.94  # wanted on the sample of queries
 TRIED = 300  # queries in that sample
-CELL_ROWS, CELL_QUERIES = 20_000, 5_000
+CELL_ROWS, CELL_QUERIES = 8_000, 5_000
 
 
 @dataclass
@@ -176,20 +177,31 @@ def neighbours(df: DataFrame, query_every: int = 20, k: int = K, figures: dict |
     if figures is not None:
         figures |= {"entries": total, "leaves": int(offsets[-1]), "wanted": wanted}
 
+    bucket = (np.cumsum(sizes) - sizes) // CELL_ROWS  # of every leaf, by the rows before it
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [taken(sent.value, sizes, offsets, q, wanted) for q in _matrix(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["query", "q", "leaves"])
-
-    walks = stored(walkers.repartition(max(1, min(total // 2000, 10_000)), "entry").mapInArrow(go, "query long, q array<double>, leaves array<int>"), "walks")
-    asks = np.zeros(int(offsets[-1]), np.int64)
-    for r in walks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
-        asks[r.leaf] = r["count"]
-    # Rows of a leaf are dealt to parts, its queries to others; each pair of parts is a cell, to which both sides are sent.
-    parts, turns = (F.element_at(F.array(*[F.lit(int(max(1, -(-n // most)))) for n in counts]), F.col("leaf") + 1) for counts, most in ((sizes, CELL_ROWS), (asks, CELL_QUERIES)))
-    left = index.select("entry", "v", F.explode("leaves").alias("leaf")).withColumn("part", F.pmod(F.xxhash64("entry"), parts).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1)))
-    right = walks.select("query", "q", F.explode("leaves").alias("leaf")).withColumn("turn", F.pmod(F.xxhash64("query"), turns).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cell = ["leaf", "part", "turn"]
+            place, own, which = [], [], []
+            for i, q in enumerate(_matrix(batch.column(1))):
+                leaves = np.sort(np.array(taken(sent.value, sizes, offsets, q, wanted), np.int64))
+                for some in np.split(leaves, np.flatnonzero(np.diff(bucket[leaves])) + 1):
+                    place.append(i)
+                    own.append(some)
+                    which.append(int(bucket[some[0]]))
+            at = pa.array(place, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(own, pa.list_(pa.int32())), pa.array(which, pa.int64())], names=["query", "q", "leaves", "bucket"])
+
+    walks = stored(walkers.repartition(max(1, min(total // 2000, 10_000)), "entry").mapInArrow(go, "query long, q array<double>, leaves array<int>, bucket long"), "walks")
+    asks, rows_in = np.zeros(int(bucket[-1]) + 1, np.int64), np.bincount(bucket, sizes).astype(np.int64)
+    for r in walks.groupBy("bucket").count().collect():  # no more buckets than leaves
+        asks[r.bucket] = r["count"]
+    # Rows of a bucket are dealt to parts, its queries to turns; each part and turn is a cell, to which both sides are sent.
+    parts, turns = (F.element_at(F.array(*[F.lit(int(max(1, -(-n // (2 * most))))) for n in counts]), F.col("bucket").cast("int") + 1) for counts, most in ((rows_in, CELL_ROWS), (asks, CELL_QUERIES)))
+    bucket_of = F.element_at(F.array(*[F.lit(int(b)) for b in bucket]), F.col("leaf") + 1).cast("long")
+    left = (index.select("entry", "v", F.explode("leaves").alias("leaf")).withColumn("bucket", bucket_of)
+            .withColumn("part", F.pmod(F.xxhash64("entry"), parts).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1))))
+    right = walks.withColumn("turn", F.pmod(F.xxhash64("query"), turns).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cell = ["bucket", "part", "turn"]
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_ranked(k + 1), "query long, entry long, score double").dropDuplicates(["query", "entry"])
     top = W.partitionBy("query").orderBy(F.desc("score"), "entry")
     near = found.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1)
@@ -201,23 +213,42 @@ def neighbours(df: DataFrame, query_every: int = 20, k: int = K, figures: dict |
             .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")))
 
 
-def _best(queries: np.ndarray, q: np.ndarray, entries: np.ndarray, x: np.ndarray, k: int) -> pa.Table:
-    """The best k rows for every query, with all that tie with the last."""
+def _best(queries: np.ndarray, entries: np.ndarray, k: int, n_rows: int, scores) -> pa.Table:
+    """The best k rows for every query, with all that tie with the last; `scores(a, b)` has those of queries a to b, -inf for rows that don't count."""
     out = [pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query", "entry", "score"])]
-    step = max(1, 8_000_000 // max(1, len(x)))
-    for i in range(0, len(q) if len(x) else 0, step):
-        score = q[i:i + step] @ x.T
-        least = np.partition(score, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(score), -np.inf)
-        who, what = np.nonzero(score >= least[:, None])
+    step = max(1, 8_000_000 // max(1, n_rows))
+    for i in range(0, len(queries) if n_rows else 0, step):
+        score = scores(i, i + step)
+        least = np.partition(score, n_rows - k, axis=1)[:, n_rows - k] if n_rows > k else np.full(len(score), -np.inf)
+        who, what = np.nonzero((score >= least[:, None]) & (score > -np.inf))
         out.append(pa.table([pa.array(queries[i + who]), pa.array(entries[what]), pa.array(score[who, what])], names=["query", "entry", "score"]))
     return pa.concat_tables(out)
 
 
 def _ranked(k: int):
-    """A cell: its rows ranked for its queries."""
+    """A cell: the rows of every leaf ranked for the queries that took it."""
 
     def run(left, right):
-        return _best(right.column("query").to_numpy(), _matrix(right.column("q").combine_chunks()), left.column("entry").to_numpy(), _matrix(left.column("v").combine_chunks()), k)
+        leaf = left.column("leaf").to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        x, entries, leaf = _matrix(left.column("v").combine_chunks())[order], left.column("entry").to_numpy()[order], leaf[order]
+        q, taken_ = _matrix(right.column("q").combine_chunks()), right.column("leaves").combine_chunks()
+        asker = np.repeat(np.arange(len(q)), np.diff(taken_.offsets.to_numpy()))
+        asked = taken_.flatten().to_numpy()
+        by_leaf = np.argsort(asked, kind="stable")  # queries of a leaf stay in order
+        asker, asked = asker[by_leaf], asked[by_leaf]
+
+        def scores(a: int, b: int) -> np.ndarray:
+            out = np.full((len(q[a:b]), len(x)), -np.inf)
+            for one in np.unique(leaf).tolist():
+                lo, hi = np.searchsorted(leaf, one), np.searchsorted(leaf, one, "right")
+                who = asker[np.searchsorted(asked, one):np.searchsorted(asked, one, "right")]
+                who = who[(who >= a) & (who < b)]
+                if len(who):
+                    out[who - a, lo:hi] = q[who] @ x[lo:hi].T
+            return out
+
+        return _best(right.column("query").to_numpy(), entries, k, len(x), scores)
 
     return run
 
@@ -229,7 +260,8 @@ def _true_leaves(walkers: DataFrame, index: DataFrame, k: int) -> list[tuple[np.
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _best(names, q, batch.column(0).to_numpy(), _matrix(batch.column(1)), k).to_batches()
+            x = _matrix(batch.column(1))
+            yield from _best(names, batch.column(0).to_numpy(), k, len(x), lambda a, b, x=x: q[a:b] @ x.T).to_batches()
 
     if not len(names):
         return []

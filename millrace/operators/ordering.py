@@ -42,7 +42,15 @@ def _offsets(tagged: DataFrame, by: Sequence[str], sums: Mapping[str, Column]) -
     tops = blocks.groupBy(*by, "_t").agg(*[F.sum(n).alias(n) for n in sums])
     tops = tops.select(*by, "_t", *[c.alias(f"_top_{n}") for c, n in zip(_sums(sums, _before(by, "_t", -1)), sums)])
     mids = blocks.select(*by, "_t", "_b", *[c.alias(f"_mid_{n}") for c, n in zip(_sums(sums, _before([*by, "_t"], "_b", -1)), sums)])
-    return mids.join(tops, [*by, "_t"]).select(*by, "_b", *[(F.col(f"_mid_{n}") + F.col(f"_top_{n}")).alias(f"_off_{n}") for n in sums])
+    return mids.join(tops.hint("merge"), [*by, "_t"]).select(*by, "_b", *[(F.col(f"_mid_{n}") + F.col(f"_top_{n}")).alias(f"_off_{n}") for n in sums])
+
+
+def _near(tagged: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows of the blocks in ``before``, the first ones in key order, with their offsets. The blocks are written and the last one's number
+    leaves the other rows out before any is moved; neither side is broadcast, as the planner can take wide rows for a small table."""
+    before = written(before, "before")
+    last = before.agg(F.max("_b").alias("b")).select("b").scalar()
+    return tagged.where(F.col("_b") <= last).join(before.hint("merge"), "_b")
 
 
 def running_totals(df: DataFrame, key: str, values: Mapping[str, Column], by: Sequence[str] = (),
@@ -56,16 +64,17 @@ def running_totals(df: DataFrame, key: str, values: Mapping[str, Column], by: Se
     local = _before([*by, "_b"], [key, *tie], 0 if inclusive else -1)
     inner = tagged.select(*df.columns, "_b", *[c.alias(f"_in_{n}") for c, n in zip(_sums([f"_v_{n}" for n in names], local), names)])
     offsets = _offsets(tagged, by, {n: F.sum(f"_v_{n}") for n in names})
-    return inner.join(offsets, [*by, "_b"]).select(*df.columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in names])
+    # Both sides are cut by block already; without the hint the planner may broadcast the rows.
+    return inner.join(offsets.hint("merge"), [*by, "_b"]).select(*df.columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in names])
 
 
 def first_rows(df: DataFrame, key: str, rows: int, bits: int = BITS, tie: Sequence[str] = ()) -> DataFrame:
-    """The first ``rows`` rows in key order. Block counts place the cut; joining the blocks before it leaves the other rows out
-    before any is moved, and no block is larger than its width."""
+    """The first ``rows`` rows in key order. Block counts place the cut; only rows of the blocks before it are moved, and no block is
+    larger than its width."""
     tagged = _blocked(df, key, bits)
     near = _offsets(tagged.select("_b"), (), {"n": F.count(F.lit(1))}).where(F.col("_off_n") < rows)
     place = F.row_number().over(Window.partitionBy("_b").orderBy(key, *tie))
-    return tagged.join(near, "_b").withColumn("_n", place).where(F.col("_off_n") + F.col("_n") <= rows).select(*df.columns)
+    return _near(tagged, near).withColumn("_n", place).where(F.col("_off_n") + F.col("_n") <= rows).select(*df.columns)
 
 
 def within_total(df: DataFrame, key: str, size: str, limit: int, name: str, bits: int = BITS) -> DataFrame:
@@ -73,7 +82,7 @@ def within_total(df: DataFrame, key: str, size: str, limit: int, name: str, bits
     tagged = _blocked(df, key, bits)
     near = _offsets(tagged.select("_b", size), (), {"n": F.sum(size)}).where(F.col("_off_n") <= limit)
     so_far = F.sum(size).over(_before(["_b"], key, 0))
-    kept = tagged.join(near, "_b").withColumn(name, (F.col("_off_n") + so_far).cast("bigint"))
+    kept = _near(tagged, near).withColumn(name, (F.col("_off_n") + so_far).cast("bigint"))
     return kept.where(F.col(name) <= limit).select(*df.columns, name)
 
 
@@ -156,8 +165,8 @@ def carry_last(df: DataFrame, by: Sequence[str], key: str, column: str, name: st
     tops = ends.groupBy(*by, "_t").agg(F.max_by(F.when(F.col("_last").isNotNull(), F.col("_last")), F.when(F.col("_last").isNotNull(), F.col("_b"))).alias("_end"))
     tops = tops.select(*by, "_t", F.last("_end", ignorenulls=True).over(over).alias("_far"))
     near = ends.select(*by, "_t", "_b", F.last("_last", ignorenulls=True).over(within).alias("_near"))
-    ends = near.join(tops, [*by, "_t"]).select(*by, "_b", F.coalesce("_near", "_far").alias("_before"))
+    ends = near.join(tops.hint("merge"), [*by, "_t"]).select(*by, "_b", F.coalesce("_near", "_far").alias("_before"))
     return (tagged.withColumn("_here", F.last(column, ignorenulls=True).over(local))
-            .join(ends, [*by, "_b"])
+            .join(ends.hint("merge"), [*by, "_b"])
             .withColumn(name, F.coalesce("_here", "_before"))
             .select(*df.columns, name))

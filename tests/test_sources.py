@@ -127,3 +127,12 @@ def test_lenient_paths(spark):
     row = df.select(F.to_json(P.get(F.col("v"), "m[].c")), F.to_json(P.get(F.col("v"), "m[].c", lenient=True)),
                     P.as_text(P.get(F.col("v"), "m.0.c", lenient=True))).first()
     assert json.loads(row[0]) == ["1", None, None] and json.loads(row[1]) == ["1", None] and row[2] == "1"
+
+
+def test_wide_rows_are_never_broadcast(spark):
+    """Behind a dropped VARIANT the planner takes lines for a small table; with few blocks it broadcast them, not the block sums."""
+    lines = spark.range(300).select("id", F.concat(F.lit('{"text": "a'), F.col("id").cast("string"), F.lit('"}')).alias("line"))
+    for df in (ST.extract(lines, "id", max_rows=20), ST.extract(lines, "id", max_bytes=100), global_index(ST.jsonl_texts(lines), "id")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in ST.extract(lines, "id", max_rows=3).orderBy("id").collect()] == [0, 1, 2]
+    assert ST.extract(lines.where("id < 0"), "id", max_rows=3).count() == ST.extract(lines, "id", max_bytes=1).count() == 0

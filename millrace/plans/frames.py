@@ -142,10 +142,13 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same frame over a streaming read of its table."""
+    """The same frame over a streaming read of its table, a file or a folder of files as in batch.
+
+    A stream takes a single file by a pattern only, so the name is written as one.
+    """
     source = _SPARK[name][1]
     batch = table(spark, sf_dir, source)
-    rows = spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/{source[:-1]}[{source[-1]}].parquet")
     return _shaped(spark, name, spread(rows, like=batch))
 
 

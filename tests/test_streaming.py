@@ -115,3 +115,12 @@ def test_folded_rates_count_late_rows(spark, rows, tmp_path):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         K.folded_rates().run(source(spark, rows, tmp_path), str(tmp_path))
     assert sets(K.folded_rates().view(rows, str(tmp_path)), "run_id", "window_start", "n") == sets(K.rates(rows), "run_id", "window_start", "n")
+
+
+def test_streamed_tables_may_be_folders(spark, sf_dir, tmp_path):
+    from millrace.plans.live import stream_extract
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    of_folder, of_file = stream_extract(spark, str(tmp_path)), stream_extract(spark, sf_dir)
+    assert sorted(of_folder.collect()) == sorted(of_file.collect()) != []

@@ -3,7 +3,7 @@
 A disguised token (leet digits and signs, stretched letters, letters set apart by blanks or marks) is read as the observation
 of a hidden word. Its characters form a lattice: each may stand for itself or for the letters it imitates, a run of three or more for one or
 two, a mark inside for nothing or for the end of a word. A Viterbi pass picks the path that a character trigram model of the corpus and the channel costs like
-best. A second pass parts a spaced run into words: those of the labelled sample by their frequency, strange ones by their trigrams. Marks,
+best. A second pass parts a spaced run into words: those of the labelled texts by their frequency, strange ones by their trigrams. Marks,
 punctuation or any width of blanks may stand around and inside a run; neither runs nor tokens have a greatest length. The restored words join the plain ones, and the text's score comes from word and word-beginning evidence.
 
 Evidence: for each feature the log odds of toxic against other labelled texts, less its own uncertainty, so that rare features count
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import annotated, fold, per_text, stored
 
-SAMPLE = 8_000  # labelled rows per class that the classifier learns from
 FEATURES = 50_000  # strongest features kept
 DEVIATIONS, LEAST_EVIDENCE = 2.0, 0.7  # log odds count less so many standard deviations, and from so much on
 CUTOFF = 0.3
@@ -242,50 +241,57 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * top + c * several))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Coefficients by Newton steps, halved until they improve the likelihood. The ridge on standardised columns keeps separable
-    samples finite."""
-    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
-    ridge = np.diag([1e-6] + [1.0] * x.shape[1])
-
-    def loss(w):
-        m = z @ w
-        return float((weight * (np.logaddexp(0, m) - y * m)).sum() + w @ ridge @ w / 2)
-
-    w = np.zeros(z.shape[1])
+def logistic(rows: DataFrame) -> np.ndarray:
+    """Coefficients for rows of (toxic, top, several, n), n equal ones each, by Newton steps, halved until they improve the likelihood. The ridge on
+    standardised columns keeps separable rows finite. Every step is one sum over the rows."""
+    names = ["top", "several"]
+    got = rows.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(c)).alias(c) for c in names]).first()
+    mean = np.array([got[c] / got.n for c in names])
+    far = rows.agg(*[F.sum(F.col("n") * (F.col(c) - float(m)) ** 2).alias(c) for c, m in zip(names, mean)]).first()
+    spread = np.maximum(np.sqrt([far[c] / got.n for c in names]), 1e-9)
+    z = [F.lit(1.0), *[(F.col(c) - float(m)) / float(s) for c, m, s in zip(names, mean, spread)]]
+    ridge = np.diag([1e-6, 1.0, 1.0])
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, gradient and second derivatives at w."""
+        m = sum(float(v) * c for v, c in zip(w, z))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), m))))
+        loss = F.greatest(m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m))) - F.col("toxic") * m
+        pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+        r = rows.agg(F.sum(F.col("n") * loss), *[F.sum(F.col("n") * (p - F.col("toxic")) * c) for c in z],
+                     *[F.sum(F.col("n") * p * (1 - p) * z[i] * z[j]) for i, j in pairs]).first()
+        second = np.zeros((3, 3))
+        for (i, j), v in zip(pairs, r[4:]):
+            second[i, j] = second[j, i] = v
+        return r[0] + w @ ridge @ w / 2, np.array(r[1:4]) + ridge @ w, second + ridge
+
+    w = np.zeros(3)
+    loss, gradient, second = sums(w)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ w)
-        size = 1.0
-        while size > 1e-6 and loss(w + size * step) > loss(w):
+        step, size = np.linalg.solve(second, -gradient), 1.0
+        after = sums(w + step)
+        while size > 1e-6 and after[0] > loss:
             size /= 2
-        w = w + size * step
+            after = sums(w + size * step)
+        w, (loss, gradient, second) = w + size * step, after
         if np.abs(size * step).max() < 1e-8:
             break
     return np.concatenate([[w[0] - (w[1:] * mean / spread).sum()], w[1:] / spread])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """toxic, part, share, text of at most n labelled rows per class: those of the smallest key hashes. `share` is how many
-    labelled rows of the class one sampled row stands for."""
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """toxic, part, text of all labelled rows of the training folds."""
     known = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-             .where(fold(F.col("doc_id"), 4) != 2).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(7))))
-    total = {r.toxic: r.n for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    parts = []
-    for toxic in (0, 1):
-        one = known.where((F.col("toxic") > 0) == F.lit(bool(toxic))).orderBy("h", "doc_id").limit(n)
-        parts.append(one.select("doc_id", F.lit(toxic).alias("toxic"), F.lit(max(1.0, total.get(toxic, 0) / n)).alias("share"),
-                                F.pmod("h", F.lit(3)).cast("int").alias("part")))
-    chosen = parts[0].unionByName(parts[1])  # at most 2 * n short rows: small enough to send to every task
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "part", "share", F.coalesce("text", F.lit("")).alias("text"))
+             .where(fold(F.col("doc_id"), 4) != 2).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"),
+                                                          F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3)).cast("int").alias("part")))
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("toxic", "part", F.coalesce("text", F.lit("")).alias("text"))
     # Copies of a text are one observation, else its chance words look like evidence; part and class follow the text.
     return (rows.groupBy(F.md5("text").alias("_copy"))
-            .agg(F.max("toxic").alias("toxic"), F.min("part").alias("part"), F.max("share").alias("share"), F.first("text").alias("text")).drop("_copy"))
+            .agg(F.max("toxic").alias("toxic"), F.min("part").alias("part"), F.first("text").alias("text")).drop("_copy"))
 
 
 def lexicon(rows: DataFrame) -> dict[str, float]:
-    """Cost (negative log share) of the words that stand plainly in two or more of the sampled texts, the commonest FEATURES of them;
+    """Cost (negative log share) of the words that stand plainly in two or more of the labelled texts, the commonest FEATURES of them;
     longer ones than 40 letters go as strange words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,10 +307,10 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
     return {r.word: math.log(total / r.n) for r in kept}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """Channel model from all texts; evidence from two thirds of the labelled sample, the logistic model from the last third."""
+def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
+    """Channel model from all texts; evidence from two thirds of all labelled rows, the logistic model from the last third."""
     cost = character_model(docs)
-    rows = stored(labelled_sample(docs, labels, sample).repartition(12), "toxic-sample")
+    rows = stored(labelled_rows(docs, labels), "toxic-rows")
     plain = lexicon(rows)
     sent = docs.sparkSession.sparkContext.broadcast((cost, plain))
 
@@ -334,8 +340,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
         channel = Channel(shown.value.cost, shown.value.lexicon)
         return lambda t: dict(zip(("top", "several"), shown.value.describe(channel.words(t))))
 
-    fit = annotated(rows.where("part = 2"), per_text(describe, "top double, several double"), "text", "_x").select("toxic", "share", "_x.top", "_x.several").collect()
-    w = logistic(np.array([[r.top, r.several] for r in fit]), np.array([r.toxic for r in fit], float), np.array([r.share for r in fit]))
+    fit = annotated(rows.where("part = 2"), per_text(describe, "top double, several double"), "text", "_x")
+    w = logistic(stored(fit.groupBy("toxic", "_x.top", "_x.several").agg(F.count("*").alias("n")), "toxic-fit"))
     return Classifier(cost, plain, weight, tuple(float(v) for v in w))
 
 

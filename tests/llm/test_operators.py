@@ -477,3 +477,21 @@ def test_many_spans_take_time_in_proportion(spark):
         at = max(at, b)
     assert rows[1].out == "".join(want) + text[at:]
     assert all(text[s.start:s.stop].isascii() for s in spans)
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 1000 == 0).cast("int").alias("toxic"))
+    want = docs.where(queries.fold(F.col("doc_id"), 4) != 2).count()
+    assert want > 8_500 and noisy_toxicity.labelled_rows(docs, labels).count() == want
+
+
+def test_logistic_fit_by_sums(spark):
+    """At the minimum the ridge balances the gradient."""
+    rows = [(0, 0.0, 0.5, 30), (0, 1.0, 1.0, 4), (1, 1.0, 2.0, 3), (1, 3.0, 5.0, 9), (0, 3.0, 3.5, 1)]
+    w = noisy_toxicity.logistic(spark.createDataFrame(rows, "toxic int, top double, several double, n long"))
+    y, x, n = np.array([r[0] for r in rows]), np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows], float)
+    mean = np.average(x, axis=0, weights=n)
+    spread = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=n))
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert np.allclose((n * (p - y)) @ ((x - mean) / spread) + w[1:] * spread, 0, atol=1e-5)

@@ -65,7 +65,12 @@ def integer_digits(c: Column) -> Column:
     picks = [F.when(c.contains("####"), find(HASH_INTEGER, c, 1)), F.when(phrase, find(PHRASE_ANSWER, c, 1)),
              F.when(total, find(PHRASE_TOTAL, c, 1)), F.when(c.contains("<answer>"), find(TAG_INTEGER, c, 1)),
              last_match(r"(-?\d+)", c, 1)]
-    return F.regexp_replace(F.regexp_replace(F.coalesce(*picks), r"\A(-?)0+(?=\d)", "$1"), r"\A-0\z", "0")
+
+    def without_zeros(n):
+        padded = n.startswith("0") | n.startswith("-0")
+        return F.when(padded, F.regexp_replace(F.regexp_replace(n, r"\A(-?)0+(?=\d)", "$1"), r"\A-0\z", "0")).otherwise(n)
+
+    return let(F.coalesce(*picks), without_zeros)
 
 
 def integer_answer(c: Column) -> Column:

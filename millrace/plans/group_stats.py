@@ -10,6 +10,7 @@ from millrace.operators import groups as G, selection as S
 from millrace.plans.frames import frame, over, spread, table
 from millrace.plans.registry import query
 from millrace.plans.scoring import s_format, s_integer_reward
+from millrace.session import written
 
 # Scored completions: one reward per completion, used by every query here.
 SCORED = (f"SELECT *, {s_format('completion')} + {s_integer_reward('completion', 'reference_answer')} AS reward, "
@@ -51,7 +52,7 @@ def group_advantage(spark, sf):
 SELECT group_id, comp_id, round(reward, 6) AS reward FROM scored
 WHERE group_id IN (SELECT group_id FROM scored GROUP BY group_id HAVING count(DISTINCT reward) > 1)"""))
 def zero_gradient_filter(spark, sf):
-    df = scored(spark, sf).select("group_id", "comp_id", "reward")
+    df = written(scored(spark, sf).select("group_id", "comp_id", "reward"), "scored")  # read twice, scored once
     return G.zero_gradient_filter(df, ["group_id"], spread=["comp_id"]).withColumn("reward", F.round("reward", 6))
 
 

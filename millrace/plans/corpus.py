@@ -172,7 +172,7 @@ def with_format_reward(spark, sf):
 FROM completions""", "completions"))
 def sink_samples(spark, sf):
     path = shared_dir(spark, "samples")
-    SR.write_samples(SR.sample_rows(with_format_reward(spark, sf), ["group_id"], "comp_id"), path)
+    SR.write_samples(SR.sample_rows(with_format_reward(spark, sf), ["group_id"], "comp_id"), path, gzip=True)
     return SR.explode_samples(SR.read_samples(spark, path, SAMPLES_SCHEMA), ["group_id"])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from millrace.functions import paths as P
 from millrace.functions.text import computed_once, strip
 from millrace.operators.skew import join_groups
+from millrace.session import written
 
 _PLAIN = (T.StringType, T.NumericType)
 
@@ -41,14 +42,17 @@ def tail_lines(lines: DataFrame, order: str, schema: str, last: int = 5000, line
 
 
 def sample_rows(df: DataFrame, by: list[str], key: str, per_row: int = 256) -> DataFrame:
-    """Completions gathered per prompt into nested sample rows.
+    """Completions gathered per prompt into nested sample rows; those of no prompt are left out.
 
-    A prompt with very many completions is written as several rows, so no row grows without bound.
+    A prompt with very many completions is written as several rows, so no row grows without bound. Only such prompts are written to a table
+    that the completions are joined with; while it is small the completions are not moved for it.
     """
+    df = df.dropna(subset=by)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / per_row).alias("rows_out"))
+    crowded = written(sizes.where("rows_out > 1"), "crowded")
     item = F.struct(key, "completion", "reward")
-    rows = (join_groups(df, sizes.drop("n"), by, sizes, spread=[key])
-            .withColumn("part", F.pmod(F.xxhash64(F.lit("part"), key), F.col("rows_out")))
+    rows = (join_groups(df, crowded.drop("n"), by, crowded, how="left", spread=[key])
+            .withColumn("part", F.pmod(F.xxhash64(F.lit("part"), key), F.coalesce("rows_out", F.lit(1))))
             .groupBy(*by, "part").agg(F.first("prompt").alias("prompt"), F.sort_array(F.collect_list(item)).alias("items")))
     return rows.select(*by, "part", "prompt", F.transform("items", lambda x: x[key]).alias("keys"),
                        F.transform("items", lambda x: x["completion"]).alias("completions"),
@@ -56,8 +60,8 @@ def sample_rows(df: DataFrame, by: list[str], key: str, per_row: int = 256) -> D
                        F.transform("items", lambda x: F.concat(F.col("prompt"), x["completion"])).alias("full_texts"))
 
 
-def write_samples(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def write_samples(df: DataFrame, path: str, gzip: bool = False) -> None:
+    df.write.mode("append").option("compression", "gzip" if gzip else "none").json(path)
 
 
 def read_samples(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,12 @@ def test_wide_rows_are_never_broadcast(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert [r.id for r in ST.extract(lines, "id", max_rows=3).orderBy("id").collect()] == [0, 1, 2]
     assert ST.extract(lines.where("id < 0"), "id", max_rows=3).count() == ST.extract(lines, "id", max_bytes=1).count() == 0
+
+
+def test_sample_rows_move_completions_once(spark, tmp_path):
+    """Prompts of few completions need no join with the sizes: one exchange of the rows is left."""
+    rows = [(i // 3, f"k{i}", "p", f"c{i}", 0.1) for i in range(30)] + [(None, "x", "p", "c", 0.1)]
+    df = spark.createDataFrame(rows, "g int, k string, prompt string, completion string, reward double")
+    out = SR.sample_rows(df, ["g"], "k")
+    assert len(re.findall(r"Exchange hashpartitioning", out._jdf.queryExecution().executedPlan().toString())) == 1
+    assert sorted(r.comp_id for r in SR.explode_samples(out, ["g"]).collect()) == sorted(r[1] for r in rows[:-1])

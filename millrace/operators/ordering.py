@@ -49,8 +49,8 @@ def _near(tagged: DataFrame, before: DataFrame) -> DataFrame:
     """Rows of the blocks in ``before``, the first ones in key order, with their offsets. The blocks are written and the last one's number
     leaves the other rows out before any is moved; neither side is broadcast, as the planner can take wide rows for a small table."""
     before = written(before, "before")
-    last = before.agg(F.max("_b").alias("b")).select("b").scalar()
-    return tagged.where(F.col("_b") <= last).join(before.hint("merge"), "_b")
+    last = before.agg(F.max("_b").alias("b")).first()["b"]
+    return tagged.where(F.col("_b") <= F.lit(last).cast("bigint")).join(before.hint("merge"), "_b")
 
 
 def running_totals(df: DataFrame, key: str, values: Mapping[str, Column], by: Sequence[str] = (),

@@ -10,9 +10,10 @@ How many rows a query wants is measured, not set: for a bounded sample of querie
 the smallest number that reaches the target recall on them is taken. Structured vectors need few rows; vectors without structure need most of the
 index, as nothing can be ruled out there.
 
-Neighbouring leaves share a bucket of about CELL_ROWS rows, to which a query is sent once with the leaves it took; crowded buckets are cut into cells of at
-most CELL_ROWS rows and CELL_QUERIES queries, so neither a crowded leaf nor one that many queries take fills a task. No query vector but the
-sample's passes through the driver. Equal vectors are one entry of the index; of each entry the k + 1 smallest ids are kept,
+Neighbouring leaves of a tree share a bucket, to which a query is sent once with the leaves it took. A tree has BUCKETS of them at most, whatever its
+size, so what queries are sent and what they find grow with their number alone. Crowded buckets are cut into parts, the queries of a bucket into turns of about
+CELL_QUERIES; each part and turn is a cell, whose rows pass its queries in batches, so memory is bounded by a batch and the queries of a cell. No query
+vector but the sample's passes through the driver. Equal vectors are one entry of the index; of each entry the k + 1 smallest ids are kept,
 which is all a result of k can need.
 
 Cases: vectors that are null, zero, hold null or non-finite components, or have another length than most take no part, neither do
@@ -40,7 +41,9 @@ MOST_LEAVES = 512  # of a tree
 LEAF_ROWS = 400  # rows of the index in a leaf, as long as that makes no more leaves
 RECALL = 0.94  # wanted on the sample of queries
 TRIED = 300  # queries in that sample
-CELL_ROWS, CELL_QUERIES = 8_000, 5_000
+BUCKETS = 4  # of a tree, at most
+CELL = ["bucket", "part", "turn"]
+CELL_ROWS, CELL_QUERIES = 2_000, 5_000  # rows of a bucket at least, queries of a cell
 
 
 @dataclass
@@ -177,7 +180,11 @@ def neighbours(df: DataFrame, query_every: int = 20, k: int = K, figures: dict |
     if figures is not None:
         figures |= {"entries": total, "leaves": int(offsets[-1]), "wanted": wanted}
 
-    bucket = (np.cumsum(sizes) - sizes) // CELL_ROWS  # of every leaf, by the rows before it
+    room = max(CELL_ROWS, -(-total // BUCKETS))
+    bucket, n_buckets = np.zeros(len(sizes), np.int64), 0  # of every leaf, by the rows of its tree before it
+    for a, b in zip(offsets, offsets[1:]):
+        bucket[a:b] = n_buckets + (np.cumsum(sizes[a:b]) - sizes[a:b]) // room
+        n_buckets = int(bucket[b - 1]) + 1
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,17 +199,21 @@ def neighbours(df: DataFrame, query_every: int = 20, k: int = K, figures: dict |
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(own, pa.list_(pa.int32())), pa.array(which, pa.int64())], names=["query", "q", "leaves", "bucket"])
 
     walks = stored(walkers.repartition(max(1, min(total // 2000, 10_000)), "entry").mapInArrow(go, "query long, q array<double>, leaves array<int>, bucket long"), "walks")
-    asks, rows_in = np.zeros(int(bucket[-1]) + 1, np.int64), np.bincount(bucket, sizes).astype(np.int64)
-    for r in walks.groupBy("bucket").count().collect():  # no more buckets than leaves
+    asks, rows_in = np.zeros(n_buckets, np.int64), np.bincount(bucket, sizes, n_buckets).astype(np.int64)
+    for r in walks.groupBy("bucket").count().collect():
         asks[r.bucket] = r["count"]
+    if figures is not None:
+        figures |= {"sent": int(asks.sum())}
     # Rows of a bucket are dealt to parts, its queries to turns; each part and turn is a cell, to which both sides are sent.
-    parts, turns = (F.element_at(F.array(*[F.lit(int(max(1, -(-n // (2 * most))))) for n in counts]), F.col("bucket").cast("int") + 1) for counts, most in ((rows_in, CELL_ROWS), (asks, CELL_QUERIES)))
+    parts, turns = (F.element_at(F.array(*[F.lit(int(max(1, -(-n // (2 * most))))) for n in counts]), F.col("bucket").cast("int") + 1) for counts, most in ((rows_in, room), (asks, CELL_QUERIES)))
     bucket_of = F.element_at(F.array(*[F.lit(int(b)) for b in bucket]), F.col("leaf") + 1).cast("long")
     left = (index.select("entry", "v", F.explode("leaves").alias("leaf")).withColumn("bucket", bucket_of)
             .withColumn("part", F.pmod(F.xxhash64("entry"), parts).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1))))
     right = walks.withColumn("turn", F.pmod(F.xxhash64("query"), turns).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cell = ["bucket", "part", "turn"]
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_ranked(k + 1), "query long, entry long, score double").dropDuplicates(["query", "entry"])
+    cell = [*CELL, "of_index"]  # a cell's queries come before its rows
+    both = (right.select(*CELL, F.lit(0).alias("of_index"), F.col("query").alias("id"), F.col("q").alias("v"), "leaves")
+            .unionByName(left.select(*CELL, F.lit(1).alias("of_index"), F.col("entry").alias("id"), "v", F.array("leaf").alias("leaves"))))
+    found = both.repartition(*CELL).sortWithinPartitions(*cell, "leaves").mapInArrow(_ranked(k + 1), "query long, entry long, score double").dropDuplicates(["query", "entry"])
     top = W.partitionBy("query").orderBy(F.desc("score"), "entry")
     near = found.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1)
     ids = near.join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
@@ -225,30 +236,71 @@ def _best(queries: np.ndarray, entries: np.ndarray, k: int, n_rows: int, scores)
     return pa.concat_tables(out)
 
 
-def _ranked(k: int):
-    """A cell: the rows of every leaf ranked for the queries that took it."""
-
-    def run(left, right):
-        leaf = left.column("leaf").to_numpy()
-        order = np.argsort(leaf, kind="stable")
-        x, entries, leaf = _matrix(left.column("v").combine_chunks())[order], left.column("entry").to_numpy()[order], leaf[order]
-        q, taken_ = _matrix(right.column("q").combine_chunks()), right.column("leaves").combine_chunks()
-        asker = np.repeat(np.arange(len(q)), np.diff(taken_.offsets.to_numpy()))
-        asked = taken_.flatten().to_numpy()
+class Cell:
+    """The queries of a cell with the leaves they took, and the best k rows of each so far."""
+
+    def __init__(self, k: int):
+        self.k, self.parts = k, []
+        self.who, self.entry, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def ask(self, batch: pa.RecordBatch) -> None:
+        self.parts.append((batch.column("id").to_numpy(), _matrix(batch.column("v")), np.diff(batch.column("leaves").offsets.to_numpy()), batch.column("leaves").flatten().to_numpy()))
+
+    def begin(self) -> None:
+        """All queries are here."""
+        names, q, lengths, asked = zip(*self.parts)
+        self.names, self.q, asked = np.concatenate(names), np.concatenate(q), np.concatenate(asked)
+        asker = np.repeat(np.arange(len(self.q)), np.concatenate(lengths))
         by_leaf = np.argsort(asked, kind="stable")  # queries of a leaf stay in order
-        asker, asked = asker[by_leaf], asked[by_leaf]
+        self.asker, self.asked, self.parts = asker[by_leaf], asked[by_leaf], []
+
+    def rank(self, batch: pa.RecordBatch) -> None:
+        """Rows in the order of their leaves, ranked for the queries that took these."""
+        if self.parts:
+            self.begin()
+        elif not hasattr(self, "q"):
+            return  # nobody asks here
+        x, leaf = _matrix(batch.column("v")), batch.column("leaves").flatten().to_numpy()
 
         def scores(a: int, b: int) -> np.ndarray:
-            out = np.full((len(q[a:b]), len(x)), -np.inf)
+            out = np.full((len(self.q[a:b]), len(x)), -np.inf)
             for one in np.unique(leaf).tolist():
                 lo, hi = np.searchsorted(leaf, one), np.searchsorted(leaf, one, "right")
-                who = asker[np.searchsorted(asked, one):np.searchsorted(asked, one, "right")]
+                who = self.asker[np.searchsorted(self.asked, one):np.searchsorted(self.asked, one, "right")]
                 who = who[(who >= a) & (who < b)]
                 if len(who):
-                    out[who - a, lo:hi] = q[who] @ x[lo:hi].T
+                    out[who - a, lo:hi] = self.q[who] @ x[lo:hi].T
             return out
 
-        return _best(right.column("query").to_numpy(), entries, k, len(x), scores)
+        new = _best(np.arange(len(self.q)), batch.column("id").to_numpy(), self.k, len(x), scores)
+        who, entry, score = (np.concatenate([old, new.column(c).to_numpy()]) for old, c in ((self.who, "query"), (self.entry, "entry"), (self.score, "score")))
+        order = np.lexsort((entry, -score, who))
+        sorted_ = who[order]
+        order = order[np.arange(len(order)) - np.searchsorted(sorted_, sorted_) < self.k]
+        self.who, self.entry, self.score = who[order], entry[order], score[order]
+
+    def found(self) -> pa.RecordBatch:
+        names = self.names[self.who] if len(self.who) else self.who
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(self.entry), pa.array(self.score)], names=["query", "entry", "score"])
+
+
+def _ranked(k: int):
+    """Cells in order, the queries of each before its rows: the best k rows of the cell for every query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cell = None, Cell(k)
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in (*CELL, "of_index")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                key, some = keys[a].tolist(), batch.slice(a, b - a)
+                if key[:-1] != at:
+                    yield cell.found()
+                    at, cell = key[:-1], Cell(k)
+                cell.rank(some) if key[-1] else cell.ask(some)
+        yield cell.found()
 
     return run
 

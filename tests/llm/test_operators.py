@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,44 @@ def test_wanted_rows_grow_with_the_recall():
     assert sorted(rp_forest.walk(forest, offsets, x[0])) == list(range(offsets[-1]))
 
 
+def test_what_queries_are_sent_and_find_grows_with_their_number(spark, monkeypatch):
+    """Vectors without structure want most of the index: three times the rows, as many buckets for a query."""
+    monkeypatch.setattr(rp_forest, "CELL_ROWS", 100)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 16))
+    for n in (3000, 9000):
+        figures, got = {}, {}
+        df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x[:n])}))
+        for r in rp_forest.neighbours(df, 50, figures=figures).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert figures["sent"] <= rp_forest.TREES * rp_forest.BUCKETS * n // 50
+        assert len(got) == n // 50 and all(len(set(g)) == 20 for g in got.values())
+
+
+def test_a_cell_keeps_the_best_rows_over_batches():
+    rng = np.random.default_rng(6)
+    q, x = rng.integers(-3, 4, (30, 4)).astype(float), rng.integers(-3, 4, (700, 4)).astype(float)  # many ties
+    leaf, took = np.sort(rng.integers(0, 5, 700)), [sorted(rng.choice(5, rng.integers(1, 5), replace=False).tolist()) for _ in q]
+    entries = rng.permutation(700)
+
+    def batch(cell, kind, ids, v, leaves):
+        return pa.RecordBatch.from_arrays([pa.array([c] * len(ids)) for c in (*cell, kind)] + [pa.array(ids), pa.array(list(map(list, v))), pa.array(leaves, pa.list_(pa.int32()))],
+                                          names=[*rp_forest.CELL, "of_index", "id", "v", "leaves"])
+
+    parts = [batch((0, 0, 0), 1, entries[:9], x[:9], [[1]] * 9)]  # a cell that nobody asks
+    for cell in ((0, 0, 1), (0, 1, 0)):
+        parts += [batch(cell, 0, np.arange(30)[i:i + 11], q[i:i + 11], took[i:i + 11]) for i in range(0, 30, 11)]
+        parts += [batch(cell, 1, entries[i:i + 90], x[i:i + 90], leaf[i:i + 90, None].tolist()) for i in range(0, 700, 90)]
+    whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    for cut in (parts, [whole.slice(i, 64) for i in range(0, len(whole), 64)]):
+        rows = [tuple(r.values()) for b in rp_forest._ranked(7)(iter(cut)) for r in b.to_pylist()]
+        want = []
+        for i in range(30):
+            mine = sorted((-float(q[i] @ x[j]), int(entries[j])) for j in range(700) if leaf[j] in took[i])[:7]
+            want += [(i, e, -s) for s, e in mine]
+        assert sorted(rows) == sorted(want * 2)
+
+
 def test_neighbours_on_awkward_rows(spark):
     same = [1.0, 2.0, 2.0]
     rows = [(i, same) for i in range(0, 60)] + [(100, [0.0, 0.0, 0.0]), (101, None), (102, [1.0, None, 0.0]), (103, [float("nan"), 1.0, 1.0]), (104, [float("inf"), 1.0, 1.0]),

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import annotated, fold, per_text, stored
+from millrace.llm.common import SLICE, annotated, fold, per_text, stored
 
 FEATURES = 50_000  # strongest features kept
 DEVIATIONS, LEAST_EVIDENCE = 2.0, 0.7  # log odds count less so many standard deviations, and from so much on
 CUTOFF = 0.3
+HELD = 150_000  # words or features that a task counts before it passes them on
+MOST_BITS = 1 << 26  # of the bitmap of labelled ids
 FIELDS = "score double"
 
 # Channel: which letters a sign may stand for.
@@ -279,15 +281,45 @@ def logistic(rows: DataFrame) -> np.ndarray:
     return np.concatenate([[w[0] - (w[1:] * mean / spread).sum()], w[1:] / spread])
 
 
+def likely_in(keys: DataFrame, name: str):
+    """A function from a key column to a condition that holds for all values of the column `name` and few others: a bitmap of hashes with 16 bits
+    for a key, of MOST_BITS at most, however many there are. Collected in blocks of 8 KB."""
+    n = 1 << 16
+    while n < min(16 * keys.count(), MOST_BITS):
+        n *= 2
+    kind = keys.schema[name].dataType
+    bit = lambda c: F.pmod(F.xxhash64(c.cast(kind)), F.lit(n))
+
+    def pack(key, table):
+        block = np.zeros(1 << 16, bool)
+        block[table.column("at").to_numpy()] = True
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(block).tobytes()], pa.binary())], names=["block", "bits"])
+
+    bits = keys.select(bit(F.col(name)).alias("bit")).distinct().select(F.floor(F.col("bit") / (1 << 16)).cast("long").alias("block"), F.pmod("bit", F.lit(1 << 16)).cast("int").alias("at"))
+    held = np.zeros(n // 8, np.uint8)
+    for r in bits.groupBy("block").applyInArrow(pack, "block long, bits binary").collect():
+        held[r.block << 13:(r.block + 1) << 13] = np.frombuffer(r.bits, np.uint8)
+    sent = keys.sparkSession.sparkContext.broadcast(held)
+
+    def run(bit: pa.Array) -> pa.Array:
+        at = bit.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    udf = F.arrow_udf(run, "boolean")
+    return lambda c: udf(bit(c))
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """toxic, part, text of all labelled rows of the training folds."""
     known = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .where(fold(F.col("doc_id"), 4) != 2).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"),
                                                           F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3)).cast("int").alias("part")))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("toxic", "part", F.coalesce("text", F.lit("")).alias("text"))
+    known = stored(known, "toxic-known")
+    # Texts move once, by their digest, and those without a label hardly at all.
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(likely_in(known, "doc_id")(F.col("doc_id"))).withColumn("_copy", F.md5("text"))
     # Copies of a text are one observation, else its chance words look like evidence; part and class follow the text.
-    return (rows.groupBy(F.md5("text").alias("_copy"))
-            .agg(F.max("toxic").alias("toxic"), F.min("part").alias("part"), F.first("text").alias("text")).drop("_copy"))
+    taught = named.select("doc_id", "_copy").join(known, "doc_id").groupBy("_copy").agg(F.max("toxic").alias("toxic"), F.min("part").alias("part"))
+    return taught.join(named.groupBy("_copy").agg(F.first("text").alias("text")), "_copy").select("toxic", "part", "text")
 
 
 def lexicon(rows: DataFrame) -> dict[str, float]:
@@ -296,10 +328,15 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter()
+        counts = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update({w for token in set((t or "").lower().split()) if (w := token.strip(STRIP)).isalpha()})
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            for i in range(0, batch.num_rows, SLICE):
+                for t in batch.column(0).slice(i, SLICE).to_pylist():
+                    seen.update({w for token in set((t or "").lower().split()) if (w := token.strip(STRIP)).isalpha()})
+                if len(seen) >= HELD:
+                    yield counts()
+                    seen = Counter()
+        yield counts()
 
     counted = rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     kept = counted.where("n > 1 and length(word) <= 40").orderBy(F.desc("n"), "word").limit(FEATURES).collect()
@@ -316,12 +353,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier | None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, seen = Channel(*sent.value), (Counter(), Counter())
+
+        def counts() -> pa.RecordBatch:
+            keys = list(set(seen[0]) | set(seen[1]))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()),
+                                               pa.array([seen[0][k] for k in keys], pa.int64())], names=["feature", "x", "y"])
+
         for batch in batches:
-            for toxic, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[toxic].update(features(channel.words(t)))
-        keys = list(set(seen[0]) | set(seen[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()),
-                                          pa.array([seen[0][k] for k in keys], pa.int64())], names=["feature", "x", "y"])
+            for i in range(0, batch.num_rows, SLICE):
+                some = batch.slice(i, SLICE)
+                for toxic, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    seen[toxic].update(features(channel.words(t)))
+                if len(seen[0]) + len(seen[1]) >= HELD:
+                    yield counts()
+                    seen = (Counter(), Counter())
+        yield counts()
 
     size = {r.toxic: r.n for r in rows.where("part < 2").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2 or rows.where("part = 2").select("toxic").distinct().count() < 2:

@@ -525,6 +525,36 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert want > 8_500 and noisy_toxicity.labelled_rows(docs, labels).count() == want
 
 
+def test_labelled_texts_move_once(spark):
+    """Texts are moved by their digest alone, not by id before; the rows are those of a plain join."""
+    docs = spark.range(6000).selectExpr("id doc_id", "concat('text ', id % 5000, repeat(' and so on', 20)) text").unionByName(spark.createDataFrame([(7, None), (None, "x"), (11, "")], "doc_id long, text string"))
+    labels = spark.range(0, 6000, 10).selectExpr("id + 1 doc_id", "id % 3 toxic").unionByName(spark.createDataFrame([(7, 1), (None, 1), (99_999, 0)], "doc_id long, toxic long"))
+    rows = noisy_toxicity.labelled_rows(docs, labels)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in next(line for line in plan.splitlines() if "Project" not in line)  # copies are counted before texts meet anything
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("crc32(cast(doc_id as string)) % 4 <> 2")
+    want = docs.join(known, "doc_id").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"), F.min(F.expr("cast(pmod(xxhash64(doc_id, 7), 3) as int)")).alias("part"))
+    got = [(r.text, r.toxic, r.part) for r in rows.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(r.text, r.toxic, r.part) for r in want.collect()} and len(got) > 300
+
+
+def test_counts_are_passed_on_in_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(" ".join(f"{a}{b}" for b in "abcdefgh"),) for a in "klmnop" for _ in range(300)], "text string").coalesce(1)
+    want = noisy_toxicity.lexicon(rows)
+    monkeypatch.setattr(noisy_toxicity, "HELD", 10)
+    assert noisy_toxicity.lexicon(rows) == want and len(want) == 48
+
+
+def test_bitmap_of_keys(spark):
+    keys = spark.range(0, 200_000, 2).withColumnRenamed("id", "doc_id")
+    may = noisy_toxicity.likely_in(keys, "doc_id")
+    rows = spark.range(200_000).withColumn("may", may(F.col("id"))).where("may").groupBy((F.col("id") % 2).alias("odd")).count().collect()
+    n = {r.odd: r["count"] for r in rows}
+    assert n[0] == 100_000 and n[1] < 10_000
+    assert spark.range(5).where(may(F.col("id").cast("string"))).where("id % 2 = 0").count() == 3
+    assert spark.range(5).where(noisy_toxicity.likely_in(keys.limit(0), "doc_id")(F.col("id"))).count() == 0
+
+
 def test_logistic_fit_by_sums(spark):
     """At the minimum the ridge balances the gradient."""
     rows = [(0, 0.0, 0.5, 30), (0, 1.0, 1.0, 4), (1, 1.0, 2.0, 3), (1, 3.0, 5.0, 9), (0, 3.0, 3.5, 1)]

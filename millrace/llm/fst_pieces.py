@@ -17,6 +17,7 @@ are not UTF-8 gives replacement characters.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 import struct
@@ -173,6 +174,12 @@ class Transducer:
             out.extend((i,) if i >= 0 else self.fallback(part[stop - 1]))
         return out
 
+    def fresh(self) -> Transducer:
+        """The same machine without what it remembers of texts: a task's memory goes with it, while workers and the machine stay."""
+        out = copy.copy(self)
+        out.parts, out.older, out.fits = {}, {}, {}
+        return out
+
     def _unigram_path(self, part: str) -> list[str]:
         n, low = len(part), min(self.score) - 10
         cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
@@ -254,7 +261,7 @@ def encode(docs: DataFrame, model: str = MODEL, name: str = "_pieces", text: str
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run():
-        machine = transducer(sent.value)
+        machine = transducer(sent.value).fresh()
 
         def one(t):
             ids = machine.encode(t)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
+from millrace.llm import fst_pieces
 from millrace.llm.common import stored
 
 
@@ -75,3 +76,11 @@ def test_two_texts_of_one_id_and_clashing_columns(spark, sf_dir):
     out = corpus_pipeline.pieces(spark, docs, sf_dir)
     assert out.columns == [*[c for c in docs.columns if c not in ("n_pieces", "piece_ids", "round_trip")], "n_pieces", "piece_ids", "round_trip"] and out.count() == len(rows)
     assert corpus_pipeline.toxicity(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_pieces_of_a_task_are_not_remembered_by_the_worker():
+    with open(fst_pieces.MODEL, "rb") as f:
+        machine = fst_pieces.transducer(f.read())
+    kept, task = len(machine.parts), machine.fresh()
+    assert task.encode("qwxyzzy plugh xyzzyq") == machine.fresh().encode("qwxyzzy plugh xyzzyq")
+    assert task.parts and len(machine.parts) == kept

@@ -45,8 +45,9 @@ PARTS = 16  # of a language, ranked on their own first
 CHUNK_BYTES = 6_000_000
 PARTITION_MASS = 32_000_000  # occurrences of n-grams in a hash partition
 PARTITIONS = 32  # at least
+STRETCH = 100_000  # bytes of a chunk split into words at a time
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
-_SEPARATOR = re.compile(rb"[.,;:!?\x0a-\x0d]")
+_SEPARATOR, _GAP = re.compile(rb"[.,;:!?\x0a-\x0d]"), re.compile(rb"[\x20\x09.,;:!?\x0a-\x0d]")
 _PLAIN = bytes.maketrans(_SEPARATORS + b"\t", b"\n" * len(_SEPARATORS) + b" ")
 _FACTORS = [U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)]
 _CHUNK = pa.schema([("lang", pa.string()), ("text", pa.binary())])
@@ -54,11 +55,11 @@ _CHUNK = pa.schema([("lang", pa.string()), ("text", pa.binary())])
 # --- chunks of texts ---
 
 
-def _cut(raw: bytes, size: int) -> Iterator[bytes]:
+def _cut(raw: bytes, size: int, separator: re.Pattern = _SEPARATOR) -> Iterator[bytes]:
     """Parts of a text of about `size` bytes that end at separators."""
     start = 0
     while start < len(raw):
-        end = _SEPARATOR.search(raw, start + size - 1)
+        end = separator.search(raw, start + size - 1)
         stop = end.end() if end else len(raw)
         yield raw[start:stop]
         start = stop
@@ -92,6 +93,17 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return stored(docs.select("lang", "text").mapInArrow(run, "chunk long, n_bytes long, payload binary"), "chunks")
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, the place of every value among them, and how often each stands; numpy's own takes twice the memory."""
+    order = np.argsort(values).astype(np.int32)  # chunks are far smaller
+    values = values[order]
+    first = np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]])
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    starts = np.flatnonzero(first)
+    return values[starts], place, np.diff(starts, append=len(values))
+
+
 class Grams:
     """The distinct n-grams of one language in a chunk: word numbers (a column per word), counts and 64-bit hashes, by number of words."""
 
@@ -99,29 +111,38 @@ class Grams:
         number = defaultdict()
         number.default_factory = number.__len__
         number[b""], number[b"\n"]  # 0 and 1: no word, end of a piece
-        tokens = text.lower().translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
-        ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-        del tokens
-        ids = ids[ids > 0]
+        places = []  # the words as objects are many times the text, so few are held at once
+        for part in _cut(text, STRETCH, _GAP):
+            tokens = part.lower().translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
+            some = np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
+            places.append(some[some > 0])
+        ids = np.concatenate(places) if places else np.zeros(0, np.int32)
+        del places
         self.lang, self.words = lang, list(number)
+        number.default_factory = None  # else the dictionary holds itself, and its words stay until Python looks for cycles
+        del number
         seed = xxhash.xxh3_64_intdigest(lang.encode())
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), U, len(self.words))
         counts = np.bincount(ids, minlength=len(self.words))
         self.n_words = int(counts[2:].sum())
-        have = np.flatnonzero(counts[2:]) + 2
+        have = (np.flatnonzero(counts[2:]) + 2).astype(np.int32)
         self.columns, self.counts, self.hashes = [have[:, None]], [counts[have]], []
-        gram, fits = np.full(len(self.words), -1), ids > 1  # number of the n-gram from every place, and whether it fits into its piece
+        gram, fits = np.full(len(self.words), -1, np.int32), ids > 1  # number of the n-gram from every place, and whether it fits into its piece
         gram[have] = np.arange(len(have))
         gram = gram[ids]
         for k in range(1, longest):
             fits = fits[:-1] & (ids[k:] > 1)
             at = np.flatnonzero(fits)
-            codes, back, n = np.unique(gram[at] * len(self.words) + ids[at + k], return_inverse=True, return_counts=True)
+            codes = gram[at].astype(np.int64)
+            codes *= len(self.words)
+            codes += ids[k:][at]
+            codes, back, n = _distinct(codes)
             last = self.columns[-1]
-            self.columns.append(np.column_stack([last[codes // len(self.words)], codes % len(self.words)]))
+            self.columns.append(np.column_stack([last[codes // len(self.words)], (codes % len(self.words)).astype(np.int32)]))
             self.counts.append(n)
-            gram = np.full(len(fits), -1)
+            gram = np.full(len(fits), -1, np.int32)
             gram[at] = back
+            del codes, back, at
         for k, words in enumerate(self.columns):
             mixed = np.full(len(words), k + 1, U)
             for j in range(k + 1):
@@ -135,16 +156,19 @@ class Grams:
 
 
 def _grams(payload: bytes, longest: int) -> list[Grams]:
-    rows = pa.ipc.read_record_batch(zstandard.decompress(payload), _CHUNK).to_pydict()
-    return [Grams(lang, text, longest) for lang, text in zip(rows["lang"], rows["text"])]
+    rows = pa.ipc.read_record_batch(zstandard.decompress(payload), _CHUNK)
+    return [Grams(lang.as_py(), text.as_py(), longest) for lang, text in zip(rows.column("lang"), rows.column("text"))]
 
 
 def _keys(grams: list[Grams], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, the place of every n-gram's key, and the occurrences of every n-gram."""
-    hashes = [h for g in grams for h in g.hashes]
-    all_keys = np.concatenate(hashes) >> U(64 - bits) if hashes else np.zeros(0, U)
-    keys, place = np.unique(all_keys, return_inverse=True)
-    return keys, place, np.concatenate([n for g in grams for n in g.counts]) if hashes else np.zeros(0, np.int64)
+    all_keys = np.concatenate([np.zeros(0, U), *(h for g in grams for h in g.hashes)])
+    for g in grams:
+        g.hashes = []
+    all_keys >>= U(64 - bits)
+    keys, place, _ = _distinct(all_keys)
+    del all_keys
+    return keys, place, np.concatenate([np.zeros(0, np.int64), *(n for g in grams for n in g.counts)])
 
 
 # --- summaries ---
@@ -180,8 +204,13 @@ def _summaries(chunks: DataFrame, longest: int, bits: int, parts: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, place, n = _keys(_grams(batch.column(1)[i].as_py(), longest), bits)
+                grams = _grams(batch.column(1)[i].as_py(), longest)
+                for g in grams:  # only hashes and counts are sent
+                    g.columns, g.words = [], []
+                keys, place, n = _keys(grams, bits)
+                del grams
                 totals = np.bincount(place, n, len(keys)).astype(np.int64)
+                del place, n
                 edges = np.searchsorted(keys, np.arange(parts + 1, dtype=U) << U(low))
                 spans = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
                 blobs = [pack(narrow(np.diff(keys[a:b], prepend=U(p) << U(low))), narrow(totals[a:b])) for p, a, b in spans]

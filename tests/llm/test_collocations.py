@@ -1,7 +1,9 @@
 """Collocations beside a plain count, and the summaries' guarantee."""
 
+import gc
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -83,6 +85,31 @@ def test_a_long_text_spreads_over_chunks(spark, monkeypatch):
     assert rows_of(C.collocations(C.frequent_phrases(frame(spark, docs)))) == brute(docs)
 
 
+def test_a_chunk_leaves_nothing_behind():
+    """Words of chunks gone by don't wait for Python's search for cycles, and words as objects are never all held at once."""
+    rng = np.random.default_rng(9)
+    text = " ".join(f"w{x}" + "." * (x % 7 == 0) for x in (rng.zipf(1.3, 400_000) % 50_000).tolist()).encode()
+    C._keys([C.Grams("en", text, 3)], 40)
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        keys, place, n = C._keys([C.Grams("en", text, 3)], 40)
+        peak = tracemalloc.get_traced_memory()[1]
+        assert int(n.sum()) > 900_000 and len(place) == len(n) and peak < 22 * len(text)
+        del keys, place, n
+        assert tracemalloc.get_traced_memory()[0] < 100_000
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+
+
+def test_distinct_values_as_numpy_has_them():
+    for values in (np.array([5, 3, 5, 5, 9, 3]), np.zeros(0, np.int64), np.array([7]), np.array([2 ** 64 - 1, 0, 2 ** 63], np.uint64)):
+        for got, want in zip(C._distinct(values), np.unique(values, return_inverse=True, return_counts=True)):
+            assert np.array_equal(got, want)
+
+
 def test_every_frequent_key_survives_any_order_of_merges():
     rng = np.random.default_rng(4)
     for least in (2, 5, 10):

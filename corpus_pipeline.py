@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again before the next one. All but
 the last return the columns of their input. A stage that removes rows decides by the text alone; where a text changes, n_chars follows.
 
+Python workers live through all stages, and each keeps about the most it ever held. So a task has one Python step at a time, else an executor
+keeps twice as many workers, and every stage sends small batches.
+
 SQL can't express the stages, so ORACLE_SQL is None and tests compare them with brute-force versions.
 """
 
@@ -12,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import fst_pieces, noisy_toxicity, prob_minhash, secret_markov, wu_manber
-from millrace.llm.common import free_name, stored, table
+from millrace.llm.common import free_name, small_batches, stored, table
 
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the cut-off. The classifier learns from the labelled rows of the training folds."""
+    small_batches(spark)
     model, name = noisy_toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")), free_name("_toxicity", docs)
     return noisy_toxicity.score(docs, model, name).where(F.col(f"{name}.score") < noisy_toxicity.CUTOFF).drop(name)
 
@@ -26,6 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group; rows without id stay, a repeated row stays once. Different texts of one id are documents of their
     own: all but the first by digest go by a large number in place of the id."""
+    small_batches(spark)
     node, digest, least = (free_name(n, docs) for n in ("_node", "_digest", "_least"))
     named = docs.where("doc_id is not null")
     keyed = named.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias(digest))
@@ -44,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
+    small_batches(spark)
     name = free_name("_leaks", docs)
     leaks = wu_manber.find_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), name)
     return leaks.where(F.size(f"{name}.hits") == 0).drop(name)
@@ -51,9 +57,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark."""
+    small_batches(spark)
     name = free_name("_secrets", docs)
-    found = secret_markov.find_secrets(docs, secret_markov.train(docs), name)
-    out = found.withColumn("text", secret_markov.redacted(F.col("text"), F.col(f"{name}.spans")))
+    found = secret_markov.find_secrets(docs, secret_markov.train(docs), name, mark=secret_markov.MARK)
+    out = found.withColumn("text", F.col(f"{name}.redacted"))
     if "n_chars" in docs.columns:
         changed = F.when(F.size(f"{name}.spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
@@ -62,6 +69,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, the piece ids, and whether decoding gives the normalised text back (which replace columns of these names)."""
+    small_batches(spark)
     docs = docs.drop("n_pieces", "piece_ids", "round_trip")
     name = free_name("_pieces", docs)
     encoded = fst_pieces.encode(docs, name=name)

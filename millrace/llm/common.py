@@ -49,6 +49,14 @@ def per_text(make: Callable[[], Callable], returns: str):
     return F.arrow_udf(run, struct)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in Arrow batches of at most SLICE from here on in this session, unless it has set fewer, so that workers and executors hold few
+    texts at a time: what a worker once took it hardly gives back. No result depends on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= SLICE:
+        spark.conf.set(key, SLICE)
+
+
 def free_name(name: str, *taken) -> str:
     """`name`, with as many underscores in front as it takes to differ (in any case of letters) from all columns of the frames."""
     used = {c.lower() for df in taken for c in df.columns}

@@ -38,6 +38,7 @@ IS_HEX = bytes(49 if c in b"0123456789abcdef" else 48 for c in range(256))
 IS_TOKEN = bytes(49 if c in ALPHABET else 48 for c in range(256))
 TOKEN_CHARS, LEAST_TOTAL, LEAST_MEAN = 20, 12.0, 0.5
 FIELDS = "spans array<struct<kind: string, start: int, stop: int>>"
+MARK = "[secret]"
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
@@ -144,13 +145,14 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray | None:
     return np.log(0.8 * random + 0.2 / len(ALPHABET)) - np.log(ordinary)
 
 
-def find_secrets(docs: DataFrame, ratio: np.ndarray | None, name: str = "_secrets", text: str = "text") -> DataFrame:
-    """docs with a struct `name` of all spans by start, then kind."""
+def find_secrets(docs: DataFrame, ratio: np.ndarray | None, name: str = "_secrets", text: str = "text", mark: str | None = None) -> DataFrame:
+    """docs with a struct `name` of all spans by start, then kind; with a mark also the text `redacted` with it (null stays
+    null), so that a task needs no second Python worker."""
 
     def scan():
         def one(t):
             if not t:
-                return {"spans": []}
+                return {"spans": [], "redacted": t}
             raw = t.encode("utf-8", "surrogatepass")
             spans = base_spans(t, raw)
             if ratio is not None and b"1" * TOKEN_CHARS in (marks := raw.translate(IS_TOKEN)):
@@ -163,27 +165,31 @@ def find_secrets(docs: DataFrame, ratio: np.ndarray | None, name: str = "_secret
                         start = a if points is None else int(np.searchsorted(points, a))
                         spans.append((start, 3, start + b - a))
                 spans.sort()
-            return {"spans": [{"kind": KINDS[k], "start": a, "stop": b} for a, k, b in spans]}
+            found = {"spans": [{"kind": KINDS[k], "start": a, "stop": b} for a, k, b in spans]}
+            return found if mark is None else found | {"redacted": marked(t, [(a, b) for a, _, b in spans], mark)}
         return one
 
-    return annotated(docs, per_text(scan, FIELDS), text, name)
+    return annotated(docs, per_text(scan, FIELDS if mark is None else f"{FIELDS}, redacted string"), text, name)
 
 
-def redacted(text, spans, mark: str = "[secret]"):
-    """The text with every union of overlapping spans replaced by the mark, as a Column; null stays null. One pass over text and spans."""
+def marked(t: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with every union of overlapping spans replaced by the mark. One pass over text and spans."""
+    parts, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            parts += [t[at:a], mark]
+        at = max(at, b)
+    return "".join(parts) + t[at:]
+
+
+def redacted(text, spans, mark: str = MARK):
+    """The text with its spans replaced by the mark, as a Column; null stays null."""
     @F.arrow_udf("string")
     def replaced(texts: pa.Array, all_spans: pa.Array) -> pa.Array:
         out = []
         for i in range(len(texts)):
             t, own = texts[i].as_py(), all_spans[i].as_py()
-            if t and own:
-                parts, at = [], 0
-                for a, b in sorted((s["start"], s["stop"]) for s in own):
-                    if a >= at:
-                        parts += [t[at:a], mark]
-                    at = max(at, b)
-                t = "".join(parts) + t[at:]
-            out.append(t)
+            out.append(marked(t, [(s["start"], s["stop"]) for s in own], mark) if t and own else t)
         return pa.array(out, pa.string())
 
     return replaced(text, spans)

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from millrace.llm import fst_pieces
-from millrace.llm.common import stored
+from millrace.llm import fst_pieces, secret_markov
+from millrace.llm.common import SLICE, stored
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +84,33 @@ def test_pieces_of_a_task_are_not_remembered_by_the_worker():
     kept, task = len(machine.parts), machine.fresh()
     assert task.encode("qwxyzzy plugh xyzzyq") == machine.fresh().encode("qwxyzzy plugh xyzzyq")
     assert task.parts and len(machine.parts) == kept
+
+
+def test_a_task_of_a_stage_has_one_python_step(spark, sf_dir, steps):
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        plan = stage(spark, steps[k], sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") <= 1, name
+
+
+def test_stages_send_small_batches(spark, sf_dir):
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([(1, "a text", 6)], "doc_id long, text string, n_chars long")
+    before = spark.conf.get(key)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for given, wanted in ((10_000, SLICE), (0, SLICE), (100, 100)):
+                spark.conf.set(key, given)
+                stage(spark, docs, sf_dir)
+                assert int(spark.conf.get(key)) == wanted, name
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_redacting_with_the_search_gives_the_texts_of_redacting_after_it(spark):
+    key = "AKIA" + "ABCDEFGH" * 2
+    given = [None, "", "nothing", f"{key} and {key}{key}", f"token={key}", f"password: 0123456789abcdef{key}\U0001f600 secret=abcdefghijkl", f"\u00e9{key}\u00e9 api_key='deadbeefdeadbeef' "]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    found = secret_markov.find_secrets(docs, None, mark=secret_markov.MARK)
+    rows = found.select("text", "_secrets.spans", "_secrets.redacted", secret_markov.redacted(F.col("text"), F.col("_secrets.spans")).alias("after")).collect()
+    assert len(rows) == len(given) and all(r.redacted == r.after for r in rows) and sum(secret_markov.MARK in (r.redacted or "") for r in rows) == 4
+    plain = secret_markov.find_secrets(docs, None)
+    assert plain.schema["_secrets"].dataType.names == ["spans"] and [r.spans for r in plain.select("_secrets.spans").collect()] == [r.spans for r in rows]
